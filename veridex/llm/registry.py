@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from veridex.llm import queries_scans
+from veridex.llm import queries_native, queries_scans, queries_shared
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (queries_scans,):
+for _module in (queries_native, queries_scans, queries_shared):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
