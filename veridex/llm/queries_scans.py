@@ -1,4 +1,4 @@
-"""Queries of the row-wise text operators: license scans, BPE round trips and token counts."""
+"""Queries of the row-wise text operators: license scans, BPE round trips, token counts and language-model scores."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridex.llm import bpe, licenses, token_counts
+from veridex.llm import bpe, licenses, lm_score, token_counts
 from veridex.sources.tables import table
 
 
@@ -33,10 +33,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_token_counts": op8_token_counts,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLES: dict[str, str] = {}
