@@ -1,11 +1,11 @@
-"""Queries of the operators that stay in the JVM: line dedup and quality rules."""
+"""Queries of the operators that stay in the JVM: line dedup, PII surrogates and quality rules."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridex.llm import line_dedup, quality
+from veridex.llm import line_dedup, pii, quality
 from veridex.sources.tables import table
 
 
@@ -18,7 +18,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(table(spark, sf_dir, "documents")).drop("text")
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op9_quality_rules": op9_quality_rules}
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = pii.replace_entities(table(spark, sf_dir, "documents"), key="veridex")
+    return replaced.withColumn("kinds", F.array_join("kinds", ","))
+
+
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op6_pii_surrogates": op6_pii_surrogates,
+    "op9_quality_rules": op9_quality_rules,
+}
 
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
