@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridex.llm import decontaminate, simhash
+from veridex.llm import decontaminate, simhash, suffix_dedup
 from veridex.sources.tables import table
 
 
@@ -26,7 +26,15 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op4_benchmark_decontamination": op4_benchmark_decontamination, "op5_simhash_near_dedup": op5_simhash_near_dedup}
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
