@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from veridex.plans import routing
+from veridex.plans import relational, routing, selection
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (routing,):
+for _module in (routing, relational, selection):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
