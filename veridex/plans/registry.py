@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from veridex.plans import relational, routing, selection
+from veridex.plans import analysis, relational, routing, selection
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (routing, relational, selection):
+for _module in (routing, relational, selection, analysis):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
