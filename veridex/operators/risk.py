@@ -30,7 +30,7 @@ def hoeffding(swept: DataFrame, delta: float, grid: int) -> DataFrame:
     """Adds failure_rate, coverage and the upper bound over a grid of thresholds; null bounds where nothing is trusted."""
     rate = F.col("failures") / F.nullif(F.col("trusted"), F.lit(0))
     slack = F.sqrt(F.lit(math.log(grid / delta)) / (2 * F.nullif(F.col("trusted"), F.lit(0))))
-    return swept.withColumns({"failure_rate": rate, "coverage": F.col("trusted") / F.nullif(F.col("targets"), F.lit(0)), "bound": F.least(F.lit(1.0), rate + slack)})
+    return swept.withColumns({"failure_rate": rate, "coverage": F.col("trusted") / F.nullif(F.col("targets"), F.lit(0)), "bound": F.when(F.col("trusted") > 0, F.least(F.lit(1.0), rate + slack))})
 
 
 def certified(bounded: DataFrame, alpha: float) -> DataFrame:
