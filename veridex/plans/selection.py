@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from veridex.functions import similarity
 from veridex.functions import text as tx
 from veridex.operators import rank, select
 from veridex.sources.tables import table
@@ -277,3 +278,17 @@ def f15(spark, d):
 @query("f18_prefix_digest", "SELECT c_custkey, left(sha256(c_name || '|' || c_mktsegment), 16) AS digest FROM customer")
 def f18(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.left(F.sha2(F.concat_ws("|", "c_name", "c_mktsegment"), 256), F.lit(16)).alias("digest"))
+
+
+@query("f11_j17_fuzzy_names")
+def fuzzy_names(spark, d):
+    names = table(spark, d, "part").select(F.lower("p_name").alias("name")).distinct()
+    queries = table(spark, d, "supplier").select("s_suppkey").join(table(spark, d, "part"), F.col("s_suppkey") == F.col("p_partkey"))
+    typed = queries.select(F.concat(F.lower("p_name"), F.lit("s")).alias("query")).distinct()
+    return similarity.fuzzy_join(typed, names, "query", "name", 85.0).withColumn("ratio", F.round("ratio", 3))
+
+
+@query("f13_token_set_ratio")
+def token_sets(spark, d):
+    names = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("a"), F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("b"))
+    return names.select("p_partkey", F.round(similarity.token_set_ratio("a", "b"), 3).alias("ratio"))
