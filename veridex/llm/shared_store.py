@@ -8,13 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: list[str] = []
+
+
 def folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of this machine only where the setting is absent, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="veridex-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="veridex-"))
+    return _OWN[0]
 
 
 def written(frame: DataFrame) -> DataFrame:
