@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 from veridex.llm import textcols
 
 
-def line_keys(line: Column, min_chars: int) -> Column:
-    """128 bits for a line's key, null for a key of fewer than min_chars code points."""
-    key = textcols.lower_ascii(textcols.strip_blanks(line))
-    hashed = F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"))
-    return F.when(F.length(key) >= min_chars, hashed)
+def line_keys(text: Column, min_chars: int) -> Column:
+    """128 bits for the key of each line, null for a key of fewer than min_chars code points."""
+
+    def hashed(key: Column) -> Column:
+        bits = F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"))
+        return F.when(F.length(key) >= min_chars, bits)
+
+    # lower-cased as a whole and stripped in a step of its own, so that no line is brought to its key twice
+    return F.transform(F.transform(textcols.lines(textcols.lower_ascii(text)), textcols.strip_blanks), hashed)
 
 
 def dedup_lines(
@@ -33,7 +37,7 @@ def dedup_lines(
     """
     source = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     source = source.withColumn("_row", F.xxhash64("_id", "_text"))
-    keyed = source.select("_id", "_row", F.transform(textcols.lines(F.col("_text")), lambda x: line_keys(x, min_chars)).alias("_keys"))
+    keyed = source.select("_id", "_row", line_keys(F.col("_text"), min_chars).alias("_keys"))
 
     distinct = F.array_distinct(F.filter("_keys", lambda k: k.isNotNull()))
     counted = keyed.select("_id", F.explode(distinct).alias("_key")).groupBy("_key.a", "_key.b")

@@ -2,9 +2,10 @@
 
 Sharding by content keeps the work linear.  Anchors are chosen by winnowing (the smallest hash of a few bytes in each
 window), so that each string of ``length`` bytes holds one at the same place as its other occurrences.  Such a string
-also holds the half-reach before or after its anchor, so all its occurrences meet under one of two keys: the anchor with
-the bytes after it, or with those before it.  Keys that one place alone has are done.  For the others the surroundings of
-each anchor (all strings that can hold it) go to the key's shard, no more than two of each distinct surrounding.
+also holds the half-reach before or after its anchor, and so one of two cores: the anchor with the bytes before it, or
+with those after it.  Occurrences of a string meet under its core.  Cores that one place alone has are done, and so are
+those whose places all have the same surroundings (all strings that can hold the core): these repeat as a whole.  For
+the others each distinct surrounding goes to the core's shard once, with the core as one symbol of its own.
 
 A shard is one string of surroundings and separators.  Its suffix array is built by Larsson-Sadakane refinement: suffixes
 sorted by a few symbols, then only groups still tied are sorted again by the rank of what follows, at twice the depth
@@ -16,6 +17,7 @@ a shard holds is cut into blocks, and pairs of blocks are merged by binary searc
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +29,16 @@ from veridex.llm import wordhash
 from veridex.llm.arrowtext import pieces, utf8
 from veridex.llm.shared_store import written
 
-GRAM = 16
+GRAM = 48
+#: Grams that repeat this many bytes of themselves after up to GRAM - PART bytes are chosen only where there are no others.
+PART = 16
 SEPARATOR = 256
-BITS = 9
 
 
 def anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
-    """Starts of the chosen GRAM-byte grams of all texts in the buffer; ties choose all."""
+    """Starts of the chosen GRAM-byte grams of all texts in the buffer; ties choose all.
+
+    The choice in a window depends on the window's bytes alone."""
     window = length - GRAM + 1
     n = len(raw) - length + 1
     if n <= 0:
@@ -41,7 +46,15 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
     up, down = wordhash.powers(len(raw))
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-    gram = wordhash.mix((total[GRAM:] - total[:-GRAM]) * down[: len(raw) - GRAM + 1])
+
+    def rolled(size: int) -> np.ndarray:
+        return wordhash.mix((total[size:] - total[:-size]) * down[: len(raw) - size + 1])
+
+    gram, part = rolled(GRAM), rolled(PART).astype(np.uint32)
+    periodic = np.zeros(len(gram), bool)
+    for lag in range(1, GRAM - PART + 1):
+        periodic |= part[: len(gram)] == part[lag : lag + len(gram)]
+    gram = gram >> np.uint64(1) | periodic.astype(np.uint64) << np.uint64(63)
 
     def slide(x: np.ndarray, least: bool) -> np.ndarray:
         """Minima or maxima of all windows, by doubling."""
@@ -68,13 +81,14 @@ def digest(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, salt: int) -> np
 
 
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, rank) of a sequence of symbols below 2 ** BITS."""
-    n, step = len(symbols), 63 // BITS
+    """(suffix array, rank) of a sequence of symbols."""
+    n, bits = len(symbols), (int(symbols.max(initial=0)) + 1).bit_length()
+    step = 63 // bits
     padded = np.concatenate([symbols.astype(np.int64) + 1, np.zeros(step, np.int64)])
     first = np.zeros(n, np.int64)
     for j in range(step):
-        first = first << BITS | padded[j : j + n]
-    order = np.argsort(first, kind="stable")
+        first = first << bits | padded[j : j + n]
+    order = np.argsort(first)
     starts = np.concatenate([[True], first[order][1:] != first[order][:-1]]) if n else np.empty(0, bool)
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
@@ -84,7 +98,7 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         where = order[tied]
         after = where + depth
         key = rank[where] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        moved = np.argsort(key, kind="stable")
+        moved = np.argsort(key)
         order[tied], key = where[moved], key[moved]
         new = np.concatenate([[True], key[1:] != key[:-1]])
         rank[order[tied]] = np.maximum.accumulate(np.where(new, tied, 0))
@@ -122,7 +136,7 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, rank: np.ndarray, fi
         grow = np.flatnonzero((other >= 0) & (have < most))
         while len(grow):
             a, b = at[grow] + have[grow], other[grow] + have[grow]
-            same = (far[a] == far[b]) & (far[a] < SEPARATOR) & (b < n)
+            same = (far[a] == far[b]) & (far[a] != SEPARATOR) & (b < n)
             grow = grow[same]
             have[grow] += 1
             grow = grow[have[grow] < most]
@@ -132,43 +146,50 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, rank: np.ndarray, fi
 
 
 class Shard:
-    """Surroundings joined into one string, with the place in the corpus of each of its positions."""
+    """Surroundings joined into one string, with the place in the corpus of each of its starts.
 
-    def __init__(self, data: list[bytes], place: np.ndarray, length: int):
-        self.length = length
-        self.size = np.fromiter(map(len, data), np.int64, len(data))
-        self.first = np.concatenate([[0], np.cumsum(self.size + 1)[:-1]])
-        text = np.frombuffer(b"\0".join([*data, b""]), np.uint8)
-        self.symbols = text.astype(np.int16)
-        self.symbols[self.first + self.size] = SEPARATOR
-        self.place = np.repeat(place - self.first, self.size + 1) + np.arange(len(text))
+    data: the bytes before and after the core; before: how many stand before it; core: the core's number in the shard;
+    place: of the first byte; many: there are others like it.  A string of the wanted length has ``width`` symbols.
+    """
+
+    def __init__(self, data: list[bytes], before: np.ndarray, core: np.ndarray, place: np.ndarray, many: np.ndarray, width: int):
+        self.width, self.many, self.before = width, many, before
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        plain = np.frombuffer(b"\0".join([*data, b""]), np.uint8).astype(np.int32)
+        begin = np.concatenate([[0], np.cumsum(sizes + 1)])[: len(data)]
+        plain[begin + sizes] = SEPARATOR
+        self.symbols = np.insert(plain, begin + before, core + SEPARATOR + 1)
+        self.size = sizes + 1
+        self.first = begin + np.arange(len(data))
+        self.place = np.repeat(place - self.first, self.size + 1) + np.arange(len(self.symbols))
 
     def classes(self) -> tuple[np.ndarray, np.ndarray]:
-        """(positions in the order of the suffix array, number of the class of each) where length bytes are left."""
+        """(positions in the order of the suffix array, number of the class of each) where width symbols are left."""
         order, rank = suffix_array(self.symbols)
-        shared = common_prefixes(self.symbols, order, rank, self.first, self.size, self.length)[order]
-        group = np.cumsum(shared < self.length)
+        shared = common_prefixes(self.symbols, order, rank, self.first, self.size, self.width)[order]
+        group = np.cumsum(shared < self.width)
         left = np.repeat(self.first + self.size, self.size + 1) - np.arange(len(self.symbols))
-        ok = left[order] >= self.length
+        ok = left[order] >= self.width
         return order[ok], group[ok]
 
     def repeated(self) -> np.ndarray:
-        """Whether a string of length bytes that starts at each position stands at two places of the corpus."""
+        """Whether the string of width symbols that starts at each position stands at two places of the corpus."""
         at, group = self.classes()
         out = np.zeros(len(self.symbols), bool)
         if len(at):
             cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             place = self.place[at]
             low, high = np.minimum.reduceat(place, cuts), np.maximum.reduceat(place, cuts)
-            out[at] = np.repeat(low != high, np.diff(np.concatenate([cuts, [len(at)]])))
+            many = np.logical_or.reduceat(np.repeat(self.many, self.size + 1)[at], cuts)
+            out[at] = np.repeat((low != high) | many, np.diff(np.concatenate([cuts, [len(at)]])))
         return out
 
     def heads(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """(sorted strings of the classes, positions in the array's order, class of each) for merging with another."""
         at, group = self.classes()
         new = np.concatenate([[True], group[1:] != group[:-1]]) if len(at) else np.empty(0, bool)
-        text = self.symbols.astype(np.uint8).tobytes()
-        return [text[i : i + self.length] for i in at[new].tolist()], at, np.cumsum(new) - 1
+        text = self.symbols.astype(">u4").tobytes()
+        return [text[4 * i : 4 * (i + self.width)] for i in at[new].tolist()], at, np.cumsum(new) - 1
 
 
 def merged(one: Shard, two: Shard) -> tuple[np.ndarray, np.ndarray]:
@@ -196,33 +217,32 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def covered(shard: Shard, starts: np.ndarray) -> np.ndarray:
-    """Positions within length bytes of a start."""
-    step = np.zeros(len(starts) + shard.length + 1, np.int64)
-    at = np.flatnonzero(starts)
-    np.add.at(step, at, 1)
-    np.add.at(step, at + shard.length, -1)
-    return np.cumsum(step)[: len(starts)] > 0
-
-
-def _found(shard: Shard, mask: np.ndarray, ctx: np.ndarray, before: np.ndarray) -> pa.Table:
-    """(ctx, low, high) of the covered runs, counted from the anchor."""
-    begin, end = runs(covered(shard, mask))
+def _found(shard: Shard, starts: np.ndarray, ctx: np.ndarray, length: int) -> pa.Table:
+    """(ctx, low, high) of the bytes that runs of starts cover, counted from the core."""
+    begin, end = runs(starts)
     piece = np.searchsorted(shard.first, begin, side="right") - 1
-    origin = shard.first[piece] + before[piece]
-    return pa.table({"ctx": ctx[piece], "low": (begin - origin).astype(np.int32), "high": (end - origin).astype(np.int32)})
-
-
-def _as_shard(table: pa.Table, length: int) -> tuple[Shard, np.ndarray, np.ndarray]:
-    rows = table["row"].to_numpy()
-    local = np.unique(rows, return_inverse=True)[1].astype(np.int64)
-    before = table["before"].to_numpy().astype(np.int64)
-    place = (local << 40) + table["pos"].to_numpy() - before
-    return Shard(table["bytes"].to_pylist(), place, length), table["ctx"].to_numpy(), before
+    origin = shard.first[piece] + shard.before[piece]
+    return pa.table({"ctx": ctx[piece], "low": (begin - origin).astype(np.int32), "high": (end - 1 + length - origin).astype(np.int32)})
+
+
+def _shards(tables: list[pa.Table], width: int) -> list[tuple[Shard, np.ndarray]]:
+    """A shard and its surroundings' digests for each table; places and cores are numbered alike in all."""
+    both = pa.concat_tables(tables)
+    local = np.unique(both["row"].to_numpy(), return_inverse=True)[1].astype(np.int64)
+    core = np.unique(both["key"].to_numpy(), return_inverse=True)[1].astype(np.int32)
+    before = both["before"].to_numpy().astype(np.int64)
+    place = (local << 40) + both["pos"].to_numpy() - before
+    out, low = [], 0
+    for table in tables:
+        own = slice(low, low + len(table))
+        low += len(table)
+        shard = Shard(table["bytes"].to_pylist(), before[own], core[own], place[own], table["many"].to_numpy(), width)
+        out.append((shard, table["ctx"].to_numpy()))
+    return out
 
 
 def dedup_substrings(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, shard_bytes: int = 4 << 20, block: int = 8192
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, shard_bytes: int = 1 << 20, block: int = 8192
 ) -> DataFrame:
     """One row for each document: id_col, n_bytes, n_removed, n_spans, kept (binary: the bytes left), kept_sha256.
 
@@ -232,7 +252,8 @@ def dedup_substrings(
     empty table gives no rows.  Other columns of docs are not read, so their names can't clash.
     """
     half = (length - GRAM) // 2
-    reach = length - GRAM
+    core = length - half
+    width = half + 1
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     source = source.withColumn("row", F.xxhash64("id", "text"))
@@ -242,45 +263,53 @@ def dedup_substrings(
             raw, ends = utf8(piece.column(0))
             at = anchors(raw, ends, length)
             text = np.searchsorted(ends, at, side="right") - 1
+            mid, text = np.concatenate([at - half, at]), np.concatenate([text, text])
+            ok = (mid >= ends[text]) & (mid + core <= ends[text + 1])
+            mid, chosen = np.unique(mid[ok], return_index=True)  # two anchors may share a core
+            text = text[ok][chosen]
             begin, end = ends[text], ends[text + 1]
-            left, right = np.maximum(at - reach, begin), np.minimum(at + length, end)
-            # where the text ends before the half reach, a key of its own side can't hold a whole string and isn't needed
-            lefts = at - half >= begin
-            rights = at + GRAM + half <= end
-            ctx = digest(raw, left, right, 1) ^ digest(raw, left, at, 7)
-            rows = piece.column(1).to_numpy()[text]
-            pos = (at - begin).astype(np.int64)
-            for ok, key in ((lefts, digest(raw, np.maximum(at - half, begin), at + GRAM, 2)), (rights, digest(raw, at, np.minimum(at + GRAM + half, end), 3))):
-                yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (key, ctx, rows, pos)], names=["key", "ctx", "row", "pos"])
-
-    found = source.select("text", "row").mapInArrow(anchored, "key bigint, ctx bigint, row bigint, pos bigint")
+            left, right = np.maximum(mid - half, begin), np.minimum(mid + length, end)
+            key = digest(raw, mid, mid + core, 2)
+            ctx = digest(raw, left, right, 1) ^ digest(raw, left, mid, 7)
+            span = (mid - left) * 256 + right - mid
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key), pa.array(ctx), pa.array(piece.column(1).to_numpy()[text]), pa.array((mid - begin).astype(np.int32)), pa.array(span.astype(np.int32))],
+                names=["key", "ctx", "row", "pos", "span"],
+            )
+
+    found = source.select("text", "row").mapInArrow(anchored, "key bigint, ctx bigint, row bigint, pos int, span int")
     dealt = found.repartition("key").sortWithinPartitions("key", "ctx", "row", "pos")
 
     def shared(batches):
-        """Rows of keys with two places or more; chosen: the first two of each surrounding.  A key's first row waits."""
-        held = None
-        last = (None, None, 0)
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held, table])
+        """Rows of keys with two places or more; chosen: the first of each surrounding, many: there are others like it."""
+        held, nth, alone = None, 0, True  # the last row waits for the next; its number in its surrounding; no row before it
+        for batch in chain(batches, [None]):
+            table = pa.Table.from_batches([x for x in (held, batch) if x is not None], schema) if held or batch else None
+            if table is None or not len(table):
+                continue
             key, ctx = table["key"].to_numpy(), table["ctx"].to_numpy()
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])])
-            begin = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-            nth = np.arange(len(key)) - begin
-            carried = last[2] if (held is None and last[0] == key[0] and last[1] == ctx[0]) else 0
-            nth[begin == 0] += carried
-            other = np.concatenate([key[1:] == key[:-1], [False]]) | np.concatenate([[last[0] == key[0] and held is None], key[1:] == key[:-1]])
-            lonely_end = not other[-1]  # the next batch decides
-            n = len(key) - lonely_end
-            out = table.slice(0, n).append_column("chosen", pa.array(nth[:n] < 2)).filter(pa.array(other[:n]))
-            yield from out.to_batches()
-            held = table.slice(n) if lonely_end else None
-            last = (key[-1], ctx[-1], int(nth[-1]) + 1)
-
-    places = written(dealt.mapInArrow(shared, "key bigint, ctx bigint, row bigint, pos bigint, chosen boolean"))
-    chosen = places.filter("chosen").select("key", "ctx", "row", "pos")
-    wanted = chosen.groupBy("row").agg(F.collect_list(F.struct("key", "ctx", "pos")).alias("wanted"))
+            same_key = np.concatenate([key[1:] == key[:-1], [False]])
+            same = same_key & np.concatenate([ctx[1:] == ctx[:-1], [False]])
+            starts = np.concatenate([[0], np.flatnonzero(~same[:-1]) + 1])
+            number = np.arange(len(key)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(key)]])))
+            number[: starts[1] if len(starts) > 1 else len(key)] += nth
+            shares = same_key | np.concatenate([[not alone], same_key[:-1]])
+            n = len(key) - (batch is not None)
+            out = table.slice(0, n).append_column("chosen", pa.array(number[:n] == 0)).append_column("many", pa.array(same[:n]))
+            yield from out.filter(pa.array(shares[:n])).to_batches()
+            held = table.slice(n).combine_chunks().to_batches()[0] if batch is not None else None
+            nth, alone = int(number[-1]), not (same_key[-2] if len(key) > 1 else not alone)
+
+    schema = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("row", pa.int64()), ("pos", pa.int32()), ("span", pa.int32())])
+    places = written(dealt.mapInArrow(shared, "key bigint, ctx bigint, row bigint, pos int, span int, chosen boolean, many boolean"))
+    chosen = places.filter("chosen").select("key", "ctx", "row", "pos", "span", "many")
+    sizes = chosen.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    counted = chosen.join(sizes, "key")
+    before, after = F.shiftright("span", 8), F.col("span").bitwiseAND(255)
+    whole = counted.filter((F.col("n") == 1) & (before + after >= length)).select("ctx", (-before).alias("low"), after.alias("high"))
+    several = counted.filter("n > 1")
+    wanted = several.groupBy("row").agg(F.collect_list(F.struct("key", "ctx", "pos", "many", F.col("n").cast("int").alias("n"), "span")).alias("wanted"))
+    largest, total = sizes.filter("n > 1").agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
 
     def cut(batches):
         for batch in batches:
@@ -288,29 +317,28 @@ def dedup_substrings(
                 data = (data or "").encode()
                 fields = asked.values
                 key, ctx, pos = (fields.field(i).to_numpy() for i in range(3))
-                begin = np.maximum(pos - reach, 0)
-                parts = [data[a : p + length] for a, p in zip(begin.tolist(), pos.tolist(), strict=True)]
+                pos = pos.astype(np.int64)
+                span = fields.field(5).to_numpy()
+                begin, end = pos - (span >> 8), pos + (span & 255)
+                parts = [data[a:c] + data[c + core : b] for a, c, b in zip(begin.tolist(), pos.tolist(), end.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(ctx), pa.array(np.full(len(pos), row, np.int64)), pa.array(pos), pa.array((pos - begin).astype(np.int32)), pa.array(parts, pa.binary())],
-                    names=["key", "ctx", "row", "pos", "before", "bytes"],
+                    [pa.array(key), pa.array(ctx), pa.array(np.full(len(pos), row, np.int64)), pa.array(pos), pa.array((pos - begin).astype(np.int32)), fields.field(3), fields.field(4), pa.array(parts, pa.binary())],
+                    names=["key", "ctx", "row", "pos", "before", "many", "n", "bytes"],
                 )
 
-    schema = "key bigint, ctx bigint, row bigint, pos bigint, before int, bytes binary"
-    around = source.select("text", "row").join(wanted, "row").select("text", "row", "wanted").mapInArrow(cut, schema)
-    sizes = chosen.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    total = chosen.count()
-    shards = max(1, -(-total * 2 * length // shard_bytes))
+    layout = "key bigint, ctx bigint, row bigint, pos bigint, before int, many boolean, n int, bytes binary"
+    around = source.select("text", "row").join(wanted, "row").select("text", "row", "wanted").mapInArrow(cut, layout)
+    shards = max(1, -(-total * 2 * width // shard_bytes))
     blocks = F.ceil(F.col("n") / block).cast("int")
-    around = around.join(sizes, "key")
-    plain = around.filter(blocks == 1).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    plain = (around.filter(blocks == 1) if largest > block else around).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
 
     def in_shard(key, table):
-        shard, ctx, before = _as_shard(table, length)
-        return _found(shard, shard.repeated(), ctx, before)
+        shard, ctx = _shards([table], width)[0]
+        return _found(shard, shard.repeated(), ctx, length)
 
     result = "ctx bigint, low int, high int"
     marks = plain.groupBy("shard").applyInArrow(in_shard, result)
-    if not sizes.filter(blocks > 1).isEmpty():
+    if largest > block:
         own = F.pmod(F.xxhash64("ctx", "row", "pos"), blocks.cast("bigint")).cast("int")
         large = around.filter(blocks > 1).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         large = large.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
@@ -319,13 +347,13 @@ def dedup_substrings(
             if key[1].as_py() == key[2].as_py():
                 return in_shard(key, table)
             mine = pc.equal(table["own"], key[1])
-            (one, ctx_one, pre_one), (two, ctx_two, pre_two) = _as_pair(table.filter(mine), table.filter(pc.invert(mine)), length)
+            (one, ctx_one), (two, ctx_two) = _shards([table.filter(mine), table.filter(pc.invert(mine))], width)
             mask_one, mask_two = merged(one, two)
-            return pa.concat_tables([_found(one, mask_one, ctx_one, pre_one), _found(two, mask_two, ctx_two, pre_two)])
+            return pa.concat_tables([_found(one, mask_one, ctx_one, length), _found(two, mask_two, ctx_two, length)])
 
         marks = marks.union(large.groupBy("key", "a", "b").applyInArrow(in_pair, result))
 
-    marks = written(marks.distinct())
+    marks = written(marks.union(whole).distinct())
     spans = places.select("ctx", "row", "pos").distinct().join(marks, "ctx").select("row", (F.col("pos") + F.col("low")).alias("low"), (F.col("pos") + F.col("high")).alias("high"))
     lost = spans.groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("lost"))
     joined = source.join(lost, "row", "left").select("id", "text", "lost")
@@ -349,11 +377,3 @@ def dedup_substrings(
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
     return joined.mapInArrow(removed, f"`{id_col}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
 
-
-def _as_pair(one: pa.Table, two: pa.Table, length: int):
-    """Two shards whose places are numbered alike."""
-    both = pa.concat_tables([one, two])
-    whole, ctx, before = _as_shard(both, length)
-    n = len(one)
-    place = whole.place[whole.first] if len(both) else np.empty(0, np.int64)
-    return tuple((Shard(t["bytes"].to_pylist(), place[s], length), ctx[s], before[s]) for t, s in ((one, slice(0, n)), (two, slice(n, None))))
