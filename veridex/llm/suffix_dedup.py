@@ -184,29 +184,28 @@ class Shard:
             out[at] = np.repeat((low != high) | many, np.diff(np.concatenate([cuts, [len(at)]])))
         return out
 
-    def heads(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """(sorted strings of the classes, positions in the array's order, class of each) for merging with another."""
+    def heads(self) -> tuple[np.ndarray, ...]:
+        """(sorted strings of the classes, first and last place of each, positions in the array's order, class of each)."""
         at, group = self.classes()
-        new = np.concatenate([[True], group[1:] != group[:-1]]) if len(at) else np.empty(0, bool)
-        text = self.symbols.astype(">u4").tobytes()
-        return [text[4 * i : 4 * (i + self.width)] for i in at[new].tolist()], at, np.cumsum(new) - 1
+        if not len(at):
+            return np.empty(0, "S1"), at, at, at, at
+        new = np.concatenate([[True], group[1:] != group[:-1]])
+        cuts, place = np.flatnonzero(new), self.place[at]
+        strings = np.lib.stride_tricks.sliding_window_view(self.symbols.astype(">u4"), self.width)[at[cuts]]
+        strings = np.ascontiguousarray(strings).view(f"S{4 * self.width}").ravel()
+        return strings, np.minimum.reduceat(place, cuts), np.maximum.reduceat(place, cuts), at, np.cumsum(new) - 1
 
 
 def merged(one: Shard, two: Shard) -> tuple[np.ndarray, np.ndarray]:
     """What each of two shards repeats of the other, by binary search among the other's sorted classes."""
-    from bisect import bisect_left
-
-    (a, at_a, group_a), (b, at_b, group_b) = one.heads(), two.heads()
-    in_a, in_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
-    for i, head in enumerate(a):
-        j = bisect_left(b, head)
-        if j < len(b) and b[j] == head:
-            places = np.concatenate([one.place[at_a[group_a == i]], two.place[at_b[group_b == j]]])
-            in_a[i] = in_b[j] = places.min() != places.max()
+    (a, low_a, high_a, at_a, group_a), (b, low_b, high_b, at_b, group_b) = one.heads(), two.heads()
     out_a, out_b = np.zeros(len(one.symbols), bool), np.zeros(len(two.symbols), bool)
-    if len(a):
+    if len(a) and len(b):
+        near = np.minimum(np.searchsorted(b, a), len(b) - 1)
+        in_a = (b[near] == a) & (np.minimum(low_a, low_b[near]) != np.maximum(high_a, high_b[near]))
+        in_b = np.zeros(len(b), bool)
+        in_b[near[in_a]] = True
         out_a[at_a] = in_a[group_a]
-    if len(b):
         out_b[at_b] = in_b[group_b]
     return out_a, out_b
 
