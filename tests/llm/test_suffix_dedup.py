@@ -68,3 +68,21 @@ def test_empty_table_and_repeats(spark):
     rows = [(None, "m" * 10), (1, "n1" * 150), (1, "n1" * 150)]
     got = suffix_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted(r.n_removed for r in got) == [0, 300, 300]
+
+
+def test_a_key_over_many_ranges_equals_brute_force(spark):
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(320))
+    rows = [(i, f"{rng.random()} {passage} {rng.random()}") for i in range(60)]
+    rows += [(100 + i, passage * 2) for i in range(40)] + [(200, passage[:199]), (201, passage[60:260])]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    settings = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = suffix_dedup.dedup_substrings(frame).drop("kept").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == sorted(brute(rows, 200))

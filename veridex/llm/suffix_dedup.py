@@ -277,11 +277,16 @@ def dedup_substrings(
             )
 
     found = source.select("text", "row").mapInArrow(anchored, "key bigint, ctx bigint, row bigint, pos int, span int")
-    dealt = found.repartition("key").sortWithinPartitions("key", "ctx", "row", "pos")
+    # dealt in sorted ranges, so that the places of one key fill as many tasks as they need
+    order = ["key", "ctx", "row", "pos"]
+    dealt = found.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def shared(batches):
-        """Rows of keys with two places or more; chosen: the first of each surrounding, many: there are others like it."""
-        held, nth, alone = None, 0, True  # the last row waits for the next; its number in its surrounding; no row before it
+        """Rows of keys with two places or more; chosen: the first of each surrounding, many: there are others like it.
+
+        A range's first and last row may have others like them in the next range, and always stay.  A surrounding that
+        reaches over ranges has a first place in each, and the shard finds them alike."""
+        held, nth, alone = None, 0, False  # the last row waits for the next; its number in its surrounding; no row before it
         for batch in chain(batches, [None]):
             table = pa.Table.from_batches([x for x in (held, batch) if x is not None], schema) if held or batch else None
             if table is None or not len(table):
@@ -293,6 +298,7 @@ def dedup_substrings(
             number = np.arange(len(key)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(key)]])))
             number[: starts[1] if len(starts) > 1 else len(key)] += nth
             shares = same_key | np.concatenate([[not alone], same_key[:-1]])
+            shares[-1] |= batch is None
             n = len(key) - (batch is not None)
             out = table.slice(0, n).append_column("chosen", pa.array(number[:n] == 0)).append_column("many", pa.array(same[:n]))
             yield from out.filter(pa.array(shares[:n])).to_batches()
@@ -305,7 +311,7 @@ def dedup_substrings(
     sizes = chosen.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     counted = chosen.join(sizes, "key")
     before, after = F.shiftright("span", 8), F.col("span").bitwiseAND(255)
-    whole = counted.filter((F.col("n") == 1) & (before + after >= length)).select("ctx", (-before).alias("low"), after.alias("high"))
+    whole = counted.filter((F.col("n") == 1) & F.col("many") & (before + after >= length)).select("ctx", (-before).alias("low"), after.alias("high"))
     several = counted.filter("n > 1")
     wanted = several.groupBy("row").agg(F.collect_list(F.struct("key", "ctx", "pos", "many", F.col("n").cast("int").alias("n"), "span")).alias("wanted"))
     largest, total = sizes.filter("n > 1").agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
