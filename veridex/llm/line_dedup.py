@@ -1,8 +1,9 @@
 """Line dedup: lines that many documents share stay in one of them.
 
 Lines are exploded with their positions and hashed to 128 bits; documents are counted for each hash with map-side
-partial sums, so a line that a third of all documents hold is one row a task.  The keys over the threshold are joined
-back to the lines (a shuffle join, whose skewed keys Spark splits), and a text is reassembled from the positions left.
+partial sums, so a line that a third of all documents hold is one row a task.  The keys over the threshold are written
+as a table and joined back to the lines: Spark splits skewed keys only in a join whose two sides are both dealt out for
+it, which a side still being summed isn't.  A text is reassembled from the positions left.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridex.llm import textcols
+from veridex.llm.shared_store import written
 
 
 def line_keys(text: Column, min_chars: int) -> Column:
@@ -42,6 +44,7 @@ def dedup_lines(
     distinct = F.array_distinct(F.filter("_keys", lambda k: k.isNotNull()))
     counted = keyed.select("_id", F.explode(distinct).alias("_key")).groupBy("_key.a", "_key.b")
     shared = counted.agg(F.count(F.lit(1)).alias("_docs"), F.max("_id").alias("_keeper")).filter(F.col("_docs") >= min_docs)
+    shared = written(shared.select("a", "b", "_keeper"))
 
     placed = keyed.select("_id", "_row", F.posexplode("_keys").alias("_pos", "_key")).filter(F.col("_key").isNotNull())
     placed = placed.select("_id", "_row", "_pos", "_key.a", "_key.b")
