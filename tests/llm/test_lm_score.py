@@ -85,3 +85,35 @@ def test_score_beats_single_words_on_held_out_text(spark):
     rows = [(i, " ".join(rng.choice(phrases) for _ in range(20))) for i in range(100)]
     got = lm_score.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).filter("held_out").collect()
     assert got and all(r.score > r.base_score for r in got)
+
+
+def test_rare_pairs_keep_their_arcs_in_a_larger_corpus(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(1000))) for i in range(400)]  # 1e-5 of the tokens is over 3
+    train = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5 != 1][:3]
+    held = next(i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5 == 1)
+    rows += [(i, "seldom seen words") for i in train] + [(held, "seldom seen words")]
+    got = lm_score.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).filter(f"doc_id = {held}").first()
+    assert got.held_out and got.score > got.base_score + 8
+    assert got.score == pytest.approx(brute([(i, t) for i, t in rows], 0.0, 0.0, 0.75)[held][5])
+
+
+@pytest.mark.parametrize("rows_held", [40, 1 << 20])
+def test_scores_do_not_depend_on_blocks_or_flushes(spark, monkeypatch, rows_held):
+    monkeypatch.setattr(lm_score, "COUNTS_HELD", rows_held)
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 20)))) for i in range(80)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5, "doc_id")
+    want = brute(rows, 0.0, 0.0, 0.75)
+    for r in lm_score.score_texts(frame).collect():
+        assert r.score == pytest.approx(want[r.doc_id][5])
+
+
+def test_names_of_pairs_equal_sparks_hash(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    a, b = np.array([0, 1, -1, 2**63 - 1, -(2**63)]), np.array([5, -7, 0, 2**62, 3])
+    frame = spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a bigint, b bigint")
+    want = {(r.a, r.b): r.h for r in frame.select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    assert lm_score.joined(a, b).tolist() == [want[x] for x in zip(a.tolist(), b.tolist())]

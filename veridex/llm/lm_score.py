@@ -1,15 +1,17 @@
 """Language-model scores by a weighted backoff automaton.
 
-The corpus is counted in Spark.  Words are counted for each block of documents and summed over blocks by a shuffle; the
-sums go back to the blocks that hold the word, so no task and no broadcast ever holds the vocabulary.  Words, pairs and
-triples with a fixed share of all training tokens become states and arcs (at most 1 / share of them, whatever the size
-of the corpus); pairs are counted over kept words and triples over kept pairs.
+The corpus is counted in Spark.  Words, pairs and triples are counted for each block of documents and summed over blocks
+by a shuffle; all with two occurrences or more are states and arcs, whatever the size of the corpus.  Backoff weights
+are joins and sums over the tables of counts.  Counts and weights go back to the blocks that hold the word, pair or
+triple, so no task, no broadcast and no driver ever holds the vocabulary or the model.
 
 The automaton: a state is a history of up to two words.  An arc leads from a history over a word to the longest kept
 history that ends in it, with the discounted log-probability of the word.  Where a state has no arc for a word, its
 failure arc leads to the history without its first word, with the backoff weight, down to the empty history, whose arcs
-are the smoothed single words.  One pass from left to right carries the state and sums the weights; as a state is the
-longest kept history of the words read, a batch of texts is laid out in array steps, one for each length of history.
+are the smoothed single words.  A state is the longest kept history of the words read, so a batch of texts is laid out in
+array steps, one for each length of history.
+
+A pair is named by the hashes of its words, a triple by the names of its two pairs.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from veridex.llm.shared_store import written
 
 #: The token after the last word of each text; a word has this hash only by chance.
 END = 0x5851F42D4C957F2D
-BLOCK_BYTES = 16 << 20
-COUNTS_HELD = 2_000_000
+BLOCK_BYTES = 8 << 20
+COUNTS_HELD = 3_000_000
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,79 +54,30 @@ def places(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(values[at] == wanted, at, -1)
 
 
-class Automaton:
-    """State 0 is the empty history, then one state a kept word, then one a kept pair of words."""
-
-    def __init__(self, words, counts, total: int, kinds: int, discount: float = 0.75):
-        order = np.argsort(words)
-        self.words, self.counts = words[order], counts[order].astype(float)
-        self.total, self.kinds, self.discount = total, kinds, discount
-        self.step = len(self.words) + 1
-        self.pairs, self.pair_counts = np.empty(0, np.int64), np.empty(0)
-        self.codes, self.target, self.weight = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        self.failure = np.zeros(self.step, np.int64)
-        self.backoff = np.zeros(self.step)
-
-    def single(self, counts: np.ndarray) -> np.ndarray:
-        """log10 of the smoothed probability of words with these counts."""
-        return np.log10((counts + 0.5) / (self.total + 0.5 * (self.kinds + 1)))
-
-    def with_pairs(self, codes: np.ndarray, counts: np.ndarray) -> None:
-        """Adds kept pairs; a code is history state * step + number of the word."""
-        order = np.argsort(codes)
-        self.pairs, self.pair_counts = codes[order], counts[order].astype(float)
-        history, word = self.pairs // self.step, self.pairs % self.step
-        own = (self.pair_counts - self.discount) / self.counts[history - 1]
-        lower = 10 ** self.single(self.counts)[word]
-        self.codes, self.weight = self.pairs, np.log10(own)
-        self.target = self.step + np.arange(len(codes))
-        self.failure = np.concatenate([self.failure, word + 1])
-        self.backoff = np.concatenate([self._backoff(history, own, lower, self.step), np.zeros(len(codes))])
-
-    def with_triples(self, codes: np.ndarray, counts: np.ndarray) -> None:
-        """Adds kept triples; the state of their history is a pair's, and their last two words are a kept pair."""
-        history, word = codes // self.step, codes % self.step
-        pair = history - self.step
-        suffix = places(self.pairs, self.failure[history] * self.step + word)
-        own = (counts - self.discount) / self.pair_counts[pair]
-        lower = 10 ** self.weight[suffix]
-        self.backoff = np.concatenate([self.backoff[: self.step], self._backoff(pair, own, lower, len(self.pairs))])
-        order = np.argsort(codes)
-        self.codes = np.concatenate([self.codes, codes[order]])  # states of pairs come after those of words
-        self.weight = np.concatenate([self.weight, np.log10(own)[order]])
-        self.target = np.concatenate([self.target, self.step + suffix[order]])
-
-    @staticmethod
-    def _backoff(history, own, lower, size) -> np.ndarray:
-        """log10 of what is left for words without an arc, over what they have one history shorter."""
-        kept, gone = (np.bincount(history, weights=x, minlength=size) for x in (own, lower))
-        return np.log10(np.maximum(1 - kept, 1e-9) / np.maximum(1 - gone, 1e-9))
-
-    def read(self, hashed: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of each token's word or -1, state after each token)."""
-        word = places(self.words, hashed)
-        state = word + 1
-        before = np.concatenate([[0], state[:-1]])
-        before[offsets[:-1]] = 0
-        pair = places(self.pairs, np.where((before > 0) & (word >= 0), before * self.step + word, -1))
-        return word, np.where(pair >= 0, pair + self.step, state)
-
-    def weigh(self, word: np.ndarray, state: np.ndarray, offsets: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The log-probability of each token, given the states after them and their words' counts."""
-        now = np.concatenate([[0], state[:-1]])
-        now[offsets[:-1]] = 0
-        sums = np.zeros(len(word))
-        todo = np.arange(len(word))
-        while len(todo):
-            s, w = now[todo], word[todo]
-            arc = places(self.codes, np.where((s > 0) & (w >= 0), s * self.step + w, -1))
-            hit, empty = arc >= 0, s == 0
-            sums[todo[hit]] += self.weight[arc[hit]]
-            sums[todo[empty]] += self.single(counts[todo[empty]])
-            todo, s = todo[~hit & ~empty], s[~hit & ~empty]
-            sums[todo] += self.backoff[s]
-            now[todo] = self.failure[s]
-        return sums
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64(a, b)."""
+    out = np.uint64(42)
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    with np.errstate(over="ignore"):
+        for value in (a.view(np.uint64), b.view(np.uint64)):
+            x = value * p2
+            x = ((x << np.uint64(31)) | (x >> np.uint64(33))) * p1
+            x = x ^ (out + p5 + np.uint64(8))
+            x = ((x << np.uint64(27)) | (x >> np.uint64(37))) * p1 + p4
+            x = (x ^ (x >> np.uint64(33))) * p2
+            x = (x ^ (x >> np.uint64(29))) * p3
+            out = x ^ (x >> np.uint64(32))
+    return out.view(np.int64)
+
+
+def grams(hashed: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name of the pair that ends at each token, whether there is one, whether a triple ends there)."""
+    before = np.concatenate([hashed[:1], hashed[:-1]])
+    two = np.ones(len(hashed), bool)
+    two[offsets[:-1]] = False
+    three = two.copy()
+    three[1:] &= two[:-1]
+    return joined(before, hashed), two, three
 
 
 def _train(id_col: Column) -> Column:
@@ -132,29 +85,19 @@ def _train(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % 5 != 1
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    codes, back = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-    return codes, np.bincount(back, weights=np.concatenate([n for _, n in parts]), minlength=len(codes)).astype(np.int64)
-
-
-def _codes_counted(docs: DataFrame, coded, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Codes that coded() gives for training texts, and their counts from ``least`` on: at most total / least of them."""
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(code, a, b, n) with n summed over equal codes."""
+    codes, a, b, n = (np.concatenate(column) for column in zip(*parts, strict=True))
+    codes, first, back = np.unique(codes, return_index=True, return_inverse=True)
+    return codes, a[first], b[first], np.bincount(back, weights=n, minlength=len(codes)).astype(np.int64)
 
-    def partial(batches):
-        parts: list = []
-        for piece in pieces(batches, 0):
-            parts.append(np.unique(coded(piece.column(0)), return_counts=True))
-            if sum(len(c) for c, _ in parts) > COUNTS_HELD:
-                parts = [_summed(parts)]
-                if len(parts[0][0]) > COUNTS_HELD // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], names=["code", "n"])
-                    parts = []
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(parts)], names=["code", "n"])
 
-    counted = docs.filter("train").select("text").mapInArrow(partial, "code bigint, n bigint")
-    rows = counted.groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
-    return rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+def _counted(hashed: np.ndarray, offsets: np.ndarray, train: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """(code, a, b, occurrences in training texts) of the words, pairs and triples of some texts."""
+    pair, two, three = grams(hashed, offsets)
+    before, last = np.concatenate([hashed[:1], hashed[:-1]]), np.concatenate([pair[:1], pair[:-1]])
+    out = [_summed([(hashed, hashed, np.zeros_like(hashed), train)]), _summed([(pair[two], before[two], hashed[two], train[two])])]
+    return [*out, _summed([(joined(last[three], pair[three]), last[three], pair[three], train[three])])]
 
 
 def _sub_blocks(docs: DataFrame) -> int:
@@ -165,14 +108,15 @@ def _sub_blocks(docs: DataFrame) -> int:
 
 
 def score_texts(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_share: float = 1e-5, gram_share: float = 1e-6, discount: float = 0.75
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_share: float = 0.0, gram_share: float = 0.0, discount: float = 0.75
 ) -> DataFrame:
     """One row for each row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are runs of characters other than blanks, with A-Z lower-cased, and one end a text.  Training texts are those
     whose crc32(id as text) modulo 5 is not 1.  base_score sums log10((c + 0.5) / (N + 0.5 (V + 1))) over tokens; score
-    sums the automaton's weights.  word_share and gram_share bound the automaton: words, and pairs and triples, with at
-    least that share of the training tokens (and two occurrences) get arcs; all others back off to their exact counts.
+    sums the automaton's weights.  Words, pairs and triples that training texts hold twice get arcs, at any size of the
+    corpus; all others back off to their exact counts.  word_share and gram_share ask for at least that share of the
+    training tokens besides, for a smaller model.
 
     A null or empty text is the end alone.  Repeated rows count and are scored each; a null id is a training document.
     An empty table gives no rows.  Other columns of docs are not read.  docs must give the same partitions each time
@@ -184,71 +128,120 @@ def score_texts(
     source = source.withColumn("train", _train(F.col("id")))
     source = source.withColumn("block", F.spark_partition_id() * sub + F.pmod(F.xxhash64("id", "text"), F.lit(sub)).cast("int"))
 
-    def words_of_blocks(batches):
-        held: dict[int, list] = {}
+    def grams_of_blocks(batches):
+        held: dict[tuple[int, int], list] = {}
+
+        def rows():
+            for (block, k), parts in held.items():
+                codes, a, b, n = _summed(parts)
+                arrays = [np.full(len(codes), block, np.int32), np.full(len(codes), k, np.int8), a, b, n]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["block", "k", "a", "b", "n"])
+            held.clear()
+
+        size = 0
         for batch in batches:
             for block in batch.column(1).unique().to_pylist():
                 some = batch.filter(pa.array(batch.column(1).to_numpy() == block))
                 for piece in pieces([some], 0):
                     hashed, offsets = tokens(piece.column(0))
-                    train = np.repeat(piece.column(2).to_numpy(zero_copy_only=False), np.diff(offsets))
-                    codes, back = np.unique(hashed, return_inverse=True)
-                    parts = held.setdefault(block, [])
-                    parts.append((codes, np.bincount(back, weights=train, minlength=len(codes)).astype(np.int64)))
-                    if sum(len(c) for c, _ in parts) > COUNTS_HELD // sub:
-                        held[block] = [_summed(parts)]
-        for block, parts in held.items():
-            codes, counts = _summed(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), block, np.int32)), pa.array(codes), pa.array(counts)], names=["block", "h", "n"])
-
-    found = source.select("text", "block", "train").mapInArrow(words_of_blocks, "block int, h bigint, n bigint")
-    by_word = Window.partitionBy("h")  # at most one row a block
-    first = F.row_number().over(by_word.orderBy("block")) == 1
-    counts = written(found.select("block", "h", F.sum("n").over(by_word).alias("c"), first.alias("lead")))
+                    train = np.repeat(piece.column(2).to_numpy(zero_copy_only=False), np.diff(offsets)).astype(np.int64)
+                    for k, part in enumerate(_counted(hashed, offsets, train), 1):
+                        held.setdefault((block, k), []).append(part)
+                        size += len(part[0])
+                    if size > COUNTS_HELD:
+                        for key, parts in held.items():
+                            held[key] = [_summed(parts)]
+                        size = sum(len(parts[0][0]) for parts in held.values())
+                        if size > COUNTS_HELD // 2:  # a block may then give two rows for one gram, with the same sum
+                            yield from rows()
+                            size = 0
+        yield from rows()
+
+    found = source.select("text", "block", "train").mapInArrow(grams_of_blocks, "block int, k tinyint, a bigint, b bigint, n bigint")
+    by_gram = Window.partitionBy("k", "a", "b")  # a few rows a block
+    first = F.row_number().over(by_gram.orderBy("block")) == 1
+    summed = found.select("block", "k", "a", "b", F.sum("n").over(by_gram).alias("c"), first.alias("lead"))
+    counts = written(summed.filter("k = 1 OR c >= 2"))
     lead = counts.filter("lead AND c > 0")
-    total, kinds = lead.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-
-    kept = lead.filter(F.col("c") >= max(2, word_share * total)).select("h", "c").toPandas()
-    model = Automaton(kept["h"].to_numpy(np.int64), kept["c"].to_numpy(np.int64), total, kinds, discount)
+    total, kinds = lead.filter("k = 1").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     least = max(2, gram_share * total)
 
-    def pairs(texts):
-        hashed, offsets = tokens(texts)
-        word = places(model.words, hashed)
-        code = (word[:-1] + 1) * model.step + word[1:]
-        ok = (word[:-1] >= 0) & (word[1:] >= 0)
-        ok[offsets[1:-1] - 1] = False
-        return code[ok]
-
-    model.with_pairs(*_codes_counted(source, pairs, least))
-
-    def triples(texts):
-        hashed, offsets = tokens(texts)
-        word, state = model.read(hashed, offsets)
-        ok = (state[:-1] >= model.step) & (state[1:] >= model.step)
-        ok[offsets[1:-1] - 1] = False
-        return state[:-1][ok] * model.step + word[1:][ok]
-
-    model.with_triples(*_codes_counted(source, triples, least))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def scored(texts_of_block, counts_of_block):
-        automaton = shared.value
-        order = np.argsort(counts_of_block["h"].to_numpy())
-        known, count = counts_of_block["h"].to_numpy()[order], counts_of_block["c"].to_numpy()[order]
+    words = lead.filter((F.col("k") == 1) & (F.col("c") >= max(2, word_share * total))).select(F.col("a").alias("h"), F.col("c").alias("c1"))
+    pairs = lead.filter((F.col("k") == 2) & (F.col("c") >= least)).select("a", "b", F.col("c").alias("c2"))
+    if word_share:  # a pair that stands twice has words that do
+        pairs = pairs.join(words, pairs["a"] == words["h"], "left_semi")
+    ends = pairs.join(words, pairs["b"] == words["h"]).select(F.xxhash64("a", "b").alias("pair"), "a", "c2", "c1")
+    ends = written(ends)
+    triples = lead.filter((F.col("k") == 3) & (F.col("c") >= least)).select("a", "b", F.col("c").alias("c3"))
+    shorter = triples.join(ends.select(F.col("pair").alias("b"), "c2"), "b")
+
+    def weight(kept: Column, gone: Column) -> Column:
+        """log10 of what is left for words without an arc, over what they have one history shorter; 0 without arcs."""
+        share = F.greatest(1 - kept, F.lit(1e-9)) / F.greatest(1 - gone, F.lit(1e-9))
+        return F.coalesce(F.log10(share), F.lit(0.0)).alias("backoff")
+
+    after = ends.groupBy("a").agg(F.sum("c2").alias("s"), F.sum("c1").alias("t"), F.count(F.lit(1)).alias("m"))
+    m, s, t = F.col("m"), F.col("s"), F.col("t")
+    single_words = words.join(after, words["h"] == after["a"], "left").select(
+        F.lit(1).cast("tinyint").alias("k"), F.col("h").alias("name"), weight((s - discount * m) / F.col("c1"), (t + 0.5 * m) / (total + 0.5 * (kinds + 1)))
+    )
+    after = shorter.groupBy(F.col("a").alias("p")).agg(F.sum("c3").alias("s"), F.sum("c2").alias("t"), F.count(F.lit(1)).alias("m"))
+    all_pairs = ends.join(after, F.col("pair") == F.col("p"), "left").select(
+        F.lit(2).cast("tinyint").alias("k"), F.col("pair").alias("name"), weight((s - discount * m) / F.col("c2"), (t - discount * m) / F.col("c1"))
+    )
+    backoffs = written(single_words.union(all_pairs))
+
+    name = F.when(F.col("k") == 1, F.col("a")).otherwise(F.xxhash64("a", "b")).alias("name")
+    named = counts.select("block", "k", name, "c")
+    dealt = named.filter("k < 3").join(backoffs, ["k", "name"], "left").filter("k = 1 OR backoff IS NOT NULL").select("block", "k", "name", "c", "backoff")
+    dealt = dealt.union(named.filter((F.col("k") == 3) & (F.col("c") >= least)).select("block", "k", "name", "c", F.lit(None).cast("double")))
+
+    def single(c: np.ndarray) -> np.ndarray:
+        """log10 of the smoothed probability of words with these counts."""
+        return np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
+
+    def weigh(hashed, offsets, held) -> tuple[np.ndarray, np.ndarray]:
+        """(count of each token's word, log-probability of each token)."""
+        (names1, counts1, backoffs1), (names2, counts2, backoffs2), (names3, counts3, _) = held
+        word = places(names1, hashed)
+        if (word < 0).any():
+            raise RuntimeError("a block met a word that it had not counted: docs changed between two reads")
+        c = counts1[word]
+        name, two, three = grams(hashed, offsets)
+        pair = np.full(len(hashed), -1, np.int64)
+        pair[two] = places(names2, name[two])
+        sums = single(c)
+        at = np.flatnonzero(two)
+        at = at[~np.isnan(backoffs1[word[at - 1]])]  # from the state of a word
+        hit = pair[at] >= 0
+        sums[at[~hit]] += backoffs1[word[at[~hit] - 1]]
+        at = at[hit]
+        sums[at] = np.log10((counts2[pair[at]] - discount) / c[at - 1])
+        at = np.flatnonzero(three)
+        at = at[pair[at - 1] >= 0]  # from the state of a pair
+        triple = np.where(pair[at] >= 0, places(names3, joined(name[at - 1], name[at])), -1)
+        hit = triple >= 0
+        sums[at[~hit]] += backoffs2[pair[at[~hit] - 1]]
+        sums[at[hit]] = np.log10((counts3[triple[hit]] - discount) / counts2[pair[at[hit] - 1]])
+        return c, sums
+
+    def scored(texts_of_block, grams_of_block):
+        k = grams_of_block["k"].to_numpy()
+        names_, counts_, backoffs_ = (grams_of_block[x].to_numpy() for x in ("name", "c", "backoff"))
+        held = []
+        for size in (1, 2, 3):
+            some = np.flatnonzero(k == size)
+            some = some[np.argsort(names_[some])]
+            held.append((names_[some], counts_[some], backoffs_[some]))
         out = []
         for piece in pieces(texts_of_block.select(["text", "id", "train"]).to_batches(), 0):
             hashed, offsets = tokens(piece.column(0))
-            at = places(known, hashed)
-            if (at < 0).any():
-                raise RuntimeError("a block met a word that it had not counted: docs changed between two reads")
-            c = count[at]
-            word, state = automaton.read(hashed, offsets)
-            base = np.add.reduceat(automaton.single(c), offsets[:-1])
-            score = np.add.reduceat(automaton.weigh(word, state, offsets, c), offsets[:-1])
+            c, sums = weigh(hashed, offsets, held)
+            base = np.add.reduceat(single(c), offsets[:-1])
+            score = np.add.reduceat(sums, offsets[:-1])
             n_known = np.add.reduceat((c > 0).astype(np.int64), offsets[:-1])
             held_out = pc.invert(piece.column(2))
-            out.append([piece.column(1), held_out, pa.array(np.diff(offsets)), pa.array(n_known), pa.array(np.full(len(held_out), automaton.total, np.int64)), pa.array(base), pa.array(score)])
+            out.append([piece.column(1), held_out, pa.array(np.diff(offsets)), pa.array(n_known), pa.array(np.full(len(held_out), total, np.int64)), pa.array(base), pa.array(score)])
         if not out:
             out = [[pa.array([], t) for t in types]]
         return pa.table([pa.chunked_array(x) for x in zip(*out, strict=True)], names=names)
@@ -256,6 +249,4 @@ def score_texts(
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     types = [to_arrow_type(docs.schema[id_col].dataType), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    right = counts.select("block", "h", "c").groupBy("block")
-    return source.select("block", "id", "text", "train").groupBy("block").cogroup(right).applyInArrow(scored, schema)
-
+    return source.select("block", "id", "text", "train").groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(scored, schema)
