@@ -5,12 +5,12 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridex.llm import bpe, decontaminate, line_dedup, quality, simhash
 from veridex.llm.queries_scans import digests
-from veridex.llm.shared_store import folder
+from veridex.llm.shared_store import folder, written
 from veridex.sources.tables import table
 
 
@@ -40,16 +40,35 @@ def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _documents(left.withColumn("full", verdict).filter("full"), docs.columns)
 
 
+def _hashed(columns: list[str], seed: int) -> Column:
+    """64 bits of a row; which of its columns are null counts too."""
+    return F.xxhash64(F.lit(seed), *columns, *(F.col(c).isNull() for c in columns))
+
+
 def near_duplicates_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each class of near-duplicates."""
-    kept = simhash.near_duplicates(docs).filter("doc_id = component").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each class of near-duplicates: of its smallest doc_id, and among rows of that id by a hash of the row.
+
+    A null doc_id comes after all others.  Rows that are equal in all columns are near-duplicates too: one of them stays.
+    """
+    columns = docs.columns
+    marked = docs.withColumn("_a", _hashed(columns, 0)).withColumn("_b", _hashed(columns, 1))
+    key = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", F.col("_a").alias("a"), F.col("_b").alias("b"))
+    found = simhash.near_duplicates(marked.select(key.alias("key"), "text"), id_col="key")
+    chosen = found.filter(F.col("key").eqNullSafe(F.col("component"))).groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    chosen = written(chosen.select(F.col("key.doc_id").alias("_id"), F.col("key.a").alias("_ka"), F.col("key.b").alias("_kb"), "rows"))
+
+    same = (F.col("_a") == F.col("_ka")) & (F.col("_b") == F.col("_kb")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    once = marked.join(chosen.filter("rows = 1"), same, "left_semi").select(*columns)
+    return once.union(marked.join(chosen.filter("rows > 1"), same, "left_semi").select(*columns).distinct())
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.filter("NOT contaminated").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    """Rows without a benchmark window, whatever rows share their doc_id; a null doc_id is an id like any other."""
+    columns = docs.columns
+    key = F.concat(F.hex(_hashed(columns, 0)), F.lit("-"), F.hex(_hashed(columns, 1)))
+    marked = docs.withColumn("_key", key)
+    found = decontaminate.decontaminate(marked.select("_key", "text"), table(spark, sf_dir, "benchmark"), id_col="_key")
+    return marked.join(found.filter("NOT contaminated").select("_key"), "_key", "left_semi").select(*columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,3 +28,24 @@ def test_stages_keep_documents_columns_and_the_last_equals_the_library(spark, tm
         want[key] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
     assert got == want
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == set(left)
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+
+
+def test_one_row_of_each_class_of_near_duplicates_stays(spark):
+    a, b, c, d = ("alpha beta gamma delta epsilon", "one two three four five six", "red green blue black white grey", "north south east west up down")
+    rows = [(1, "x", a), (1, "x", a), (2, "x", a), (1, "y", b), (3, "x", b), (None, "x", c), (None, "x", c), (None, None, c), (4, "x", d), (None, "x", d), (1, "x", b)]
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates_once(spark, rows_of(spark, rows), SF).collect()]
+    assert sorted(r[2] for r in got) == sorted([a, b, c, d])
+    left = {r[2]: r[0] for r in got}
+    assert left == {a: 1, b: 1, c: None, d: 4} and set(got) <= set(rows)
+
+
+def test_each_row_is_decontaminated_by_its_own_text(spark):
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("*").collect() if len((r.text or "").split()) >= 10)
+    clean = "nothing of a benchmark stands here at all"
+    rows = [(1, "x", clean), (1, "x", item), (None, "x", clean), (None, "x", clean), (None, None, clean), (None, "x", item), (2, "x", "")]
+    got = [tuple(r) for r in corpus_pipeline.decontaminated(spark, rows_of(spark, rows), SF).collect()]
+    assert sorted(got, key=str) == sorted((r for r in rows if r[2] != item), key=str)
