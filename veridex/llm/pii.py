@@ -3,8 +3,8 @@
 Mentions are found with one pattern and reduced to a canonical value, so that two spellings of a number are one entity.
 Each distinct entity draws a surrogate from a keyed hash in the shape of the value: digits for digits, letters for
 letters, the same country code, network, honorific, gender and script.  A check over all entities sends back those whose
-surrogate another entity has, or that is itself an entity of the corpus, and they draw again.  Surrogates are joined to
-the mentions by entity and put back at their places.  All steps are column expressions, joins and windows.
+surrogate another entity has, or that is itself an entity of the corpus, and they draw again; what draws don't settle is
+ranked and gets a surrogate that holds its rank.  Surrogates are joined to the mentions by entity and put back at their places.  All steps are column expressions, joins and windows.
 """
 
 from __future__ import annotations
@@ -165,12 +165,64 @@ def in_format(kind: Column, surface: Column, drawn: Column) -> Column:
     )
 
 
+def placed(kind: Column, value: Column, key: str, rank: Column) -> Column:
+    """A surrogate that no other rank of the kind has: the rank is written into it, in as many characters as it needs."""
+    zero = F.lit("0")
+    drawn = surrogate(kind, value, key, zero)
+    first = F.conv(F.substring(_draw(key, F.lit("start"), kind), 1, 8), 16, 10).cast("bigint")
+    at = first + rank  # so that ranks begin at a keyed place of a space of numbers
+    local = F.split_part(drawn, F.lit("@"), F.lit(1))
+    email = F.concat(local, F.lit("."), rank.cast("string"), F.lit("@"), F.split_part(drawn, F.lit("@"), F.lit(2)))
+    number = at % (223 << 24) + (1 << 24)
+    ip = F.concat_ws(".", *(F.shiftright(number, 8 * i).bitwiseAND(F.lit(255).cast("bigint")).cast("string") for i in (3, 2, 1, 0)))
+    phone = (F.lit(2_000_000_000).cast("bigint") + at % 8_000_000_000).cast("string")
+    inner = F.length(value) - 2
+    body = F.concat(F.left(value, F.lit(1)), F.lpad(F.right(at.cast("string"), inner), inner, "0"))
+    check = ((10 - _luhn_sum(body, 1) % 10) % 10 + F.when(_luhn_sum(value, 0) % 10 == 0, 0).otherwise(1)) % 10
+    ssn = F.lpad((at % 1_000_000_000).cast("string"), 9, "0")
+    secret = F.concat(F.left(drawn, F.length(drawn) - 12), F.lpad(rank.cast("string"), 12, "0"))
+    hexed, words, name = F.lower(F.lpad(F.hex(rank), 16, "0")), F.split(drawn, " "), None
+    start = F.least(F.lit(14), 17 - F.length(F.ltrim(hexed, F.lit("0"))))
+    digits = F.split(F.substring(hexed, start, F.lit(16)), "")  # 3 or more: longer than any given name that is drawn
+    for script, syllables in SYLLABLES.items():
+        table = F.array(*map(F.lit, syllables))
+        spelt = F.array_join(F.transform(digits, lambda c: F.get(table, F.conv(c, 16, 10).cast("int"))), "")  # noqa: B023
+        full = F.when(F.size(words) > 1, F.concat(F.initcap(spelt), F.lit(" "), F.element_at(words, -1))).otherwise(F.concat(F.element_at(words, -1), spelt))
+        name = full if name is None else F.when(value.rlike(r"\p{IsCyrillic}") == F.lit(script == "cyrillic"), full).otherwise(name)
+    return (
+        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", F.concat(body, check.cast("string")))
+        .when(kind == "ssn", ssn).when(kind == "secret", secret).otherwise(name)
+    )
+
+
+def _ranked(pending: DataFrame, key: str, start: int) -> tuple[DataFrame, int]:
+    """pending with a rank from start on in keyed order, by ranges and their offsets; and the next rank."""
+    sorted_ = pending.withColumn("h", _draw(key, F.lit("rank"), F.col("kind"), F.col("value"))).repartitionByRange("h", "value").sortWithinPartitions("h", "value")
+    sorted_ = written(sorted_.withColumn("m", F.monotonically_increasing_id()))
+    part = F.shiftright("m", 33)
+    offsets, total = [], start
+    for row in sorted_.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # a row a range
+        offsets.append((row["part"], total))
+        total += row["n"]
+    offset = F.broadcast(pending.sparkSession.createDataFrame(offsets, "part bigint, offset bigint"))
+    rank = F.col("offset") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
+    return sorted_.join(offset, part == F.col("part")).select("kind", "value", rank.alias("rank")), total
+
+
 def assign(entities: DataFrame, key: str, attempts: int = 64) -> DataFrame:
-    """(kind, value, drawn) for distinct entities (kind, value): no two share a surrogate, and none is an entity."""
-    pending, accepted = entities, None
+    """(kind, value, drawn) for distinct entities (kind, value): no two share a surrogate, and none is an entity.
+
+    Entities draw again while draws still settle half of them, at most attempts times.  The others are ranked and have
+    their rank written into the surrogate; ranks are never used twice, so all are settled however many they are.
+    """
+    pending, accepted, left, rank, draws = entities, None, None, 0, 0
     known = entities.select(F.col("kind").alias("k"), F.col("value").alias("v"))
-    for attempt in range(attempts):
-        drawn = pending.withColumn("drawn", surrogate(F.col("kind"), F.col("value"), key, F.lit(str(attempt))))
+    while True:
+        if draws is not None:
+            drawn = pending.withColumn("drawn", surrogate(F.col("kind"), F.col("value"), key, F.lit(str(draws))))
+        else:
+            numbered, rank = _ranked(pending, key, rank)
+            drawn = numbered.select("kind", "value", placed(F.col("kind"), F.col("value"), key, F.col("rank")).alias("drawn"))
         turn = F.row_number().over(Window.partitionBy("kind", "drawn").orderBy("value"))
         real = (F.col("kind") == F.col("k")) & (F.lower("drawn") == F.lower("v"))
         judged = drawn.withColumn("turn", turn).join(known, real, "left").withColumn("free", (F.col("turn") == 1) & F.col("v").isNull())
@@ -182,9 +234,11 @@ def assign(entities: DataFrame, key: str, attempts: int = 64) -> DataFrame:
         good = judged.filter("free").select("kind", "value", "drawn")
         accepted = good if accepted is None else accepted.union(good)
         pending = judged.filter("NOT free").select("kind", "value")
-        if pending.isEmpty():
+        before, left = left, pending.count()
+        if not left:
             return accepted
-    raise RuntimeError(f"surrogates still collide after {attempts} attempts")
+        if draws is not None:
+            draws = draws + 1 if draws + 1 < attempts and (before is None or 2 * left <= before) else None
 
 
 def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
