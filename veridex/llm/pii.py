@@ -19,10 +19,11 @@ from veridex.llm.shared_store import written
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}+(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|(?<=[0-9+][ .-])[0-9]{3}[ .-]|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*+[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![0-9A-Za-z:])",
+    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|(?<=[0-9+][ .-])[0-9]{3}[ .-]|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+.-])[2-9][0-9]{2}[2-9][0-9]{6}(?![0-9])|(?<![0-9+])\+[1-9](?:[ .()-]{0,2}[0-9]){9,14}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,}+|sk-[A-Za-z0-9_-]{20,}+)(?![A-Za-z0-9])",
     "man": r"(?<!\p{L})(?:Mr\.?|Herr|Monsieur|Señor|Sr\.|господин) \p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?(?!\p{L})",
     "woman": r"(?<!\p{L})(?:Mrs\.?|Ms\.?|Miss|Frau|Madame|Mme|Señora|Sra\.|госпожа) \p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?(?!\p{L})",
 }
@@ -38,6 +39,8 @@ SYLLABLES = {
     "cyrillic": ["ба", "ве", "ги", "до", "жу", "за", "ке", "ли", "мо", "ну", "па", "ре", "си", "то", "фу", "ца"],
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What a surrogate key keeps, so that it is of the same sort.
+KEY_PREFIX = r"^(?:sk-(?:proj-|svcacct-|admin-|ant-api[0-9]{2}-|or-v1-)?|github_pat_|.{4})"
 TITLE = r"^(\p{L}+\.?) "
 
 
@@ -57,7 +60,7 @@ def kind_of(surface: Column) -> Column:
 def canonical(kind: Column, surface: Column) -> Column:
     """What the spellings of one entity have in common; honorifics and national prefixes stay out of it."""
     return (
-        F.when(kind == "email", F.lower(surface))
+        F.when(kind.isin("email", "ipv6"), F.lower(surface))
         .when(kind == "phone", F.right(_digits(surface), F.lit(10)))
         .when(kind.isin("card", "ssn"), _digits(surface))
         .when(kind.isin("man", "woman"), F.regexp_replace(surface, TITLE, ""))
@@ -132,10 +135,13 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
     body = F.concat(F.left(value, F.lit(1)), F.substr(plain, F.lit(2), F.length(value) - 2))
     check = ((10 - _luhn_sum(body, 1) % 10) % 10 + F.when(_luhn_sum(value, 0) % 10 == 0, 0).otherwise(1)) % 10
     ssn = F.concat(F.lit("9"), F.substr(plain, F.lit(2)))
-    secret = F.concat(F.left(value, F.lit(4)), F.substr(plain, F.lit(5)))
+    prefix = F.regexp_extract(value, KEY_PREFIX, 0)
+    secret = F.concat(prefix, F.substr(plain, F.length(prefix) + 1))
+    ipv6 = F.concat_ws(":", F.lit("2001"), F.lit("db8"), *(F.substring(hashed, 4 * i + 1, 4) for i in range(6)))
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", F.concat_ws(".", *octets))
+        .when(kind == "ipv6", ipv6)
         .when(kind == "phone", phone)
         .when(kind == "card", F.concat(body, check.cast("string")))
         .when(kind == "ssn", ssn)
@@ -176,6 +182,8 @@ def placed(kind: Column, value: Column, key: str, rank: Column) -> Column:
     number = at % (223 << 24) + (1 << 24)
     ip = F.concat_ws(".", *(F.shiftright(number, 8 * i).bitwiseAND(F.lit(255).cast("bigint")).cast("string") for i in (3, 2, 1, 0)))
     phone = (F.lit(2_000_000_000).cast("bigint") + at % 8_000_000_000).cast("string")
+    groups = F.lpad(F.lower(F.hex(rank)), 16, "0")
+    ipv6 = F.concat_ws(":", F.lit("2001"), F.lit("db8"), F.lit("0"), F.lit("0"), *(F.substring(groups, 4 * i + 1, 4) for i in range(4)))
     inner = F.length(value) - 2
     body = F.concat(F.left(value, F.lit(1)), F.lpad(F.right(at.cast("string"), inner), inner, "0"))
     check = ((10 - _luhn_sum(body, 1) % 10) % 10 + F.when(_luhn_sum(value, 0) % 10 == 0, 0).otherwise(1)) % 10
@@ -190,7 +198,7 @@ def placed(kind: Column, value: Column, key: str, rank: Column) -> Column:
         full = F.when(F.size(words) > 1, F.concat(F.initcap(spelt), F.lit(" "), F.element_at(words, -1))).otherwise(F.concat(F.element_at(words, -1), spelt))
         name = full if name is None else F.when(value.rlike(r"\p{IsCyrillic}") == F.lit(script == "cyrillic"), full).otherwise(name)
     return (
-        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", F.concat(body, check.cast("string")))
+        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ipv6", ipv6).when(kind == "phone", phone).when(kind == "card", F.concat(body, check.cast("string")))
         .when(kind == "ssn", ssn).when(kind == "secret", secret).otherwise(name)
     )
 
