@@ -13,61 +13,41 @@ def split(text):
     return [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")] + [None]
 
 
-def brute(rows, share, gram_share, d):
+def brute(rows, strength=2.0):
     """Score of each row by nested definitions, without an automaton."""
     held = {i: zlib.crc32(str("" if i is None else i).encode()) % 5 == 1 for i, _ in rows}
     train = [split(t) for i, t in rows if not held[i]]
     one = Counter(w for t in train for w in t)
+    two = Counter(p for t in train for p in zip(t, t[1:]))
+    three = Counter(p for t in train for p in zip(t, t[1:], t[2:]))
     n, v = sum(one.values()), len(one)
-    single = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
-    words = {w for w, c in one.items() if c >= max(2, share * n)}
-    two = Counter(p for t in train for p in zip(t, t[1:]) if words >= {*p})
-    two = {p: c for p, c in two.items() if c >= max(2, gram_share * n)}
-    three = Counter(p for t in train for p in zip(t, t[1:], t[2:]) if p[:2] in two and p[1:] in two)
-    three = {p: c for p, c in three.items() if c >= max(2, gram_share * n)}
 
     def p1(w):
-        return single(w)
+        return (one[w] + 0.5) / (n + 0.5 * (v + 1))
 
     def p2(u, w):
-        if (u, w) in two:
-            return (two[u, w] - d) / one[u]
-        arcs = [x for (h, x) in two if h == u]
-        left = 1 - sum((two[u, x] - d) / one[u] for x in arcs)
-        return p1(w) * (left / (1 - sum(map(p1, arcs))) if arcs else 1)
+        return (two[u, w] + strength * p1(w)) / (one[u] + strength)
 
     def p3(t, u, w):
-        if (t, u) not in two:
-            return p2(u, w)
-        if (t, u, w) in three:
-            return (three[t, u, w] - d) / two[t, u]
-        arcs = [x for (a, b, x) in three if (a, b) == (t, u)]
-        left = 1 - sum((three[t, u, x] - d) / two[t, u] for x in arcs)
-        return p2(u, w) * (left / (1 - sum(p2(u, x) for x in arcs)) if arcs else 1)
+        return (three[t, u, w] + strength * p2(u, w)) / (two[t, u] + strength)
 
     out = {}
     for i, t in rows:
         t = split(t)
-        total = 0.0
-        for at, w in enumerate(t):
-            history = t[max(0, at - 2) : at]
-            while history and history[-1] not in words:
-                history = []
-            p = p1(w) if not history else p2(history[0], w) if len(history) == 1 else p3(*history, w) if history[0] in words else p2(history[1], w)
-            total += math.log10(p)
-        out[i] = (held[i], len(t), sum(one[w] > 0 for w in t), n, sum(math.log10(single(w)) for w in t), total)
+        p = [p1(w) if at == 0 else p2(t[0], w) if at == 1 else p3(t[at - 2], t[at - 1], w) for at, w in enumerate(t)]
+        out[i] = (held[i], len(t), sum(one[w] > 0 for w in t), n, sum(math.log10(p1(w)) for w in t), sum(map(math.log10, p)))
     return out
 
 
-@pytest.mark.parametrize("share", [0.0, 0.03])
-def test_scores_equal_brute_force(spark, share):
+@pytest.mark.parametrize("strength", [0.5, 2.0])
+def test_scores_equal_brute_force(spark, strength):
     rng = random.Random(5)
     words = ["a", "B", "c", "É", "the", "x1", "of", "Of"]
     rows = [(i, " ".join(rng.choice(words[: rng.randint(2, 8)]) for _ in range(rng.randint(0, 30)))) for i in range(60)]
-    rows += [(100, None), (101, ""), (102, " \n "), (None, "a b")]
+    rows += [(100, None), (101, ""), (102, " \n "), (None, "a b"), (7, rows[7][1]), (103, "a B " * 5000)]
     frame = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id bigint, text string, score int").repartition(3, "doc_id")
-    want = brute(rows, share, 0.0, 0.75)
-    got = lm_score.score_texts(frame, word_share=share, gram_share=0.0).collect()
+    want = brute(rows, strength)
+    got = lm_score.score_texts(frame, strength=strength).collect()
     assert len(got) == len(rows)
     for r in got:
         held, n, known, total, base, score = want[r.doc_id]
@@ -95,25 +75,43 @@ def test_rare_pairs_keep_their_arcs_in_a_larger_corpus(spark):
     rows += [(i, "seldom seen words") for i in train] + [(held, "seldom seen words")]
     got = lm_score.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).filter(f"doc_id = {held}").first()
     assert got.held_out and got.score > got.base_score + 8
-    assert got.score == pytest.approx(brute([(i, t) for i, t in rows], 0.0, 0.0, 0.75)[held][5])
+    assert got.score == pytest.approx(brute(rows)[held][5])
 
 
-@pytest.mark.parametrize("rows_held", [40, 1 << 20])
-def test_scores_do_not_depend_on_blocks_or_flushes(spark, monkeypatch, rows_held):
-    monkeypatch.setattr(lm_score, "COUNTS_HELD", rows_held)
+@pytest.mark.parametrize(("block", "bucket", "held"), [(100, 1 << 20, 40), (50, 90, 1 << 20)])
+def test_scores_do_not_depend_on_blocks_buckets_or_flushes(spark, monkeypatch, block, bucket, held):
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(lm_score, "BUCKET_ENTRIES", bucket)
+    monkeypatch.setattr(lm_score, "WORDS_HELD", held)
     rng = random.Random(8)
-    rows = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 20)))) for i in range(80)]
-    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5, "doc_id")
-    want = brute(rows, 0.0, 0.0, 0.75)
-    for r in lm_score.score_texts(frame).collect():
-        assert r.score == pytest.approx(want[r.doc_id][5])
+    rows = [(i, " ".join(rng.choice("abcd") + rng.choice("efgh") for _ in range(rng.randint(0, 20)))) for i in range(80)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    want = brute(rows)
+    got = lm_score.score_texts(frame).collect()
+    assert len(got) == 80
+    for r in got:
+        assert r.score == pytest.approx(want[r.doc_id][5]) and r.base_score == pytest.approx(want[r.doc_id][4])
+
+
+def test_probabilities_of_all_next_words_sum_to_one():
+    """Over the known words and one unknown, for each history of a small corpus."""
+    texts = ["a b a c", "b a b", "c a b a"]
+    train = [split(t) for t in texts]
+    one = Counter(w for t in train for w in t)
+    two, three = Counter(p for t in train for p in zip(t, t[1:])), Counter(p for t in train for p in zip(t, t[1:], t[2:]))
+    n, v = sum(one.values()), len(one)
+    for history in [("a", "b"), ("b", "a"), ("c", "b")]:
+        total = 0.0
+        for w in [*one, "unknown"]:
+            p1 = (one[w] + 0.5) / (n + 0.5 * (v + 1))
+            p2 = (two[history[1], w] + 2.0 * p1) / (one[history[1]] + 2.0)
+            total += (three[(*history, w)] + 2.0 * p2) / (two[history] + 2.0)
+        assert total == pytest.approx(1.0)
 
 
-def test_names_of_pairs_equal_sparks_hash(spark):
+def test_planes_hold_any_numbers():
     import numpy as np
-    from pyspark.sql import functions as F
 
-    a, b = np.array([0, 1, -1, 2**63 - 1, -(2**63)]), np.array([5, -7, 0, 2**62, 3])
-    frame = spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a bigint, b bigint")
-    want = {(r.a, r.b): r.h for r in frame.select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
-    assert lm_score.joined(a, b).tolist() == [want[x] for x in zip(a.tolist(), b.tolist())]
+    values = np.array([0, 1, 255, 256, 2**40 + 3, 2**63 + 7, 2**64 - 1], np.uint64)
+    for random_bytes in (0, 4, 5):
+        assert (lm_score.from_planes(lm_score.planes(values, random_bytes), len(values), random_bytes) == values).all()

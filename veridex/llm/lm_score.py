@@ -1,36 +1,43 @@
 """Language-model scores by a weighted backoff automaton.
 
-The corpus is counted in Spark.  Words, pairs and triples are counted for each block of documents and summed over blocks
-by a shuffle; all with two occurrences or more are states and arcs, whatever the size of the corpus.  Backoff weights
-are joins and sums over the tables of counts.  Counts and weights go back to the blocks that hold the word, pair or
-triple, so no task, no broadcast and no driver ever holds the vocabulary or the model.
-
-The automaton: a state is a history of up to two words.  An arc leads from a history over a word to the longest kept
-history that ends in it, with the discounted log-probability of the word.  Where a state has no arc for a word, its
-failure arc leads to the history without its first word, with the backoff weight, down to the empty history, whose arcs
-are the smoothed single words.  A state is the longest kept history of the words read, so a batch of texts is laid out in
-array steps, one for each length of history.
-
-A pair is named by the hashes of its words, a triple by the names of its two pairs.
+The model holds every word, pair and triple of the training texts, whatever the size of the corpus.  Texts are dealt into
+blocks by a hash of their rows.  Each block lists its distinct words, pairs and triples with their training counts, sorted
+by name and cut at fixed borders, and sends each cut to the bucket of its range; a bucket sums the counts of all blocks and
+answers each of them in the order of its list, so that answers need no names.  No task, broadcast or driver ever holds the
+vocabulary or the model: a block gets the states and arcs that its own texts can reach.
+
+The automaton: a state is a history of up to two words that training texts hold.  An arc leads from a state over a word to
+the longest such history that then ends the text, if training texts hold history and word together; its weight is the
+smoothed log-probability p(w | h) = (c(hw) + strength p(w | h')) / (c(h) + strength), with h' the history without its
+first word, and p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)) at the empty one (the hierarchical Dirichlet smoothing of MacKay
+and Peto).  Where a state has no arc for a word, its failure arc, of weight strength / (c(h) + strength), leads to h'.
+Each text is read once from left to right; the state is carried and log-weights are summed.
+
+Words are named by 64 bits, pairs and triples by 56: among 10**10 of those one in seven million shares its name, and then
+its count, with another.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from veridex.llm import wordhash
 from veridex.llm.arrowtext import lower_ascii, pieces, utf8
-from veridex.llm.shared_store import written
 
 #: The token after the last word of each text; a word has this hash only by chance.
 END = 0x5851F42D4C957F2D
-BLOCK_BYTES = 8 << 20
-COUNTS_HELD = 3_000_000
+#: Tokens of a block of texts, and entries of a bucket of counts; both bound what a task holds.
+BLOCK_TOKENS = 2_500_000
+BUCKET_ENTRIES = 4_000_000
+#: Distinct words that a task collects before it passes them on.
+WORDS_HELD = 3_000_000
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -42,211 +49,218 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = first + np.arange(len(first))
     out = np.full(offsets[-1], END, np.uint64)
     out[np.arange(len(words)) + np.repeat(np.arange(len(first) - 1), np.diff(first))] = words
-    return out.view(np.int64), offsets
-
-
-def places(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Where each wanted value stands in the sorted values, -1 if nowhere."""
-    if not len(values):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.searchsorted(values, wanted)
-    at[at == len(values)] = 0
-    return np.where(values[at] == wanted, at, -1)
-
-
-def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64(a, b)."""
-    out = np.uint64(42)
-    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    with np.errstate(over="ignore"):
-        for value in (a.view(np.uint64), b.view(np.uint64)):
-            x = value * p2
-            x = ((x << np.uint64(31)) | (x >> np.uint64(33))) * p1
-            x = x ^ (out + p5 + np.uint64(8))
-            x = ((x << np.uint64(27)) | (x >> np.uint64(37))) * p1 + p4
-            x = (x ^ (x >> np.uint64(33))) * p2
-            x = (x ^ (x >> np.uint64(29))) * p3
-            out = x ^ (x >> np.uint64(32))
-    return out.view(np.int64)
-
-
-def grams(hashed: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name of the pair that ends at each token, whether there is one, whether a triple ends there)."""
-    before = np.concatenate([hashed[:1], hashed[:-1]])
-    two = np.ones(len(hashed), bool)
-    two[offsets[:-1]] = False
-    three = two.copy()
-    three[1:] &= two[:-1]
-    return joined(before, hashed), two, three
-
-
-def _train(id_col: Column) -> Column:
-    """Whether a document is learned from: crc32 of its id as text, modulo 5, is not 1; a null id is an empty text."""
-    return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % 5 != 1
+    return out, offsets
 
 
-def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """(code, a, b, n) with n summed over equal codes."""
-    codes, a, b, n = (np.concatenate(column) for column in zip(*parts, strict=True))
-    codes, first, back = np.unique(codes, return_index=True, return_inverse=True)
-    return codes, a[first], b[first], np.bincount(back, weights=n, minlength=len(codes)).astype(np.int64)
+class Grams:
+    """The tokens of a block's texts and the names of their words, pairs and triples.
 
+    names: sorted names of words, and of pairs and triples together; place: for each token where in them the word, pair
+    and triple stands that ends at it, -1 where the text has none.
+    """
 
-def _counted(hashed: np.ndarray, offsets: np.ndarray, train: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """(code, a, b, occurrences in training texts) of the words, pairs and triples of some texts."""
-    pair, two, three = grams(hashed, offsets)
-    before, last = np.concatenate([hashed[:1], hashed[:-1]]), np.concatenate([pair[:1], pair[:-1]])
-    out = [_summed([(hashed, hashed, np.zeros_like(hashed), train)]), _summed([(pair[two], before[two], hashed[two], train[two])])]
-    return [*out, _summed([(joined(last[three], pair[three]), last[three], pair[three], train[three])])]
+    def __init__(self, texts: pa.Table, column: str):
+        found = [tokens(piece.column(0)) for piece in pieces(texts.select([column]).to_batches(), 0)]
+        word = np.concatenate([hashed for hashed, _ in found]) if found else np.empty(0, np.uint64)
+        self.sizes = np.concatenate([np.diff(offsets) for _, offsets in found]) if found else np.empty(0, np.int64)
+        self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
+        two = np.ones(len(word), bool)
+        two[self.offsets[:-1]] = False
+        three = two.copy()
+        three[1:] &= two[:-1]
+        at2, at3 = np.flatnonzero(two), np.flatnonzero(three)
+        pair = wordhash.grams(word, 2)[at2 - 1] >> np.uint64(8)
+        triple = wordhash.grams(word, 3)[at3 - 2] >> np.uint64(8)
+        words, in_words = np.unique(word, return_inverse=True)
+        others, in_others = np.unique(np.concatenate([pair, triple]), return_inverse=True)
+        self.names = (words, others)
+        self.place = [in_words, np.full(len(word), -1, np.int64), np.full(len(word), -1, np.int64)]
+        self.place[1][at2] = in_others[: len(at2)]
+        self.place[2][at3] = in_others[len(at2) :]
+
+    def counts(self, per_token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over the tokens at which each name ends."""
+        one = np.bincount(self.place[0], weights=per_token, minlength=len(self.names[0]))
+        held = [place >= 0 for place in self.place[1:]]
+        ends = np.concatenate([place[ok] for place, ok in zip(self.place[1:], held, strict=True)])
+        other = np.bincount(ends, weights=np.concatenate([per_token[ok] for ok in held]), minlength=len(self.names[1]))
+        return one.astype(np.int64), other.astype(np.int64)
+
+
+def planes(values: np.ndarray, random: int) -> bytes:
+    """Numbers by bytes of equal weight; the lowest ``random`` of them as they are, the others, mostly zero, compressed."""
+    table = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return table[:random].tobytes() + zlib.compress(table[random:].tobytes(), 1)
+
+
+def from_planes(data: bytes, n: int, random: int) -> np.ndarray:
+    whole = data[: random * n] + zlib.decompress(data[random * n :])
+    return np.ascontiguousarray(np.frombuffer(whole, np.uint8).reshape(8, n).T).view("<u8").ravel()
+
+
+def bucket_of(names: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """Equal ranges of names."""
+    return ((names >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+#: For words, and for pairs and triples: bits of a name, and bytes of a step between neighbours that are random.
+KINDS = ((64, 5), (56, 4))
+CELL = "bucket int, block int, kind int, n int, names binary, counts binary"
+
+
+def cells(grams: Grams, train: np.ndarray, block: int, buckets: int) -> pa.Table:
+    """The block's lists cut by bucket: steps between sorted names, and counts in training texts."""
+    rows = []
+    for kind, (names, counts, (bits, random)) in enumerate(zip(grams.names, grams.counts(train), KINDS, strict=True)):
+        bucket = bucket_of(names, bits, buckets)
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(names) else np.empty(0, np.int64)
+        for begin, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(names)], strict=False):
+            steps = np.diff(names[begin:end], prepend=np.uint64(0))
+            rows.append((int(bucket[begin]), block, kind, end - begin, planes(steps, random), planes(counts[begin:end], 0)))
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["bucket", "block", "kind", "n", "names", "counts"])
+
+
+def summed(table: pa.Table) -> pa.Table:
+    """A bucket's cells with the counts of all blocks, in the order of each cell."""
+    kinds, sizes, answers = table["kind"].to_numpy(), table["n"].to_numpy(), [b""] * len(table)
+    for kind, (_, random) in enumerate(KINDS):
+        mine = np.flatnonzero(kinds == kind)
+        if not len(mine):
+            continue
+        own = table.take(pa.array(mine))
+        steps = zip(own["names"].to_pylist(), sizes[mine].tolist(), strict=True)
+        names = np.concatenate([np.cumsum(from_planes(data, n, random)) for data, n in steps])
+        counts = zip(own["counts"].to_pylist(), sizes[mine].tolist(), strict=True)
+        counts = np.concatenate([from_planes(data, n, 0) for data, n in counts])
+        back = np.unique(names, return_inverse=True)[1]
+        total = np.bincount(back, weights=counts).astype(np.int64)[back]
+        ends = np.cumsum(sizes[mine])
+        for row, begin, end in zip(mine.tolist(), (ends - sizes[mine]).tolist(), ends.tolist(), strict=True):
+            answers[row] = planes(total[begin:end], 0)
+    return table.select(["block", "kind", "bucket", "n"]).append_column("counts", pa.array(answers, pa.binary()))
+
+
+def answered(table: pa.Table, kind: int) -> np.ndarray:
+    """The counts that a block got for its list of names, in the list's order."""
+    own = table.filter(pc.equal(table["kind"], kind)).sort_by("bucket")
+    parts = [from_planes(data, n, 0) for data, n in zip(own["counts"].to_pylist(), own["n"].to_pylist(), strict=True)]
+    return np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
+
+
+class Automaton:
+    """The states and arcs that a block's tokens can reach, and the traversal of its texts."""
+
+    def __init__(self, grams: Grams, words: np.ndarray, others: np.ndarray, total: int, kinds: int, strength: float):
+        own = np.concatenate([others, [0]])  # place -1: nothing there
+        c1, c2, c3 = words[grams.place[0]], own[grams.place[1]], own[grams.place[2]]
+        before1, before2 = np.concatenate([[0], c1[:-1]]), np.concatenate([[0], c2[:-1]])
+        p1 = (c1 + 0.5) / (total + 0.5 * (kinds + 1))
+        p2 = (c2 + strength * p1) / (before1 + strength)
+        p3 = (c3 + strength * p2) / (before2 + strength)
+        self.known, self.single = c1 > 0, np.log10(p1)
+        self.held = [(c > 0).tolist() for c in (c1, c2, c3)]
+        self.arc = [np.log10(p).tolist() for p in (p1, p2, p3)]
+        self.fail = [np.log10(strength / (c + strength)).tolist() for c in (before1, before2)]
+
+    def read(self, begin: int, end: int) -> float:
+        """Log-probability of the tokens from begin to end, read from left to right from the empty history."""
+        total, state = 0.0, 0  # state: words of the history
+        columns = (column[begin:end] for column in (*self.held, *self.arc, *self.fail))
+        for held1, held2, held3, arc1, arc2, arc3, fail1, fail2 in zip(*columns, strict=True):
+            if state == 2:
+                if held3:
+                    total += arc3
+                    continue
+                total += fail2
+            if state:
+                if held2:
+                    total += arc2
+                    state = 2
+                    continue
+                total += fail1
+            total += arc1
+            state = 1 if held1 else 0
+        return total
 
 
-def _sub_blocks(docs: DataFrame) -> int:
-    """Blocks a partition of the scan is dealt into, so that a block holds about BLOCK_BYTES of files."""
-    setting = str(docs.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128m")).lower().rstrip("b")
-    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(setting[-1], 1)
-    return max(1, -(-int(setting.rstrip("kmg")) * unit // BLOCK_BYTES))
+def _train(id_col: Column) -> Column:
+    """Whether a document is learned from: crc32 of its id as text, modulo 5, is not 1; a null id is an empty text."""
+    return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % 5 != 1
 
 
-def score_texts(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_share: float = 0.0, gram_share: float = 0.0, discount: float = 0.75
-) -> DataFrame:
+def _tallied(batches):
+    """(h, train, all): each distinct training word of the task, and one row of the task's token counts."""
+    held, size, train, every = [], 0, 0, 0
+
+    def rows(h: np.ndarray):
+        for at in range(0, len(h), 1 << 20):
+            some = h[at : at + (1 << 20)].view(np.int64)
+            none = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(some), none, none], names=["h", "train", "all"])
+
+    for piece in pieces(batches, 0):
+        hashed, offsets = tokens(piece.column(0))
+        own = np.repeat(piece.column(1).to_numpy(zero_copy_only=False), np.diff(offsets))
+        train, every = train + int(own.sum()), every + len(own)
+        held.append(np.unique(hashed[own]))
+        size += len(held[-1])
+        if size > WORDS_HELD:
+            held = [np.unique(np.concatenate(held))]
+            size = len(held[0])
+            if size > WORDS_HELD // 2:
+                yield from rows(held[0])
+                held, size = [], 0
+    if held:
+        yield from rows(np.unique(np.concatenate(held)))
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([train]), pa.array([every])], names=["h", "train", "all"])
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strength: float = 2.0) -> DataFrame:
     """One row for each row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are runs of characters other than blanks, with A-Z lower-cased, and one end a text.  Training texts are those
     whose crc32(id as text) modulo 5 is not 1.  base_score sums log10((c + 0.5) / (N + 0.5 (V + 1))) over tokens; score
-    sums the automaton's weights.  Words, pairs and triples that training texts hold twice get arcs, at any size of the
-    corpus; all others back off to their exact counts.  word_share and gram_share ask for at least that share of the
-    training tokens besides, for a smaller model.
+    sums the automaton's weights.  strength: how many tokens of a history its shorter history is worth.
 
-    A null or empty text is the end alone.  Repeated rows count and are scored each; a null id is a training document.
-    An empty table gives no rows.  Other columns of docs are not read.  docs must give the same partitions each time
-    it is read, as tables and files do; a word that a block has not counted stops the query.
+    A null or empty text is the end alone.  Repeated rows count and are scored each, in one block; a null id is a training
+    document.  An empty table gives no rows.  Other columns of docs are not read.  A very long text is a block of its own
+    size at least.  docs is read twice, for the totals and for the blocks, and should give the same rows both times.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sub = _sub_blocks(docs)
     source = source.withColumn("train", _train(F.col("id")))
-    source = source.withColumn("block", F.spark_partition_id() * sub + F.pmod(F.xxhash64("id", "text"), F.lit(sub)).cast("int"))
-
-    def grams_of_blocks(batches):
-        held: dict[tuple[int, int], list] = {}
-
-        def rows():
-            for (block, k), parts in held.items():
-                codes, a, b, n = _summed(parts)
-                arrays = [np.full(len(codes), block, np.int32), np.full(len(codes), k, np.int8), a, b, n]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["block", "k", "a", "b", "n"])
-            held.clear()
-
-        size = 0
-        for batch in batches:
-            for block in batch.column(1).unique().to_pylist():
-                some = batch.filter(pa.array(batch.column(1).to_numpy() == block))
-                for piece in pieces([some], 0):
-                    hashed, offsets = tokens(piece.column(0))
-                    train = np.repeat(piece.column(2).to_numpy(zero_copy_only=False), np.diff(offsets)).astype(np.int64)
-                    for k, part in enumerate(_counted(hashed, offsets, train), 1):
-                        held.setdefault((block, k), []).append(part)
-                        size += len(part[0])
-                    if size > COUNTS_HELD:
-                        for key, parts in held.items():
-                            held[key] = [_summed(parts)]
-                        size = sum(len(parts[0][0]) for parts in held.values())
-                        if size > COUNTS_HELD // 2:  # a block may then give two rows for one gram, with the same sum
-                            yield from rows()
-                            size = 0
-        yield from rows()
-
-    found = source.select("text", "block", "train").mapInArrow(grams_of_blocks, "block int, k tinyint, a bigint, b bigint, n bigint")
-    by_gram = Window.partitionBy("k", "a", "b")  # a few rows a block
-    first = F.row_number().over(by_gram.orderBy("block")) == 1
-    summed = found.select("block", "k", "a", "b", F.sum("n").over(by_gram).alias("c"), first.alias("lead"))
-    counts = written(summed.filter("k = 1 OR c >= 2"))
-    lead = counts.filter("lead AND c > 0")
-    total, kinds = lead.filter("k = 1").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    least = max(2, gram_share * total)
-
-    words = lead.filter((F.col("k") == 1) & (F.col("c") >= max(2, word_share * total))).select(F.col("a").alias("h"), F.col("c").alias("c1"))
-    pairs = lead.filter((F.col("k") == 2) & (F.col("c") >= least)).select("a", "b", F.col("c").alias("c2"))
-    if word_share:  # a pair that stands twice has words that do
-        pairs = pairs.join(words, pairs["a"] == words["h"], "left_semi")
-    ends = pairs.join(words, pairs["b"] == words["h"]).select(F.xxhash64("a", "b").alias("pair"), "a", "c2", "c1")
-    ends = written(ends)
-    triples = lead.filter((F.col("k") == 3) & (F.col("c") >= least)).select("a", "b", F.col("c").alias("c3"))
-    shorter = triples.join(ends.select(F.col("pair").alias("b"), "c2"), "b")
-
-    def weight(kept: Column, gone: Column) -> Column:
-        """log10 of what is left for words without an arc, over what they have one history shorter; 0 without arcs."""
-        share = F.greatest(1 - kept, F.lit(1e-9)) / F.greatest(1 - gone, F.lit(1e-9))
-        return F.coalesce(F.log10(share), F.lit(0.0)).alias("backoff")
-
-    after = ends.groupBy("a").agg(F.sum("c2").alias("s"), F.sum("c1").alias("t"), F.count(F.lit(1)).alias("m"))
-    m, s, t = F.col("m"), F.col("s"), F.col("t")
-    single_words = words.join(after, words["h"] == after["a"], "left").select(
-        F.lit(1).cast("tinyint").alias("k"), F.col("h").alias("name"), weight((s - discount * m) / F.col("c1"), (t + 0.5 * m) / (total + 0.5 * (kinds + 1)))
-    )
-    after = shorter.groupBy(F.col("a").alias("p")).agg(F.sum("c3").alias("s"), F.sum("c2").alias("t"), F.count(F.lit(1)).alias("m"))
-    all_pairs = ends.join(after, F.col("pair") == F.col("p"), "left").select(
-        F.lit(2).cast("tinyint").alias("k"), F.col("pair").alias("name"), weight((s - discount * m) / F.col("c2"), (t - discount * m) / F.col("c1"))
-    )
-    backoffs = written(single_words.union(all_pairs))
-
-    name = F.when(F.col("k") == 1, F.col("a")).otherwise(F.xxhash64("a", "b")).alias("name")
-    named = counts.select("block", "k", name, "c")
-    dealt = named.filter("k < 3").join(backoffs, ["k", "name"], "left").filter("k = 1 OR backoff IS NOT NULL").select("block", "k", "name", "c", "backoff")
-    dealt = dealt.union(named.filter((F.col("k") == 3) & (F.col("c") >= least)).select("block", "k", "name", "c", F.lit(None).cast("double")))
-
-    def single(c: np.ndarray) -> np.ndarray:
-        """log10 of the smoothed probability of words with these counts."""
-        return np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
-
-    def weigh(hashed, offsets, held) -> tuple[np.ndarray, np.ndarray]:
-        """(count of each token's word, log-probability of each token)."""
-        (names1, counts1, backoffs1), (names2, counts2, backoffs2), (names3, counts3, _) = held
-        word = places(names1, hashed)
-        if (word < 0).any():
-            raise RuntimeError("a block met a word that it had not counted: docs changed between two reads")
-        c = counts1[word]
-        name, two, three = grams(hashed, offsets)
-        pair = np.full(len(hashed), -1, np.int64)
-        pair[two] = places(names2, name[two])
-        sums = single(c)
-        at = np.flatnonzero(two)
-        at = at[~np.isnan(backoffs1[word[at - 1]])]  # from the state of a word
-        hit = pair[at] >= 0
-        sums[at[~hit]] += backoffs1[word[at[~hit] - 1]]
-        at = at[hit]
-        sums[at] = np.log10((counts2[pair[at]] - discount) / c[at - 1])
-        at = np.flatnonzero(three)
-        at = at[pair[at - 1] >= 0]  # from the state of a pair
-        triple = np.where(pair[at] >= 0, places(names3, joined(name[at - 1], name[at])), -1)
-        hit = triple >= 0
-        sums[at[~hit]] += backoffs2[pair[at[~hit] - 1]]
-        sums[at[hit]] = np.log10((counts3[triple[hit]] - discount) / counts2[pair[at[hit] - 1]])
-        return c, sums
-
-    def scored(texts_of_block, grams_of_block):
-        k = grams_of_block["k"].to_numpy()
-        names_, counts_, backoffs_ = (grams_of_block[x].to_numpy() for x in ("name", "c", "backoff"))
-        held = []
-        for size in (1, 2, 3):
-            some = np.flatnonzero(k == size)
-            some = some[np.argsort(names_[some])]
-            held.append((names_[some], counts_[some], backoffs_[some]))
-        out = []
-        for piece in pieces(texts_of_block.select(["text", "id", "train"]).to_batches(), 0):
-            hashed, offsets = tokens(piece.column(0))
-            c, sums = weigh(hashed, offsets, held)
-            base = np.add.reduceat(single(c), offsets[:-1])
-            score = np.add.reduceat(sums, offsets[:-1])
-            n_known = np.add.reduceat((c > 0).astype(np.int64), offsets[:-1])
-            held_out = pc.invert(piece.column(2))
-            out.append([piece.column(1), held_out, pa.array(np.diff(offsets)), pa.array(n_known), pa.array(np.full(len(held_out), total, np.int64)), pa.array(base), pa.array(score)])
-        if not out:
-            out = [[pa.array([], t) for t in types]]
-        return pa.table([pa.chunked_array(x) for x in zip(*out, strict=True)], names=names)
+
+    found = source.select("text", "train").mapInArrow(_tallied, "h bigint, train bigint, all bigint")
+    by_word = found.groupBy("h").agg(F.sum("train").alias("train"), F.sum("all").alias("all"))
+    kinds, total, every = by_word.agg(F.count("h"), F.coalesce(F.sum("train"), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0))).first()
+    blocks, buckets = max(1, -(-every // BLOCK_TOKENS)), max(1, -(-2 * every // BUCKET_ENTRIES))
+
+    # each number is a partition; both uses of the dealt texts share one shuffle
+    dealt = source.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartitionById(blocks, "block")
+
+    def listed(key, table):
+        grams = Grams(table, "text")
+        return cells(grams, np.repeat(table["train"].to_numpy(), grams.sizes), key[0].as_py(), buckets)
+
+    asked = dealt.groupBy("block").applyInArrow(listed, CELL).repartitionById(buckets, "bucket")
+    answers = asked.groupBy("bucket").applyInArrow(summed, "block int, kind int, bucket int, n int, counts binary")
+
+    def scored(texts, answers):
+        if not len(texts):
+            return pa.table([pa.array([], t) for t in types], names=names)
+        grams = Grams(texts, "text")
+        automaton = Automaton(grams, answered(answers, 0), answered(answers, 1), total, kinds, strength)
+        cuts = grams.offsets.tolist()
+        score = [automaton.read(begin, end) for begin, end in zip(cuts, cuts[1:], strict=False)]
+        base = np.add.reduceat(automaton.single, grams.offsets[:-1])
+        n_known = np.add.reduceat(automaton.known.astype(np.int64), grams.offsets[:-1])
+        columns = [texts["id"], pc.invert(texts["train"]), grams.sizes, n_known, np.full(len(score), total, np.int64), base, score]
+        return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=names)
 
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     types = [to_arrow_type(docs.schema[id_col].dataType), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return source.select("block", "id", "text", "train").groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(scored, schema)
+    back = answers.repartitionById(blocks, "block")
+    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(scored, schema)
