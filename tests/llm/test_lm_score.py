@@ -115,3 +115,17 @@ def test_planes_hold_any_numbers():
     values = np.array([0, 1, 255, 256, 2**40 + 3, 2**63 + 7, 2**64 - 1], np.uint64)
     for random_bytes in (0, 4, 5):
         assert (lm_score.from_planes(lm_score.planes(values, random_bytes), len(values), random_bytes) == values).all()
+
+
+def test_grouped_equals_unique():
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    for bits in (64, 56):
+        names = rng.integers(0, 2**bits, 300, np.uint64)
+        close = np.repeat(names[:40], 3) ^ rng.integers(0, 4, 120).astype(np.uint64)  # differ in the last bits alone
+        both = rng.permutation(np.concatenate([names, names[:50], close]))
+        for some in (both, both[:1], both[:0]):
+            want, inverse = np.unique(some, return_inverse=True)
+            got, back = lm_score.grouped(some, bits)
+            assert (got == want).all() and (back == inverse).all()
