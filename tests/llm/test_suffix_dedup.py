@@ -63,14 +63,35 @@ def test_removed_bytes_equal_brute_force(spark, block):
     assert sorted(map(tuple, got)) == sorted(brute(rows, 200))
 
 
+@pytest.mark.parametrize("length", [64, 300])
+def test_other_lengths_equal_brute_force(spark, length):
+    rows = corpus(20 + length) + [(300, "lonely " * 60), (301, "".join(random.Random(2).choice("abcdefgh") for _ in range(700)) * 2)]
+    got = suffix_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string"), length=length).drop("kept").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows, length))
+    with pytest.raises(ValueError):
+        suffix_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string"), length=40_000)
+
+
+def test_the_registered_query_equals_brute_force(spark, tmp_path):
+    from veridex.llm import queries_shared
+
+    rows = corpus(31, 20)
+    spark.createDataFrame([(i, t, "n_bytes") for i, t in rows], "doc_id bigint, text string, n_bytes string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries_shared.op2_suffix_dedup(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert sorted(map(tuple, got.collect())) == sorted(brute(rows, 200))
+
+
 def test_empty_table_and_repeats(spark):
     assert suffix_dedup.dedup_substrings(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
-    rows = [(None, "m" * 10), (1, "n1" * 150), (1, "n1" * 150)]
+    plain = "".join(random.Random(5).choice("abcdefgh") for _ in range(300))
+    rows = [(None, "m" * 10), (1, "n1" * 150), (1, "n1" * 150), (2, plain), (2, plain)]
     got = suffix_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert sorted(r.n_removed for r in got) == [0, 300, 300]
+    assert sorted(r.n_removed for r in got) == [0, 300, 300, 300, 300]
 
 
-def test_a_key_over_many_ranges_equals_brute_force(spark):
+def test_heavy_keys_over_many_tasks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LOOK", 2)
     rng = random.Random(3)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(320))
     rows = [(i, f"{rng.random()} {passage} {rng.random()}") for i in range(60)]

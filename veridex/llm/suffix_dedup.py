@@ -17,6 +17,7 @@ a shard holds is cut into blocks, and pairs of blocks are merged by binary searc
 from __future__ import annotations
 
 import hashlib
+import zlib
 from itertools import chain
 
 import numpy as np
@@ -33,6 +34,10 @@ GRAM = 48
 #: Grams that repeat this many bytes of themselves after up to GRAM - PART bytes are chosen only where there are no others.
 PART = 16
 SEPARATOR = 256
+#: One in so many documents is looked at to lay out the places of keys, and a key with more than this part of a task's
+#: share is dealt over several tasks.  Neither changes a result.
+LOOK = 64
+SPREAD = 4
 
 
 def anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
@@ -240,22 +245,40 @@ def _shards(tables: list[pa.Table], width: int) -> list[tuple[Shard, np.ndarray]
     return out
 
 
+def packed_texts(source: DataFrame, kind: str) -> DataFrame:
+    """(id, row, data): texts compressed on their way through a shuffle, half of what Spark's codec leaves of them."""
+
+    def pack(batches):
+        for batch in batches:
+            for piece in pieces([batch], 1):
+                data = [zlib.compress(text.encode(), 1) for text in piece.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(data, pa.binary())], names=["id", "row", "data"])
+
+    return source.select("id", "text", "row").mapInArrow(pack, f"id {kind}, row bigint, data binary")
+
+
 def dedup_substrings(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, shard_bytes: int = 1 << 20, block: int = 8192
 ) -> DataFrame:
     """One row for each document: id_col, n_bytes, n_removed, n_spans, kept (binary: the bytes left), kept_sha256.
 
     A byte goes if a string of length bytes covers it that also starts anywhere else in any text, the same one included;
-    strings are judged on the input.  A null text is empty.  Rows that share id and text are one document, whose result
-    each of them gets; a text under two ids loses all its bytes in both, if it has length bytes.  A null id is an id; an
-    empty table gives no rows.  Other columns of docs are not read, so their names can't clash.
+    strings are judged on the input.  length: from GRAM + 2 to 30,000.  Places whose core and surroundings have equal
+    64-bit hashes each are taken for equal.
+
+    A null text is empty.  Each row is a document: a text in two rows, of one id or two, loses all its bytes in both, if it
+    has length bytes.  A null id is an id; an empty table gives no rows.  Other columns of docs are not read, so their
+    names can't clash.
     """
+    if not GRAM + 2 <= length <= 30_000:
+        raise ValueError(f"length must be from {GRAM + 2} to 30000")
     half = (length - GRAM) // 2
     core = length - half
     width = half + 1
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     source = source.withColumn("row", F.xxhash64("id", "text"))
+    spark = docs.sparkSession
 
     def anchored(batches):
         for piece in pieces(batches, 0):
@@ -270,25 +293,40 @@ def dedup_substrings(
             left, right = np.maximum(mid - half, begin), np.minimum(mid + length, end)
             key = digest(raw, mid, mid + core, 2)
             ctx = digest(raw, left, right, 1) ^ digest(raw, left, mid, 7)
-            span = (mid - left) * 256 + right - mid
+            span = (mid - left) << 16 | right - mid
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key), pa.array(ctx), pa.array(piece.column(1).to_numpy()[text]), pa.array((mid - begin).astype(np.int32)), pa.array(span.astype(np.int32))],
                 names=["key", "ctx", "row", "pos", "span"],
             )
 
-    found = source.select("text", "row").mapInArrow(anchored, "key bigint, ctx bigint, row bigint, pos int, span int")
-    # dealt in sorted ranges, so that the places of one key fill as many tasks as they need
-    order = ["key", "ctx", "row", "pos"]
-    dealt = found.repartitionByRange(*order).sortWithinPartitions(*order)
+    layout = "key bigint, ctx bigint, row bigint, pos int, span int"
+    found = source.select("text", "row").mapInArrow(anchored, layout)
+
+    # A key's places stand together in one task, by its leading bits.  Keys of many places fill several tasks; which keys
+    # that are is read off a look at some documents.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    look = source.filter(F.pmod(F.xxhash64("row"), F.lit(LOOK)) == 0).select("text", "row").mapInArrow(anchored, layout).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    looked = look.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = F.least(F.ceil(F.col("n") * (SPREAD * tasks / max(1, looked))).cast("int"), F.lit(tasks))
+    heavy = look.filter(F.col("n") >= max(8, looked / (SPREAD * tasks))).select("key", parts.alias("parts")).collect()  # SPREAD * tasks rows at most
+    plain_task = F.shiftright(F.shiftrightunsigned("key", 33) * F.lit(tasks).cast("bigint"), 31).cast("int")
+    if heavy:
+        known = F.broadcast(spark.createDataFrame(heavy, "key bigint, parts int"))
+        spread = F.pmod(F.xxhash64("key") + F.pmod(F.xxhash64("ctx", "row", "pos"), "parts"), F.lit(tasks)).cast("int")
+        found = found.join(known, "key", "left").withColumn("task", F.when(F.col("parts").isNull(), plain_task).otherwise(spread))
+        found = found.select("key", "ctx", "row", "pos", "span", F.col("parts").isNotNull().alias("heavy"), "task")
+    else:
+        found = found.withColumn("heavy", F.lit(False)).withColumn("task", plain_task)
+    dealt = found.repartitionById(tasks, "task").drop("task").sortWithinPartitions("key", "ctx", "row", "pos")
 
     def shared(batches):
         """Rows of keys with two places or more; chosen: the first of each surrounding, many: there are others like it.
 
-        A range's first and last row may have others like them in the next range, and always stay.  A surrounding that
-        reaches over ranges has a first place in each, and the shard finds them alike."""
-        held, nth, alone = None, 0, False  # the last row waits for the next; its number in its surrounding; no row before it
+        Rows of a heavy key always stay: there are others in other tasks.  A surrounding that is dealt over tasks has a
+        first place in each, and the shard finds them alike."""
+        held, nth, alone = None, 0, True  # the last row waits for the next; its number in its surrounding; no row of its key before it
         for batch in chain(batches, [None]):
-            table = pa.Table.from_batches([x for x in (held, batch) if x is not None], schema) if held or batch else None
+            table = pa.Table.from_batches([x for x in (held, batch) if x is not None]) if held or batch else None
             if table is None or not len(table):
                 continue
             key, ctx = table["key"].to_numpy(), table["ctx"].to_numpy()
@@ -297,78 +335,72 @@ def dedup_substrings(
             starts = np.concatenate([[0], np.flatnonzero(~same[:-1]) + 1])
             number = np.arange(len(key)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(key)]])))
             number[: starts[1] if len(starts) > 1 else len(key)] += nth
-            shares = same_key | np.concatenate([[not alone], same_key[:-1]])
-            shares[-1] |= batch is None
+            shares = same_key | np.concatenate([[not alone], same_key[:-1]]) | table["heavy"].to_numpy()
             n = len(key) - (batch is not None)
-            out = table.slice(0, n).append_column("chosen", pa.array(number[:n] == 0)).append_column("many", pa.array(same[:n]))
+            out = table.slice(0, n).drop_columns("heavy").append_column("chosen", pa.array(number[:n] == 0)).append_column("many", pa.array(same[:n]))
             yield from out.filter(pa.array(shares[:n])).to_batches()
             held = table.slice(n).combine_chunks().to_batches()[0] if batch is not None else None
             nth, alone = int(number[-1]), not (same_key[-2] if len(key) > 1 else not alone)
 
-    schema = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("row", pa.int64()), ("pos", pa.int32()), ("span", pa.int32())])
     places = written(dealt.mapInArrow(shared, "key bigint, ctx bigint, row bigint, pos int, span int, chosen boolean, many boolean"))
     chosen = places.filter("chosen").select("key", "ctx", "row", "pos", "span", "many")
-    sizes = chosen.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    counted = chosen.join(sizes, "key")
-    before, after = F.shiftright("span", 8), F.col("span").bitwiseAND(255)
-    whole = counted.filter((F.col("n") == 1) & F.col("many") & (before + after >= length)).select("ctx", (-before).alias("low"), after.alias("high"))
-    several = counted.filter("n > 1")
-    wanted = several.groupBy("row").agg(F.collect_list(F.struct("key", "ctx", "pos", "many", F.col("n").cast("int").alias("n"), "span")).alias("wanted"))
-    largest, total = sizes.filter("n > 1").agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # written, so that the joins with it have two sides already dealt out, of which Spark can split a hot key
+    sizes = written(chosen.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    before, after = F.shiftright("span", 16), F.col("span").bitwiseAND(0xFFFF)
+    single = chosen.filter(F.col("many") & (before + after >= length)).join(sizes, "key", "left_anti")
+    whole = single.select("ctx", (-before).alias("low"), after.alias("high"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    several = chosen.join(sizes, "key").select("row", F.struct("key", "ctx", "pos", "many", F.col("n").cast("int").alias("n"), "span").alias("wanted"))
+    wanted = several.groupBy("row").agg(F.collect_list("wanted").alias("wanted"))
 
     def cut(batches):
         for batch in batches:
             for data, row, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                data = (data or "").encode()
+                data = zlib.decompress(data)
                 fields = asked.values
                 key, ctx, pos = (fields.field(i).to_numpy() for i in range(3))
                 pos = pos.astype(np.int64)
                 span = fields.field(5).to_numpy()
-                begin, end = pos - (span >> 8), pos + (span & 255)
+                begin, end = pos - (span >> 16), pos + (span & 0xFFFF)
                 parts = [data[a:c] + data[c + core : b] for a, c, b in zip(begin.tolist(), pos.tolist(), end.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key), pa.array(ctx), pa.array(np.full(len(pos), row, np.int64)), pa.array(pos), pa.array((pos - begin).astype(np.int32)), fields.field(3), fields.field(4), pa.array(parts, pa.binary())],
                     names=["key", "ctx", "row", "pos", "before", "many", "n", "bytes"],
                 )
 
-    layout = "key bigint, ctx bigint, row bigint, pos bigint, before int, many boolean, n int, bytes binary"
-    around = source.select("text", "row").join(wanted, "row").select("text", "row", "wanted").mapInArrow(cut, layout)
+    around_layout = "key bigint, ctx bigint, row bigint, pos bigint, before int, many boolean, n int, bytes binary"
+    texts = packed_texts(source, kind)
+    around = texts.select("data", "row").join(wanted, "row").select("data", "row", "wanted").mapInArrow(cut, around_layout)
     shards = max(1, -(-total * 2 * width // shard_bytes))
+    # a group: the surroundings of many keys (a, b are -1), or two blocks, or one, of the surroundings of one key
     blocks = F.ceil(F.col("n") / block).cast("int")
-    plain = (around.filter(blocks == 1) if largest > block else around).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-
-    def in_shard(key, table):
-        shard, ctx = _shards([table], width)[0]
-        return _found(shard, shard.repeated(), ctx, length)
-
-    result = "ctx bigint, low int, high int"
-    marks = plain.groupBy("shard").applyInArrow(in_shard, result)
-    if largest > block:
-        own = F.pmod(F.xxhash64("ctx", "row", "pos"), blocks.cast("bigint")).cast("int")
-        large = around.filter(blocks > 1).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        large = large.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
-
-        def in_pair(key, table):
-            if key[1].as_py() == key[2].as_py():
-                return in_shard(key, table)
-            mine = pc.equal(table["own"], key[1])
-            (one, ctx_one), (two, ctx_two) = _shards([table.filter(mine), table.filter(pc.invert(mine))], width)
-            mask_one, mask_two = merged(one, two)
-            return pa.concat_tables([_found(one, mask_one, ctx_one, length), _found(two, mask_two, ctx_two, length)])
-
-        marks = marks.union(large.groupBy("key", "a", "b").applyInArrow(in_pair, result))
-
+    own = F.pmod(F.xxhash64("ctx", "row", "pos"), blocks.cast("bigint")).cast("int")
+    alone_in = F.array(F.struct(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("group"), F.lit(-1).alias("a"), F.lit(-1).alias("b")))
+    paired = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.col("key").alias("group"), F.least("own", other).alias("a"), F.greatest("own", other).alias("b")))
+    grouped = around.withColumn("own", own).withColumn("to", F.explode(F.when(blocks == 1, alone_in).otherwise(paired))).select("*", "to.group", "to.a", "to.b").drop("to", "n")
+
+    def in_group(key, table):
+        if key[1].as_py() == key[2].as_py():
+            shard, ctx = _shards([table], width)[0]
+            return _found(shard, shard.repeated(), ctx, length)
+        mine = pc.equal(table["own"], key[1])
+        (one, ctx_one), (two, ctx_two) = _shards([table.filter(mine), table.filter(pc.invert(mine))], width)
+        mask_one, mask_two = merged(one, two)
+        return pa.concat_tables([_found(one, mask_one, ctx_one, length), _found(two, mask_two, ctx_two, length)])
+
+    marks = grouped.groupBy("group", "a", "b").applyInArrow(in_group, "ctx bigint, low int, high int")
     marks = written(marks.union(whole).distinct())
     spans = places.select("ctx", "row", "pos").distinct().join(marks, "ctx").select("row", (F.col("pos") + F.col("low")).alias("low"), (F.col("pos") + F.col("high")).alias("high"))
     lost = spans.groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("lost"))
-    joined = source.join(lost, "row", "left").select("id", "text", "lost")
+    joined = texts.join(lost, "row", "left").select("id", "data", "lost")
 
     def removed(batches):
         for batch in batches:
-            for piece in pieces([batch], 1):
+            for at in range(0, batch.num_rows, 256):
+                piece = batch.slice(at, 256)
                 out = []
-                for text, spans in zip(piece.column(1).to_pylist(), piece.column(2), strict=True):
-                    data = text.encode()
+                for data, spans in zip(piece.column(1).to_pylist(), piece.column(2), strict=True):
+                    data = zlib.decompress(data)
                     step = np.zeros(len(data) + 1, np.int64)
                     if spans.is_valid:
                         np.add.at(step, spans.values.field(0).to_numpy(), 1)
@@ -381,4 +413,3 @@ def dedup_substrings(
 
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
     return joined.mapInArrow(removed, f"`{id_col}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
-
