@@ -1,5 +1,7 @@
+import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -7,7 +9,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from veridex.llm import bpe, licenses, token_counts
+from veridex.llm import bpe, licenses, queries_scans, token_counts
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 PARTS = [" ", "  ", "\n", "a", "the", "ing", "'s", "'", "!", "<|endoftext|>", "é", "ß", "中", "1", "23", "\t", " ", "\u0085", "\x1c", "tion", "😀", "er", "▁", "<s>"]
@@ -108,3 +110,62 @@ def test_base_places_equal_brute_force(spark, seed):
         r = got[i]
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(own), len(hits), min(places, default=None), max(places, default=None))
         assert r.base_labels == ",".join(sorted({label for _, label in hits}))
+
+
+def test_a_notice_next_to_a_better_one_is_found_too():
+    scanner = licenses.NoticeScanner(licenses.PHRASES, licenses.NOTICES)
+    for text, places in (("licensed undr cc by licensed under cc by", [0, 4]), ("all rigts reserved all rights reserved", [0, 3]), ("x all rights reserved y all rightz reserved", [1, 5])):
+        matches = scanner.scan(text)[1]
+        assert sorted(m["first_word"] for m in matches if not m["exact"]) == places
+
+
+def test_each_notice_is_found_as_it_stands_and_with_one_edit(spark):
+    notices = list(licenses.NOTICES)
+    rows = [(i, f"some words {n.upper()} more") for i, n in enumerate(notices)] + [(100 + i, f"some words {n[:5]}x{n[6:]} more") for i, n in enumerate(notices)]
+    got = scanned(spark, rows)
+    for i, notice in enumerate(notices):
+        label = licenses.NOTICES[notice][0]
+        assert label in got[i].labels.split(",") and got[i].score == 1.0
+        assert label in got[100 + i].labels.split(",")
+
+
+def test_two_million_characters_of_a_phrase():
+    scanner = licenses.NoticeScanner(licenses.PHRASES, licenses.NOTICES)
+    began = time.perf_counter()
+    n, matches = scanner.scan("cc by " * 333_334)
+    assert n == 666_668 and len(matches) == 333_334 and matches[-1]["first_word"] == 666_666
+    assert time.perf_counter() - began < 20
+
+
+def test_two_million_characters_without_a_blank():
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(11)
+    text = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(2_000_000))
+    began = time.perf_counter()
+    want = len(model.encode(text))
+    middle = time.perf_counter()
+    assert token_counts.ResyncCounter(PIECES).count(text) == want
+    assert time.perf_counter() - middle < 4 * (middle - began) + 4
+
+
+def test_registered_queries_equal_the_libraries(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(texts(77, 60))] + [(100, None), (101, "word " * 5000), (102, "z" * 3000)]
+    spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, ids string").write.parquet(f"{tmp_path}/documents.parquet")
+    library, model = Tokenizer.from_file(BPE), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    want = []
+    for i, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(ids), digest(",".join(map(str, ids))), digest(library.decode(ids, skip_special_tokens=False))))
+    got = queries_scans.op7_bpe_round_trip(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and sorted(map(tuple, got.collect())) == sorted(want)
+    want = [(i, len((t or "").encode()), n := len(model.encode(t or "")), n > 4096) for i, t in rows]
+    got = queries_scans.op8_token_counts(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"] and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_scans_of_repeats_null_ids_and_no_rows(spark):
+    got = scanned(spark, [(None, "cc by"), (1, "cc by"), (1, "cc by")])
+    assert set(got) == {None, 1}
+    frame = spark.createDataFrame([(1, "cc by"), (1, "cc by")], "doc_id bigint, text string")
+    assert licenses.scan_licenses(frame).count() == 2 and licenses.scan_licenses(frame.limit(0)).count() == 0

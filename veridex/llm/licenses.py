@@ -8,7 +8,9 @@ library verifies the notice with at most k errors and gives its span.  Without a
 
 from __future__ import annotations
 
+import bisect
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,15 +24,50 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 #: Short notices of public licences in words, the label of each, and the most edits allowed.
 NOTICES = {
     "licensed under the apache license": ("apache", 3),
+    "apache license version 2 0": ("apache", 2),
     "permission is hereby granted free of charge to any person obtaining a copy": ("mit", 6),
+    "under the terms of the mit license": ("mit", 3),
+    "licensed under the mit license": ("mit", 2),
+    "released under the mit license": ("mit", 2),
+    "permission to use copy modify and or distribute this software for any purpose": ("isc", 6),
     "redistribution and use in source and binary forms": ("bsd", 4),
+    "licensed under the bsd license": ("bsd", 2),
+    "bsd 2 clause license": ("bsd", 1),
+    "bsd 3 clause license": ("bsd", 1),
     "subject to the terms of the mozilla public license": ("mpl", 4),
+    "mozilla public license version 2 0": ("mpl", 3),
     "licensed under the gnu general public license": ("gpl", 4),
+    "terms of the gnu general public license": ("gpl", 3),
+    "gnu lesser general public license": ("lgpl", 3),
+    "gnu affero general public license": ("agpl", 3),
+    "gnu free documentation license": ("gfdl", 3),
+    "eclipse public license": ("epl", 2),
+    "common development and distribution license": ("cddl", 4),
+    "boost software license": ("boost", 2),
+    "artistic license 2 0": ("artistic", 1),
+    "academic free license": ("afl", 2),
+    "microsoft public license": ("ms-pl", 2),
+    "european union public licence": ("eupl", 3),
+    "python software foundation license": ("psf", 3),
+    "sil open font license": ("ofl", 2),
+    "server side public license": ("sspl", 2),
+    "business source license": ("busl", 2),
+    "university of illinois ncsa open source license": ("ncsa", 4),
+    "open database license": ("odbl", 2),
+    "do what the fuck you want to public license": ("wtfpl", 4),
+    "this is free and unencumbered software released into the public domain": ("unlicense", 6),
+    "dedicated to the public domain": ("public-domain", 3),
     "licensed under cc by": ("cc-by", 2),
     "licensed under a creative commons attribution": ("cc-by", 4),
+    "creative commons attribution share alike": ("cc-by-sa", 4),
+    "creative commons attribution noncommercial": ("cc-by-nc", 4),
+    "creative commons attribution noderivatives": ("cc-by-nd", 4),
+    "creative commons zero": ("cc0", 2),
+    "cc0 1 0 universal": ("cc0", 1),
     "all rights reserved": ("reserved", 2),
-    "dedicated to the public domain": ("public-domain", 3),
 }
+#: Areas whose verdict a text keeps, so that what repeats is verified once.
+KEPT = 4096
 MATCHES = "array<struct<label:string,first_word:bigint,last_word:bigint,edits:int,exact:boolean,score:double>>"
 
 
@@ -66,39 +103,51 @@ class NoticeScanner:
         return found
 
     def fuzzy(self, text: str) -> list[tuple[int, int, str, int, int]]:
-        """(begin, end, label, edits, length of the notice) of each verified notice; the matches of one don't overlap."""
-        areas: dict[int, list[list[int]]] = {}
+        """(begin, end, label, edits, length of the notice) of each verified notice.
+
+        The area of a seed holds all matches with this seed in its place, and no two that don't overlap.  Of matches of one
+        notice that overlap, the one of fewest edits stays, then the first.
+        """
+        found: dict[int, set[tuple[int, int, int]]] = {}
+        kept: dict[tuple[int, str], tuple[int, int, int] | None] = {}
         for last, (length, places) in self.seeds.iter(text):
             for number, offset in places:
-                notice, _, edits, _ = self.notices[number]
+                notice, _, edits, pattern = self.notices[number]
                 begin = max(0, last + 1 - length - offset - edits)
-                end = min(len(text), last + 1 - length - offset + len(notice) + edits)
-                spans = areas.setdefault(number, [])
-                if spans and begin <= spans[-1][1]:
-                    spans[-1][0], spans[-1][1] = min(begin, spans[-1][0]), max(end, spans[-1][1])
-                else:
-                    spans.append([begin, end])
-        found = []
-        for number, spans in areas.items():
-            notice, label, _, pattern = self.notices[number]
-            for begin, end in spans:
-                for match in pattern.finditer(text, begin, end):
-                    found.append((match.start(), match.end(), label, sum(match.fuzzy_counts), len(notice)))
-        return found
+                area = text[begin : last + 1 - length - offset + len(notice) + edits]
+                if (number, area) not in kept:
+                    if len(kept) >= KEPT:
+                        kept.clear()
+                    match = pattern.search(area)
+                    kept[number, area] = match and (sum(match.fuzzy_counts), match.start(), match.end())
+                if own := kept[number, area]:
+                    found.setdefault(number, set()).add((own[0], begin + own[1], begin + own[2]))
+        out = []
+        for number, spans in found.items():
+            notice, label, _, _ = self.notices[number]
+            taken: list[tuple[int, int]] = []
+            for edits, begin, end in sorted(spans):
+                at = bisect.bisect(taken, (begin, end))
+                if (at and taken[at - 1][1] > begin) or (at < len(taken) and taken[at][0] < end):
+                    continue
+                taken.insert(at, (begin, end))
+                out.append((begin, end, label, edits, len(notice)))
+        return sorted(out)
 
     def scan(self, text: str) -> tuple[int, list[dict]]:
         """The number of words of a lower-cased text, and all matches."""
         words = WORD.findall(text)
         plain = f" {' '.join(words)} "
-        exact, matches = self.exact(plain), []
+        exact, fuzzy, matches = self.exact(plain), self.fuzzy(plain), []
+        blanks = list(accumulate((len(word) + 1 for word in words), initial=0)) if exact or fuzzy else []
         for at, label, size in exact:
-            first = plain.count(" ", 0, at)
+            first = bisect.bisect_left(blanks, at)
             matches.append({"label": label, "first_word": first, "last_word": first + size - 1, "edits": 0, "exact": True, "score": 1.0})
-        for begin, end, label, edits, length in self.fuzzy(plain):
+        for begin, end, label, edits, length in fuzzy:
             inner = plain[begin:end]
             begin, end = begin + len(inner) - len(inner.lstrip()), end - len(inner) + len(inner.rstrip())
-            first = plain.count(" ", 0, begin + 1) - 1
-            last = plain.count(" ", 0, end) - 1
+            first = bisect.bisect_right(blanks, begin) - 1
+            last = bisect.bisect_left(blanks, end) - 1
             matches.append({"label": label, "first_word": first, "last_word": max(first, last), "edits": edits, "exact": False, "score": 1.0 - edits / length})
         return len(words), matches
 
