@@ -10,6 +10,7 @@ the tokens on either side don't depend on the other side.
 from __future__ import annotations
 
 import bisect
+import re
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from veridex.llm.arrowtext import map_texts
 
 SPACE = "▁"
+STABLE = re.compile(f"(?<=[^ {SPACE}]) ")
 _MODELS: dict = {}
 
 
@@ -43,24 +45,37 @@ class ResyncCounter:
         return text[at] == " " and text[at - 1] not in (" ", SPACE)
 
     def count(self, text: str) -> int:
-        """The number of tokens of one whole text."""
+        """The number of tokens of one whole text.
+
+        A chunk reaches over the next stable position, so the overlap of two chunks holds one; a stretch without any, such
+        as text that has no spaces, is one chunk as a whole and costs what the library takes for it.
+        """
         if len(text) <= self.chunk or not self.provable:
             return len(self.model.encode(text))
+        stable = [match.start() for match in STABLE.finditer(text)]
+
+        def reach(at: int) -> int:
+            """Past the first stable position from at on; the end of the text if there is none."""
+            number = bisect.bisect_left(stable, at)
+            return min(len(text), stable[number] + self.overlap) if number < len(stable) else len(text)
+
         total, since = 0, 0  # tokens that start before since are counted
-        begin, end = 0, self.chunk
+        begin, end = 0, reach(self.chunk)
+        if end == len(text):
+            return len(self.model.encode(text))
         left = self.starts(text, begin, end)
         while end < len(text):
-            width, cut = self.overlap, None
+            width, cut, stop = 2 * self.overlap, None, reach(end + self.chunk)
             while cut is None:
                 low = max(since + 1, end - width)
-                stop = min(len(text), end + self.chunk)
                 right = self.starts(text, low, stop)
                 both = set(left).intersection(right)
                 # the first token of the right chunk carries the model's own leading space, so it proves nothing
                 cut = next((p for p in sorted(both, reverse=True) if low < p < end and self.stable(text, p)), None)
                 if cut is None:
-                    if low == since + 1:  # nothing left to widen: both chunks become one
-                        end, left = stop, self.starts(text, begin, stop)
+                    if low == since + 1:  # nothing left to widen: both chunks become one, of twice the length at least
+                        end = max(stop, reach(min(len(text), 2 * end - begin)))
+                        left = self.starts(text, begin, end)
                         break
                     width *= 2
             if cut is not None:
@@ -88,7 +103,8 @@ def count_tokens(
 ) -> DataFrame:
     """One row for each row of docs: id_col, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
-    No row moves between tasks.  A null text counts as empty: 0 bytes, 0 tokens.  Repeated rows and null ids give a row
+    Texts of up to chunk characters are encoded as they are, longer ones in overlapping chunks.  No row moves between
+    tasks.  A null text counts as empty: 0 bytes, 0 tokens.  Repeated rows and null ids give a row
     each; an empty table gives none.  Other columns of docs are not read, so their names can't clash.
     """
 
