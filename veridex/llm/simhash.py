@@ -216,7 +216,8 @@ def near_links(prints: DataFrame, most: int = 4, block: int = 16_384) -> DataFra
     def grouped(batches):
         yield from _sorted_groups(batches, most, block)
 
-    rows = prints.select("fp").mapInArrow(keyed, "key int, fp bigint").repartition("key").sortWithinPartitions("key", "fp")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # each fingerprint becomes some 80 rows
+    rows = prints.select("fp").repartition(tasks).mapInArrow(keyed, "key int, fp bigint").repartition("key").sortWithinPartitions("key", "fp")
     found = written(rows.mapInArrow(grouped, EDGE))
     edges = found.filter("key IS NULL").select("u", "v")
     hot = found.filter("key IS NOT NULL").select("key", "block", F.col("u").alias("fp"))
@@ -258,6 +259,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = components(near_links(distinct, most))
 
     rooted = distinct.join(star, F.col("fp") == F.col("u"), "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    named = written(rooted.groupBy("root").agg(F.min("least").alias("component")))  # so that Spark can split a hot root
     classes = rooted.join(named, "root").select("fp", "component")
     return marked.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component")
