@@ -1,8 +1,12 @@
-"""The corpus pipeline: each stage works on all documents that its predecessor kept, read again from Parquet."""
+"""The corpus pipeline: each stage works on all documents that its predecessor kept, read again from Parquet.
 
-from __future__ import annotations
+In every stage a null text counts as empty, each row is a document of its own whatever rows share its doc_id or its text,
+a null doc_id is an id (smaller than all in line dedup, after all in near-dedup), an empty table gives an empty table, and
+columns besides doc_id and text go through under their names, whatever these are; only n_chars, where there is one, follows
+a text that changed.
+"""
 
-import uuid
+from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +14,7 @@ from pyspark.sql import functions as F
 
 from veridex.llm import bpe, decontaminate, line_dedup, quality, simhash
 from veridex.llm.queries_scans import digests
-from veridex.llm.shared_store import folder, written
+from veridex.llm.shared_store import written
 from veridex.sources.tables import table
 
 
@@ -22,11 +26,12 @@ def _rest(docs: DataFrame) -> DataFrame:
 
 def _documents(found: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of documents again, with the texts that a stage left."""
-    return found.select("key.*", "text").withColumn("n_chars", F.length("text").cast("bigint")).select(*columns)
+    whole = found.select("key.*", "text")
+    return (whole.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in columns else whole).select(*columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without the lines that failed."""
+    """Documents that the rules keep, without the lines that failed; an empty text fails."""
     cleaned = quality.clean_lines(_rest(docs), id_col="key")
     # a verdict that isn't deterministic stays above the steps it is made of; pushed below, each would be copied into it
     verdict = F.col("kept") & (F.monotonically_increasing_id() >= 0)
@@ -72,7 +77,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the documents that are left."""
+    """doc_id, token count and digests of each row that is left; no other column."""
     return digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
@@ -94,7 +99,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            path = f"{folder(spark)}/pipeline-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = written(docs)
     return docs
