@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from veridex.functions import decide
+from veridex.functions import decide, nested
 from veridex.functions import text as tx
 
 
@@ -43,3 +43,10 @@ def test_policies_disagree_on_mixed_and_invalid(spark):
 def test_labels_skip_empty_texts(spark):
     assert one(spark, tx.label_of(F.lit(""), F.lit(None).cast("string"), F.lit("c"))) == "c"
     assert one(spark, tx.first_match(F.lit("no digits"), "[0-9]+")) is None
+
+
+def test_an_unknown_alias_stops_the_query(spark):
+    frame = spark.createDataFrame([(" Ground ",), ("who knows",)], "a string").select(nested.required_name(F.col("a"), {"ground": "ground"}, "action").alias("x"))
+    assert frame.first().x == "ground"
+    with pytest.raises(Exception, match="unknown action: who knows"):
+        frame.collect()

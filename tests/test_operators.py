@@ -88,22 +88,44 @@ def test_mcnemar_and_majority(spark):
     assert metrics.majority(values, ["g"], "v").first().v == "x"
 
 
-def trajectory_rows(spark, **changes):
-    row = {"tools": ["search", "read"], "required_tools": ["search", "read"], "action": "ground", "expected_action": "ground", "status": "ok", "gold_status": "ok", "cited": ["s"], "gold_sources": ["s"], "requires_attribution": True, "used_web": False, "web_zero": True}
-    row |= changes
-    schema = "tools array<string>, required_tools array<string>, action string, expected_action string, status string, gold_status string, cited array<string>, gold_sources array<string>, requires_attribution boolean, used_web boolean, web_zero boolean"
-    names = [part.split()[0] for part in schema.split(", ")]
-    return spark.createDataFrame([tuple(row[n] for n in names)], schema)
+CONTROL = {
+    "steps": [("search", {"drug": "1"}), ("read", {"drug": "1"})], "required_tools": ["search", "read"], "required_fields": ["drug"], "action": "ground_with_attribution", "expected_action": "ground_with_attribution",
+    "status": "supported", "packet_status": None, "gold_status": "supported", "cited": ["s"], "gold_sources": ["s"], "requires_attribution": True, "requires_tool": True, "web_zero": True,
+    "allowed": ["ground_with_attribution", "answer_self", "trust_specialist_output"], "calibration": "calibrated", "baseline_dominates": False, "regime": "antibody_antigen", "metric_type": "m", "metric_scope": "s",
+    "dataset_id": "d", "threshold_id": "t", "regime_match": True,
+}
+SCHEMA = """steps array<struct<name:string,arguments:map<string,string>>>, required_tools array<string>, required_fields array<string>, action string, expected_action string, status string, packet_status string, gold_status string,
+cited array<string>, gold_sources array<string>, requires_attribution boolean, requires_tool boolean, web_zero boolean, allowed array<string>, calibration string, baseline_dominates boolean, regime string, metric_type string,
+metric_scope string, dataset_id string, threshold_id string, regime_match boolean"""
+TRUSTED = {"action": "trust_specialist_output", "expected_action": None}
 
 
 @pytest.mark.parametrize(
-    ("changes", "failed"),
-    [({}, None), ({"tools": ["read", "search"]}, "tool_order"), ({"tools": []}, "tool_order"), ({"action": None}, "terminal_action"), ({"status": "x"}, "evidence_status"), ({"cited": []}, "attribution"), ({"gold_sources": []}, "attribution"), ({"used_web": True}, "no_web")],
+    ("changes", "failed", "broken"),
+    [
+        ({}, [], []),
+        ({"expected_action": None}, [], []),
+        ({"status": None, "packet_status": "supported"}, [], []),
+        ({"steps": [("read", {"drug": "1"}), ("search", {"drug": "1"})]}, ["required_tool_sequence"], ["missing_required_tool_sequence"]),
+        ({"steps": [("search", {}), ("read", {"drug": "1"})]}, ["query_filter_completeness"], ["query_filter_missing_required_field"]),
+        ({"required_fields": [], "steps": [("search", {}), ("read", {})]}, [], []),
+        ({"status": "x"}, ["evidence_status"], ["evidence_status_mismatch"]),
+        ({"cited": []}, ["attribution"], ["missing_required_attribution"]),
+        ({"gold_sources": []}, ["attribution"], ["missing_required_attribution"]),
+        ({"action": "answer_self", "expected_action": None}, ["policy_compliance"], ["web_zero_requires_tool_or_defer", "external_tool_required"]),
+        (TRUSTED, [], []),
+        (TRUSTED | {"allowed": []}, ["action_allowed"], ["action_not_allowed"]),
+        (TRUSTED | {"calibration": None}, ["policy_compliance"], ["uncalibrated_specialist_requires_verify_baseline_or_defer"]),
+        (TRUSTED | {"baseline_dominates": True}, ["policy_compliance"], ["baseline_dominates_do_not_trust_specialist"]),
+        (TRUSTED | {"regime": "Antibody_Antigen", "metric_type": "", "regime_match": None}, ["policy_compliance"], ["c5_trust_missing_metric_or_calibration_schema", "c5_trust_requires_regime_matched_calibration"]),
+    ],
 )
-def test_trajectory_passes_the_control_and_rejects_shortcuts(spark, changes, failed):
-    got = trajectory.evaluate(trajectory_rows(spark, **changes), [("never", F.lit(None).cast("boolean"))]).first()
-    assert got.passed == (failed is None) and got.violations == []
-    assert [n for n in trajectory.REWARDS if not got[f"reward_{n}"]] == ([failed] if failed else [])
+def test_trajectory_passes_the_control_and_rejects_shortcuts(spark, changes, failed, broken):
+    row = CONTROL | changes
+    names = [part.split()[0] for part in SCHEMA.replace("\n", " ").split(", ")]
+    got = trajectory.evaluate_with_query(spark.createDataFrame([tuple(row[n] for n in names)], SCHEMA)).first()
+    assert [n[7:] for n in got.asDict() if n.startswith("reward_") and not got[n]] == failed
+    assert got.violations == broken and got.passed == (not failed) and got.score == pytest.approx(1 - len(failed) / 7)
 
 
 def test_issues_treat_null_as_broken(spark):

@@ -38,3 +38,18 @@ def citations(payload: Column, *fields: str) -> Column:
         return F.when(F.size(ids) > 0, ids)
 
     return F.coalesce(*(read(f) for f in fields), F.array().cast("array<string>"))
+
+
+def required_name(value: Column, aliases: dict[str, str], what: str) -> Column:
+    """The name that an alias stands for, whatever its case and blanks; an unknown or missing one stops the query."""
+    unknown = F.raise_error(F.concat(F.lit(f"unknown {what}: "), F.coalesce(value, F.lit("none"))))
+    return F.coalesce(canonical_name(value, aliases), unknown.cast("string"))
+
+
+def tool_steps(payload: Column, aliases: dict[str, list[str]]) -> Column:
+    """Names of all calls in order, of tool_calls or else called: texts or objects with a name or tool, aliases expanded."""
+    raw = F.coalesce(F.get_json_object(payload, "$.tool_calls"), F.get_json_object(payload, "$.called"))
+    names = F.transform(F.from_json(raw, "array<string>"), lambda c: F.trim(F.coalesce(F.get_json_object(c, "$.name"), F.get_json_object(c, "$.tool"), c)))
+    table = F.create_map(*(x for name, many in sorted(aliases.items()) for x in (F.lit(name), F.array(*map(F.lit, many)))))
+    expanded = F.flatten(F.transform(names, lambda n: F.coalesce(F.try_element_at(table, n), F.array(n))))
+    return F.coalesce(expanded, F.array().cast("array<string>"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 
 def hash_key(salt: str, value: Column) -> Column:
@@ -47,6 +48,21 @@ def balanced(frame: DataFrame, by: str, order: list[Column]) -> DataFrame:
     return ranked.join(F.broadcast(most)).withColumn("slot", F.explode(turns)).drop("_rn", "_n", "_most")
 
 
+def with_stored_split(rows: DataFrame, manifest: DataFrame, key: str, split: str = "split") -> DataFrame:
+    """Rows with the split that a manifest (key, split) has for them; a row that it doesn't name stops the query."""
+    missing = F.raise_error(F.concat(F.lit("not in the split manifest: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return rows.join(manifest.select(key, F.col(split).alias("_split")), key, "left").withColumn(split, F.coalesce("_split", missing.cast("string"))).drop("_split")
+
+
+def without_keys(kind: DataType, value: Column, keys: set[str]) -> Column:
+    """A nested value without fields of these names at any depth; arrays and structs are walked by their type."""
+    if isinstance(kind, StructType):
+        return F.struct(*(without_keys(f.dataType, value[f.name], keys).alias(f.name) for f in kind.fields if f.name not in keys))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: without_keys(kind.elementType, x, keys))
+    return value
+
+
 def greedy_unique(frame: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows in order, each kept unless one of its keys was kept before.
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from veridex.operators import rank
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, block: int = 2048) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, block: int = 2048, concept: str | None = None) -> DataFrame:
     """(query, match, similarity, rn): the k most similar vectors of each query, ties by key, the query itself left out.
 
+    concept: a column; vectors of the query's own concept are left out too.
+
     Vectors are cut into blocks, and each meets the queries' blocks by an equi-join on the pair's number; a pair is one
     matrix product that passes on k rows a query, so neither side is ever whole in one place.
     """
@@ -23,7 +25,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int,
 
     def packed(frame, name, count):
         number = F.pmod(F.xxhash64(key), F.lit(count))
-        return frame.select(number.alias(name), F.col(key).alias("id"), F.col(vector).alias("v"))
+        return frame.select(number.alias(name), F.col(key).alias("id"), F.col(concept or key).alias("c"), F.col(vector).alias("v"))
 
     left = packed(queries, "qb", q_blocks).join(pairs, "qb").groupBy("qb", "vb")
     right = packed(vectors, "vb", blocks).join(pairs, "vb").groupBy("qb", "vb")
@@ -32,9 +34,9 @@ def top_k(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int,
         ids, others = one["id"].to_numpy(), two["id"].to_numpy()
         if not len(ids) or not len(others):
             return pa.table({"query": pa.array([], pa.int64()), "match": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        a, b = (np.array(t["v"].to_pylist(), np.float64) for t in (one, two))
+        a, b = (t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(t), -1) for t in (one, two))
         similar = a @ b.T
-        similar[ids[:, None] == others[None, :]] = -np.inf
+        similar[(ids[:, None] == others[None, :]) | (one["c"].to_numpy()[:, None] == two["c"].to_numpy()[None, :])] = -np.inf
         order = np.lexsort((np.broadcast_to(others, similar.shape), -np.round(similar, 12)), axis=1)[:, :k]
         rows = np.repeat(np.arange(len(ids)), order.shape[1])
         picked = similar[rows, order.ravel()]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from veridex.plans import analysis, relational, routing, selection
+from veridex.plans import analysis, gates, reading, relational, routing, selection, summaries, trajectories
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (routing, relational, selection, analysis):
+for _module in (routing, relational, selection, analysis, trajectories, gates, reading, summaries):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

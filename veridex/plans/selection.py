@@ -218,7 +218,7 @@ def f2(spark, d):
 
 @query(
     "f3_normal_substance",
-    rf"""WITH n AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(x), '{tx.DOSE}', ' ', 'g'), '\([^)]*\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS base
+    rf"""WITH n AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(x), '\(.*?\)', ' ', 'g'), '{tx.DOSE}', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS base
 FROM (SELECT p_partkey, p_name || CASE p_size % 3 WHEN 0 THEN ' sodium 5 mg' WHEN 1 THEN ' (oral) sulfate' ELSE ' 10%' END AS x FROM part UNION ALL SELECT -1, 'magnesium sulfate' UNION ALL SELECT -2, 'sodium'))
 SELECT p_partkey, CASE WHEN b = '' OR b IN ({", ".join(f"'{c}'" for c in tx.CATIONS)}) THEN base ELSE b END AS normal
 FROM (SELECT *, trim(regexp_replace(regexp_replace(base, '\b({"|".join(tx.SALTS)})\b', ' ', 'g'), ' +', ' ', 'g')) AS b FROM n)""",
