@@ -24,7 +24,6 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-
 @query(
     "w1_top_with_ties",
     """SELECT c_nationkey, c_custkey, c_mktsegment, ties AS tie_count FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY length(c_mktsegment) DESC, c_custkey) AS rn,
@@ -94,7 +93,7 @@ def w11(spark, d):
 FROM (SELECT DISTINCT p_brand, p_name FROM part)) WHERE n >= 3 AND rn = n // 2 + 1""",
 )
 def w12(spark, d):
-    return rank.middle_of_group(table(spark, d, "part"), ["p_brand"], "p_name").select("p_brand", "p_name", "n_values")
+    return rank.middle_of_group(table(spark, d, "part"), "p_brand", "p_name").select("p_brand", "p_name", "n_values")
 
 
 @query(
@@ -123,7 +122,7 @@ SELECT i * 4 + slot AS position, doc_id, lang FROM r WHERE i < (SELECT min(n) FR
 )
 def w15(spark, d):
     docs = table(spark, d, "documents").select("lang", "doc_id")
-    return rank.interleaved(docs, "lang", [F.col("doc_id")], ["de", "en", "es", "fr"]).select(F.col("position").cast("bigint").alias("position"), "doc_id", "lang")
+    return rank.interleaved(docs, "lang", "doc_id", ["de", "en", "es", "fr"]).select(F.col("position").cast("bigint").alias("position"), "doc_id", "lang")
 
 
 @query("t2_custom_order", "SELECT role, min(turn) AS first_turn, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS role_order FROM conversations GROUP BY role")
@@ -152,12 +151,12 @@ def t7(spark, d):
 )
 def t8(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang")
-    return select.held_out(docs, "lang", [select.hash_key("split", F.col("doc_id")), F.col("doc_id")], 12).select("doc_id", "split")
+    return select.held_out(docs, "lang", "split", "doc_id", 12).select("doc_id", "split")
 
 
 @query("t9_stratified_folds", "SELECT doc_id, floor((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) * 5 / count(*) OVER (PARTITION BY lang))::INT AS fold FROM documents")
 def t9(spark, d):
-    return select.folds(table(spark, d, "documents").select("doc_id", "lang"), "lang", [F.col("doc_id")], 5).select("doc_id", "fold")
+    return select.folds(table(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 5).select("doc_id", "fold")
 
 
 @query(
@@ -185,7 +184,7 @@ SELECT lang, doc_id, unnest(range(rn, (SELECT max(n) FROM r), n)) AS slot FROM r
 )
 def t16(spark, d):
     docs = table(spark, d, "documents").select("lang", "doc_id")
-    return select.balanced(docs, "lang", [F.col("doc_id")]).select("lang", "doc_id", F.col("slot").cast("bigint").alias("slot"))
+    return select.balanced(docs, "lang", "doc_id").select("lang", "doc_id", F.col("slot").cast("bigint").alias("slot"))
 
 
 @query("t13_greedy_unique")
@@ -202,8 +201,7 @@ def t21(spark, d):
 
 @query("t22_sentinel_rows", "SELECT o_orderstatus, o_orderkey FROM (SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS rn, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders) WHERE rn IN (1, n // 2 + 1, n)")
 def t22(spark, d):
-    ranked = rank.numbered(table(spark, d, "orders"), ["o_orderstatus"], [F.col("o_orderkey")]).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("o_orderstatus")))
-    return ranked.filter("rn = 1 OR rn = floor(n / 2) + 1 OR rn = n").select("o_orderstatus", "o_orderkey")
+    return select.sentinels(table(spark, d, "orders").select("o_orderstatus", "o_orderkey"), "o_orderstatus", "o_orderkey")
 
 
 @query("f1_f20_matches", r"SELECT page_id, nullif(regexp_extract(html, '[0-9]+', 0), '') AS first_number, len(list_distinct(regexp_extract_all(html, '[0-9]+')))::BIGINT AS distinct_numbers FROM pages")
