@@ -1,6 +1,9 @@
 import re
 
-from veridex.llm import pii
+import pytest
+import regex
+
+from veridex.llm import pii, queries_native
 
 TEXTS = [
     (1, "Write to Ann.Lee42@mail3.acme.org or call +1 (743) 555-3220. Card 4111 1111 1111 1111."),
@@ -104,3 +107,55 @@ def test_planted_mentions_of_each_form_are_replaced(spark):
     assert out[1].text.startswith("see sk-proj-") and out[2].text.startswith("see github_pat_")
     plain = replaced(spark, [(1, "a::b and 12:30:45, 1700000000 s, task-force-of-the-committee, 10 200 3000")])
     assert plain[1].n_entities == 0
+
+
+def test_a_family_named_with_an_honorific_is_replaced_where_it_stands_alone(spark):
+    out = replaced(spark, [(1, "Mr. John Smith came. Smith said that Smithson and SMITH, Smith's men, left Smith"), (2, "Smith is not named here"), (3, "Mrs Lee, Lee and Mr Adam Lee")])
+    text = out[1].text
+    family = re.match(r"Mr\. \w+ (\w+) came\.", text)[1]
+    assert text[text.index("came") :] == f"came. {family} said that Smithson and SMITH, {family}'s men, left {family}" and "Smith " not in text
+    assert out[1].n_entities == 4 and out[2].text == "Smith is not named here" and "Lee" not in out[3].text
+
+
+@pytest.mark.parametrize("planted", [False, True])
+def test_the_registered_query_equals_brute_force(spark, tmp_path, planted):
+    """Mentions by the regex library; what lies between them stays; one surrogate for each entity, none for two."""
+    if planted:
+        rows = [(i, t) for i, t in TEXTS] + [(20 + i, f"Mr. {a} {b} wrote from {a.lower()}@{b.lower()}.org, 10.1.{i}.7, or (212) 555-01{i:02d}.") for i, (a, b) in enumerate((a, b) for a in ("Tom", "Max", "Kim") for b in ("Okafor", "Brandt"))]
+        spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, kinds string").write.parquet(f"{tmp_path}/documents.parquet")
+        got = queries_native.op6_pii_surrogates(spark, str(tmp_path))
+    else:
+        rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+        got = queries_native.op6_pii_surrogates(spark, "/root/testdata/sf0.001")
+    assert {"doc_id", "n_entities", "kinds", "text"} <= set(got.columns)
+    pattern = regex.compile(pii.PATTERN, regex.V1)
+    each = {k: regex.compile(p, regex.V1) for k, p in pii.PATTERNS.items()}
+    new = {r.doc_id: r for r in got.collect()}
+    assert len(new) == len(rows)
+    given: dict = {}
+    seen = 0
+    for i, text in rows:
+        text = text or ""
+        mentions = [m[0] for m in pattern.finditer(text)]
+        kinds = [next((k for k, p in each.items() if p.fullmatch(m)), "phone") for m in mentions]
+        families = {m.split()[-1] for m, k in zip(mentions, kinds) if k in ("man", "woman") and len(m.split()[-1]) >= 3}
+        alone = regex.compile(r"(?<!\p{L})(?:" + "|".join(sorted(map(regex.escape, families))) + r")(?!\p{L})") if families else None
+        parts, at = [], 0
+        for m in pattern.finditer(text):
+            parts.append(text[at : m.start()])
+            at = m.end()
+        parts.append(text[at:])
+        bare = sum(len(alone.findall(p)) for p in parts) if alone else 0
+        assert new[i].n_entities == len(mentions) + bare and new[i].kinds == ",".join(sorted(set(kinds)))
+        loose = ["".join(r"\p{L}+" if j % 2 else regex.escape(x) for j, x in enumerate(regex.split(f"({alone.pattern})", p))) if alone else regex.escape(p) for p in parts]
+        whole = regex.fullmatch("(.+?)".join(loose), new[i].text, regex.S)
+        assert whole, i
+        for surface, kind, put in zip(mentions, kinds, whole.groups()):
+            value = re.sub(r"\D", "", surface) if kind in ("phone", "card", "ssn") else surface.lower() if kind in ("email", "ipv6") else re.sub(r"^\S+ ", "", surface) if kind in ("man", "woman") else surface
+            value = value[-10:] if kind == "phone" else value
+            back = re.sub(r"\D", "", put)[-10:] if kind == "phone" else re.sub(r"\D", "", put) if kind in ("card", "ssn") else put.lower() if kind == "email" else re.sub(r"^\S+ ", "", put) if kind in ("man", "woman") else put
+            assert given.setdefault((kind, value), back) == back and back != value
+            seen += 1
+    assert seen > 20
+    drawn = [(kind, back) for (kind, _), back in given.items()]
+    assert len(set(drawn)) == len(drawn) and not set(drawn) & set(given)

@@ -4,7 +4,9 @@ Mentions are found with one pattern and reduced to a canonical value, so that tw
 Each distinct entity draws a surrogate from a keyed hash in the shape of the value: digits for digits, letters for
 letters, the same country code, network, honorific, gender and script.  A check over all entities sends back those whose
 surrogate another entity has, or that is itself an entity of the corpus, and they draw again; what draws don't settle is
-ranked and gets a surrogate that holds its rank.  Surrogates are joined to the mentions by entity and put back at their places.  All steps are column expressions, joins and windows.
+ranked and gets a surrogate that holds its rank.  Surrogates are joined to the mentions by entity and put back at their
+places.  A family name that a document gives with an honorific is replaced in the rest of that document too, where it
+stands alone.  All steps are column expressions, joins and windows.
 """
 
 from __future__ import annotations
@@ -249,6 +251,29 @@ def assign(entities: DataFrame, key: str, attempts: int = 64) -> DataFrame:
             draws = draws + 1 if draws + 1 < attempts and (before is None or 2 * left <= before) else None
 
 
+def _bare_names(mentions: DataFrame) -> Column:
+    """(family, new) of the people that a document names: distinct families of three letters or more, each with the least new one."""
+    family, drawn = F.split_part("value", F.lit(" "), F.lit(-1)), F.split_part("drawn", F.lit(" "), F.lit(-1))
+    person = F.col("kind").isin("man", "woman") & (F.length(family) >= 3)
+    return F.array_sort(F.collect_set(F.when(person, F.struct(family.alias("family"), drawn.alias("new")))))
+
+
+def _without_bare(part: Column, names: Column) -> Column:
+    """A stretch between mentions with the families replaced."""
+
+    def step(text: Column, name: Column) -> Column:
+        return F.regexp_replace(text, F.concat(F.lit(r"(?<!\p{L})"), name["family"], F.lit(r"(?!\p{L})")), name["new"])
+
+    return F.aggregate(names, part, step)
+
+
+def _count_bare(part: Column, names: Column) -> Column:
+    def step(n: Column, name: Column) -> Column:
+        return n + F.regexp_count(part, F.concat(F.lit(r"(?<!\p{L})"), name["family"], F.lit(r"(?!\p{L})")))
+
+    return F.aggregate(names, F.lit(0), step)
+
+
 def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id_col, n_entities (mentions), kinds (array<string>, sorted), text with surrogates.
 
@@ -256,21 +281,25 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     row each; an empty table gives none.  Other columns of docs are not read, so their names can't clash.
     """
     source = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    source = source.withColumn("_row", F.xxhash64("_id", "_text"))
+    source = source.withColumn("_row", F.xxhash64("_id", "_text")).withColumn("_row2", F.xxhash64(F.lit(7), "_text"))
     surfaces = F.regexp_extract_all("_text", F.lit(PATTERN), F.lit(0))
-    mentions = source.select("_row", F.posexplode(surfaces).alias("_pos", "_surface")).withColumn("kind", kind_of(F.col("_surface")))
+    mentions = source.select("_row", "_row2", F.posexplode(surfaces).alias("_pos", "_surface")).withColumn("kind", kind_of(F.col("_surface")))
     mentions = written(mentions.withColumn("value", canonical(F.col("kind"), F.col("_surface"))).distinct())
 
     drawn = assign(mentions.select("kind", "value").distinct(), key)
     named = mentions.join(drawn, ["kind", "value"]).withColumn("_new", in_format(F.col("kind"), F.col("_surface"), F.col("drawn")))
-    found = named.groupBy(F.col("_row").alias("_found")).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", "_new"))).alias("_all"), F.array_sort(F.collect_set("kind")).alias("kinds")
+    found = named.groupBy(F.col("_row").alias("_found"), F.col("_row2").alias("_found2")).agg(
+        F.array_sort(F.collect_list(F.struct("_pos", "_new"))).alias("_all"), F.array_sort(F.collect_set("kind")).alias("kinds"), _bare_names(named).alias("_bare")
     )
-    joined = source.join(found, F.col("_row") == F.col("_found"), "left").withColumn("_parts", F.when(F.col("_all").isNotNull(), F.split("_text", PATTERN)))
-    pieced = F.array_join(F.transform("_parts", lambda part, i: F.concat(part, F.coalesce(F.get(F.col("_all"), i)["_new"], F.lit("")))), "")
+    joined = source.join(found, (F.col("_row") == F.col("_found")) & (F.col("_row2") == F.col("_found2")), "left")
+    # of names that share a family the first stands for it
+    bare = F.filter("_bare", lambda x, i: (i == 0) | (x["family"] != F.get(F.col("_bare"), i - 1)["family"]))
+    joined = joined.withColumn("_bare", bare).withColumn("_parts", F.when(F.col("_all").isNotNull(), F.split("_text", PATTERN)))
+    joined = joined.withColumn("_more", F.aggregate("_parts", F.lit(0), lambda n, part: n + _count_bare(part, F.col("_bare"))))
+    pieced = F.array_join(F.transform("_parts", lambda part, i: F.concat(_without_bare(part, F.col("_bare")), F.coalesce(F.get(F.col("_all"), i)["_new"], F.lit("")))), "")
     return joined.select(
         F.col("_id").alias(id_col),
-        F.coalesce(F.size("_all"), F.lit(0)).cast("bigint").alias("n_entities"),
+        F.coalesce(F.size("_all") + F.col("_more"), F.lit(0)).cast("bigint").alias("n_entities"),
         F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"),
         F.when(F.col("_all").isNull(), F.col("_text")).otherwise(pieced).alias("text"),
     )
