@@ -47,3 +47,25 @@ def ladder(queries: DataFrame, key: str, tiers: list[tuple[str, DataFrame, Colum
         found = hit if found is None else found.unionByName(hit)
         rest = rest.join(hit.select(key), key, "left_anti")
     return found.unionByName(rest.select(key, F.lit(None).cast("string").alias(value), F.lit("abstain").alias("source")))
+
+
+def ground_set(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, other, relation) of each node with itself (EXACT), its descendants of depth 1 and 2 (SUBTYPE) and its parents
+    (ANCESTOR); of several relations the first in this order.  nodes: node; edges: child, parent."""
+    one = edges.select(F.col("parent").alias("node"), F.col("child").alias("other"))
+    two = one.join(one.toDF("above", "below"), F.col("other") == F.col("above")).select("node", F.col("below").alias("other"))
+    parts = [nodes.select("node", F.col("node").alias("other")), one.join(nodes, "node", "left_semi"), two.join(nodes, "node", "left_semi")]
+    parts.append(edges.select(F.col("child").alias("node"), F.col("parent").alias("other")).join(nodes, "node", "left_semi"))
+    every = None
+    for rank, (part, relation) in enumerate(zip(parts, ["EXACT", "SUBTYPE", "SUBTYPE", "ANCESTOR"], strict=True)):
+        tagged = part.select("node", "other", F.struct(F.lit(rank).alias("rank"), F.lit(relation).alias("relation")).alias("tag"))
+        every = tagged if every is None else every.unionByName(tagged)
+    return every.groupBy("node", "other").agg(F.min("tag").alias("tag")).select("node", "other", F.col("tag.relation").alias("relation"))
+
+
+def neighbourhood(edges: DataFrame) -> DataFrame:
+    """(node, neighbour) of each node of an edge with itself, its parents, its children and the children of its parents."""
+    up, down = edges.toDF("node", "neighbour"), edges.select(F.col("parent").alias("node"), F.col("child").alias("neighbour"))
+    siblings = edges.toDF("node", "over").join(edges.toDF("neighbour", "over"), "over").select("node", "neighbour")
+    own = up.select("node").union(down.select("node")).select("node", F.col("node").alias("neighbour"))
+    return up.union(down).union(siblings).union(own).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veridex.functions import similarity
 from veridex.functions import text as tx
-from veridex.operators import rank, select, trajectory, vectors
+from veridex.operators import joins, rank, select, trajectory, vectors
 from veridex.sources.tables import table
 
 QUERIES: dict = {}
@@ -477,3 +477,43 @@ def perturbed(spark, d):
     counted = made.groupBy("perturbation").agg(F.count(F.lit(1)).alias("n")).crossJoin(total)
     wanted = F.when(F.col("perturbation") == "stale", F.floor(F.col("total") / 2)).otherwise(F.col("total"))
     return counted.select("perturbation", "n", (F.col("n") == wanted).alias("as_expected"))
+
+
+_TREE = "t AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer)"
+
+
+@query(
+    "j13_hierarchy_of_depth_two",
+    f"""WITH {_TREE}, q AS (SELECT DISTINCT parent AS node FROM t), a AS (SELECT node, node AS other, 0 AS pri FROM q UNION ALL SELECT parent, child, 1 FROM t UNION ALL SELECT x.parent, y.child, 2 FROM t x JOIN t y ON x.child = y.parent UNION ALL SELECT child, parent, 3 FROM t WHERE child IN (SELECT node FROM q)),
+b AS (SELECT node, other, min(pri) AS pri FROM a GROUP BY 1, 2) SELECT node, ['EXACT', 'SUBTYPE', 'SUBTYPE', 'ANCESTOR'][pri + 1] AS relation, count(*) AS n FROM b GROUP BY 1, 2""",
+)
+def depth_two(spark, d):
+    nation, customer = table(spark, d, "nation"), table(spark, d, "customer")
+    edges = nation.select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
+    edges = edges.union(customer.select(F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey")))
+    nodes = edges.select(F.col("parent").alias("node")).distinct()
+    return joins.ground_set(nodes, edges).groupBy("node", "relation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "j14_whole_neighbourhood",
+    """WITH t AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation) SELECT child AS node, parent AS neighbour FROM t UNION SELECT parent, child FROM t UNION SELECT a.child, b.child FROM t a JOIN t b ON a.parent = b.parent UNION SELECT parent, parent FROM t""",
+)
+def whole_neighbourhood(spark, d):
+    edges = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
+    return joins.neighbourhood(edges)
+
+
+@query(
+    "w14_promoted_reserves",
+    """WITH r AS (SELECT c_nationkey, c_custkey, c_custkey % 3 = 0 AS reserve, c_acctbal > 0 AS passed, row_number() OVER (PARTITION BY c_nationkey, c_custkey % 3 = 0 ORDER BY c_custkey) AS selection_rank FROM customer),
+p AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY reserve, selection_rank) AS place FROM r WHERE passed AND selection_rank <= CASE WHEN reserve THEN 3 ELSE 4 END)
+SELECT c_nationkey, c_custkey, CASE WHEN reserve THEN 'reserve' ELSE 'primary' END AS role, selection_rank, reserve AS promoted FROM p WHERE place <= 4""",
+)
+def promoted(spark, d):
+    """Four primaries and three reserves a nation; primaries that fail are replaced by reserves that pass, in their order."""
+    rows = table(spark, d, "customer").select("c_nationkey", "c_custkey", (F.col("c_custkey") % 3 == 0).alias("reserve"), (F.col("c_acctbal") > 0).alias("passed"))
+    picked = rank.top_per_group(rows, ["c_nationkey", "reserve"], [F.col("c_custkey")], 4)
+    picked = rank.numbered(picked, ["c_nationkey", "reserve"], [F.col("c_custkey")], "selection_rank").filter("passed AND (NOT reserve OR selection_rank <= 3)")
+    final = rank.top_per_group(picked, ["c_nationkey"], [F.col("reserve"), F.col("selection_rank")], 4)
+    return final.select("c_nationkey", "c_custkey", F.when(F.col("reserve"), "reserve").otherwise("primary").alias("role"), F.col("selection_rank").cast("bigint").alias("selection_rank"), F.col("reserve").alias("promoted"))

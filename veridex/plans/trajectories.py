@@ -260,3 +260,48 @@ def twelve(spark, d):
     scored = trajectory.evaluate(made, trajectory.regime_rewards())
     total = F.sum(F.round(F.col("score") * 12).cast("bigint"))
     return scored.groupBy("policy").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("passed"), 1)).alias("exact_pass"), F.round(total / 12.0 / F.count(F.lit(1)), 6).alias("mean_score"))
+
+
+_SQL_GATE = f"CASE WHEN k % 10 = 0 THEN '{trajectory.VERIFY}' ELSE expected_action END", "CASE WHEN k % 10 = 0 THEN 'insufficient' ELSE gold_status END"
+_SQL_FULL = f"{_SQL_GATE[0]} AS action, {_SQL_GATE[1]} AS said, CASE WHEN k % 3 = 0 THEN []::VARCHAR[] ELSE gold_sources END AS cited"
+_SQL_ARBITRATED = " UNION ALL BY NAME ".join(
+    f"SELECT * REPLACE ({changed}), '{name}' AS policy FROM ({_SQL_IDEALS})"
+    for name, changed in [
+        ("oracle_full", "action AS action"),
+        ("self_answer", f"[]::VARCHAR[] AS tools, []::INT[] AS filled, '{trajectory.SELF}' AS action, []::VARCHAR[] AS cited, 'unknown' AS said"),
+        ("ground_supported_collapse", f"'{trajectory.GROUND}' AS action, 'supported' AS said, gold_sources AS cited"),
+        ("citationless_runtime_action", f"{_SQL_GATE[0]} AS action, {_SQL_GATE[1]} AS said, []::VARCHAR[] AS cited"),
+        ("runtime_gate_full", _SQL_FULL),
+        ("hybrid_runtime_over_collapse", _SQL_FULL),
+    ]
+)
+
+
+@query(
+    "e12_full_trajectory_arbitration",
+    f"""WITH s AS ({_sql_scored(_SQL_ARBITRATED)}) SELECT policy, CASE WHEN k % 5 = 0 THEN 'heldout' ELSE 'train' END AS split, count(*) AS n, count(*) FILTER (WHERE len(violations) = 0) AS passed, count(*) FILTER (WHERE action = '{trajectory.GROUND}' AND expected_action <> '{trajectory.GROUND}') AS unsafe_ground,
+round(sum({_EARNED} + (NOT list_contains(violations, {_SEVENTH}))::INT) / 7.0 / count(*), 6)::DOUBLE AS mean_score FROM s GROUP BY 1, 2""",
+)
+def arbitration(spark, d):
+    """Six policies over each case: the ideal, three shortcuts, the runtime gate, and the gate over a collapsed model."""
+    ideal, k = ideals(spark, d), F.col("k")
+    none, steps_type = _texts(), ideal.schema["steps"].dataType
+    gate = {"action": F.when(k % 10 == 0, trajectory.VERIFY).otherwise(F.col("expected_action")), "status": F.when(k % 10 == 0, "insufficient").otherwise(F.col("gold_status"))}
+    full = gate | {"cited": F.when(k % 3 == 0, none).otherwise(F.col("gold_sources"))}
+    policies = {
+        "oracle_full": {},
+        "self_answer": {"steps": F.array().cast(steps_type), "action": F.lit(trajectory.SELF), "status": F.lit("unknown"), "cited": none},
+        "ground_supported_collapse": {"action": F.lit(trajectory.GROUND), "status": F.lit("supported")},
+        "citationless_runtime_action": gate | {"cited": none},
+        "runtime_gate_full": full,
+        "hybrid_runtime_over_collapse": full,
+    }
+    changed = ("steps", "action", "status", "cited")
+    made = F.array(*(F.struct(F.lit(name).alias("policy"), *(new.get(c, F.col(c)).alias(c) for c in changed)) for name, new in policies.items()))
+    rows = ideal.withColumn("_p", F.explode(made)).select(*(c for c in ideal.columns if c not in changed), "_p.*")
+    scored = trajectory.evaluate_with_query(rows)
+    unsafe = (F.col("action") == trajectory.GROUND) & (F.col("expected_action") != trajectory.GROUND)
+    return scored.groupBy("policy", F.when(k % 5 == 0, "heldout").otherwise("train").alias("split")).agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("passed"), 1)).alias("passed"), F.count(F.when(unsafe, 1)).alias("unsafe_ground"),
+        F.round(F.sum(F.round(F.col("score") * 7)) / 7.0 / F.count(F.lit(1)), 6).alias("mean_score"),
+    )
