@@ -120,3 +120,68 @@ def shapes(spark, d):
     shape = F.coalesce(*(F.when(part.isNotNull(), F.lit(name)) for name, part in parts), F.lit("payload"))
     found = held.select("k", shape.alias("shape"), F.coalesce(*(part for _, part in parts), payload).alias("p"))
     return found.select("k", "shape", F.lower(F.trim(F.get_json_object("p", "$.action"))).alias("action"))
+
+
+def same_set(a, b):
+    return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
+
+
+@query(
+    "e5_component_scores",
+    """SELECT o_orderkey AS k, [1.0, 0.5, 0.5, 0.0, 0.75, 1.0][o_orderkey % 6 + 1]::DOUBLE AS score, o_orderkey % 6 IN (0, 5) AS passed,
+['', 'target_key_mismatch,target_mismatch', 'enum_value_invalid,target_mismatch', 'prediction_parse_error', 'target_mismatch', ''][o_orderkey % 6 + 1] AS violations FROM orders""",
+)
+def components(spark, d):
+    """Keys, enumerated values, shape and exact match of a predicted decision; what doesn't parse earns nothing."""
+    texts = [
+        '{"action": "ground", "evidence_status": "supported"}', '{"action": "ground", "evidence_status": "supported", "x": 1}', '{"action": "fly", "evidence_status": "supported"}', "oops",
+        '{"action": "reject", "evidence_status": "contradicted"}', 'It is {"evidence_status": "supported", "action": "ground"}',
+    ]
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(k.alias("k"), nested.embedded_json(F.get(F.array(*map(F.lit, texts)), (k % 6).cast("int"))).alias("p"))
+    action, status = F.get_json_object("p", "$.action"), F.get_json_object("p", "$.evidence_status")
+    keys = same_set(F.json_object_keys("p"), F.array(F.lit("action"), F.lit("evidence_status")))
+    enums = action.isin(sorted(set(ACTIONS.values()))) & status.isin(sorted(set(STATUSES.values())))
+    exact = keys & (action == "ground") & (status == "supported")
+    checks = [("target_key_mismatch", keys), ("enum_value_invalid", enums), ("tool_query_shape_invalid", F.lit(True)), ("target_mismatch", exact)]
+    held = {name: F.coalesce(check, F.lit(False)) for name, check in checks}
+    parsed = F.col("p").isNotNull()
+    broken = F.array_compact(F.array(*(F.when(~check, F.lit(name)) for name, check in held.items())))
+    score = sum((check.cast("int") for check in list(held.values())[1:]), held["target_key_mismatch"].cast("int")) / F.lit(4)
+    return rows.select(
+        "k", F.when(parsed, score).otherwise(0.0).alias("score"), (parsed & (F.size(broken) == 0)).alias("passed"),
+        F.when(parsed, F.array_join(broken, ",")).otherwise("prediction_parse_error").alias("violations"),
+    )
+
+
+@query(
+    "e6_tool_query_transfer",
+    """WITH m AS (SELECT o_orderkey % 7 AS m FROM orders) SELECT m AS kind, count(*) AS n, bool_and(m <> 6) AS parseable_json, bool_and(m NOT IN (1, 6)) AS target_keys, bool_and(m NOT IN (2, 6)) AS tool_query_shape, bool_and(m NOT IN (2, 3, 6)) AS tool_sequence,
+bool_and(m NOT IN (2, 4, 6)) AS query_fields, bool_and(m NOT IN (2, 4, 5, 6)) AS query_values, bool_and(m = 0) AS exact FROM m GROUP BY 1""",
+)
+def transfer(spark, d):
+    """Seven checks of predicted tool calls against the wanted ones, for seven kinds of answers."""
+    k, m = F.col("o_orderkey"), F.col("o_orderkey") % 7
+    value = k.cast("string")
+
+    def call(name, drug=value, condition=value):
+        fields = [F.concat(F.lit('"drug": '), drug)] + ([F.concat(F.lit('"condition": '), condition)] if condition is not None else [])
+        return F.concat(F.lit(f'{{"name": "{name}", "arguments": {{'), F.concat_ws(", ", *fields), F.lit("}}"))
+
+    def answer(*calls, more=""):
+        return F.concat(F.lit('{"tool_calls": ['), F.concat_ws(", ", *calls), F.lit(f"]{more}}}"))
+
+    whole = (call("survey"), call("verify"))
+    raw = F.when(m == 0, answer(*whole)).when(m == 1, answer(*whole, more=', "x": 1')).when(m == 2, answer(call("survey"))).when(m == 3, answer(*reversed(whole)))
+    raw = raw.when(m == 4, answer(call("survey"), call("verify", condition=None))).when(m == 5, answer(call("survey"), call("verify", drug=F.lit("-1")))).otherwise("none")
+    rows = table(spark, d, "orders").select(m.alias("kind"), k.alias("k"), nested.embedded_json(raw).alias("p"))
+    rows = rows.withColumn("calls", F.from_json(F.get_json_object("p", "$.tool_calls"), "array<struct<name:string,arguments:map<string,bigint>>>"))
+    wanted = F.array(F.lit("drug"), F.lit("condition"))
+    parsed = F.col("p").isNotNull()
+    keys = parsed & same_set(F.json_object_keys("p"), F.array(F.lit("tool_calls")))
+    shape = (F.size("calls") == 2) & F.forall("calls", lambda c: c["name"].isNotNull() & c["arguments"].isNotNull())
+    sequence = shape & (F.transform("calls", lambda c: c["name"]) == F.array(F.lit("survey"), F.lit("verify")))
+    fields = shape & F.forall("calls", lambda c: same_set(F.map_keys(c["arguments"]), wanted))
+    values = fields & F.forall("calls", lambda c: F.forall(F.map_values(c["arguments"]), lambda v: v == F.col("k")))
+    checks = {"parseable_json": parsed, "target_keys": keys, "tool_query_shape": shape, "tool_sequence": sequence, "query_fields": fields, "query_values": values, "exact": keys & sequence & values}
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), *(F.bool_and(F.coalesce(check, F.lit(False))).alias(name) for name, check in checks.items()))

@@ -231,7 +231,7 @@ def f3(spark, d):
 @query(
     "f6_longest_dictionary_phrase",
     """WITH w AS (SELECT conv_id, turn, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM conversations),
-g AS (SELECT conv_id, turn, n, i, array_to_string(ws[i : i + n - 1], ' ') AS phrase FROM (SELECT conv_id, turn, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS t(n) WHERE len(ws) >= n)),
+g AS (SELECT conv_id, turn, n, i, array_to_string(ws[i : i + n - 1], ' ') AS phrase FROM (SELECT conv_id, turn, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (VALUES (1), (2), (3), (4), (5), (6)) AS t(n) WHERE len(ws) >= n)),
 k AS (SELECT phrase FROM g GROUP BY phrase HAVING count(DISTINCT conv_id) >= 3)
 SELECT conv_id, turn, phrase FROM (SELECT g.*, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, length(phrase) DESC, i) AS rn FROM g JOIN k USING (phrase)) WHERE rn = 1""",
 )
@@ -243,7 +243,7 @@ def f6(spark, d):
         return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), i.alias("i"), F.array_join(F.slice("ws", i + 1, n), " ").alias("phrase")))
 
     empty = F.array().cast("array<struct<n:int,i:int,phrase:string>>")
-    every = words.select("conv_id", "turn", F.inline(F.concat(*(F.coalesce(grams(n), empty) for n in (1, 2, 3)))))
+    every = words.select("conv_id", "turn", F.inline(F.concat(*(F.coalesce(grams(n), empty) for n in range(1, 7)))))
     known = every.groupBy("phrase").agg(F.countDistinct("conv_id").alias("c")).filter("c >= 3").select("phrase")
     order = [F.col("n").desc(), F.length("phrase").desc(), F.col("i")]
     return rank.top_per_group(every.join(known, "phrase"), ["conv_id", "turn"], order).select("conv_id", "turn", "phrase")
@@ -290,3 +290,11 @@ def fuzzy_names(spark, d):
 def token_sets(spark, d):
     names = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("a"), F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("b"))
     return names.select("p_partkey", F.round(similarity.token_set_ratio("a", "b"), 3).alias("ratio"))
+
+
+@query("f12_token_sort_ratio")
+def token_sort(spark, d):
+    """Names whose sorted tokens have a ratio of 90 or more with another's; of equal token sets one stands for all."""
+    forms = table(spark, d, "part").select(tx.sorted_tokens(F.lower("p_name")).alias("name")).distinct()
+    typed = table(spark, d, "part").filter("p_partkey % 50 = 0").select(tx.sorted_tokens(F.lower("p_name")).alias("query")).distinct()
+    return similarity.fuzzy_join(typed, forms, "query", "name", 90.0).withColumn("ratio", F.round("ratio", 3))
