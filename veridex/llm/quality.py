@@ -16,50 +16,53 @@ ENDS = r"[.!?,;:…。！？»”\"')\]]$"
 MENU_MARKS = r"[|»›>•]"
 STOCK = r"(?i)\b(cookie policy|privacy policy|terms of (use|service)|all rights reserved|click here|sign (in|up)|log ?in|subscribe|javascript|licensed under|is licensed under)\b"
 
-#: Bits of a position; the hash of a word triple takes the others and only selects places that are then compared.
-PLACE_BITS = 28
+#: At least so many words at the start of a line without blanks around it; nothing after them is read.
+FOUR_WORDS = r"^(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){3}[^\x20\x09-\x0D]"
+SIXTEEN_WORDS = r"^(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){15}[^\x20\x09-\x0D]"
 
 
-def _window_parts(words: Column):
-    """Sorted hash-and-place numbers of the three-word windows, and the parts to compare them with."""
-    count = F.size(words)
+#: Bits of a place: a string of at most 2^31 bytes has fewer words.  The other bits hold a window's hash.
+PLACE_BITS = 30
 
-    def triple(i: Column) -> list[Column]:
-        return [F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)]
 
-    starts = F.when(count >= 3, F.sequence(F.lit(0), count - 3)).otherwise(F.array().cast("array<int>"))
-    packed = F.sort_array(F.transform(starts, lambda i: F.shiftleft(F.xxhash64(*triple(i)), PLACE_BITS).bitwiseOR(i.cast("bigint"))))
+def with_repeats(frame: DataFrame, words: str, out: str) -> DataFrame:
+    """Adds how many words stand in a three-word window that occurs at least twice, step by step so that no step is computed twice.
+
+    Hashes of windows only tell which texts and places to look at: equal windows have equal hashes, so a text whose hashes
+    are all different is done, and in the others the windows themselves are compared where hashes are equal.
+    """
 
-    def twins(items: Column, of) -> Column:
+    def twins(items: str, of) -> Column:
         """The elements of a sorted array that equal a neighbour in of()."""
         return F.filter(items, lambda x, j: (of(x) == of(F.get(items, j + 1))) | (of(x) == of(F.get(items, j - 1))))
 
-    mask = F.lit((1 << PLACE_BITS) - 1).cast("bigint")
-    return packed, twins, triple, mask
+    frame = frame.withColumn("_word", F.transform(words, lambda x: F.xxhash64(x)))
+    starts = F.slice("_word", 1, F.greatest(F.size("_word") - 2, F.lit(0)))
+    frame = frame.withColumn("_hash", F.transform(starts, lambda x, i: F.xxhash64(x, F.get("_word", i + 1), F.get("_word", i + 2))))
+    differ = F.size(F.array_distinct("_hash")) == F.size("_hash")
+    packed = F.transform("_hash", lambda x, i: F.shiftleft(x, PLACE_BITS).bitwiseOR(i.cast("bigint")))
+    frame = frame.withColumn("_packed", F.when(~differ, F.sort_array(packed)))
+    frame = frame.withColumn("_close", twins("_packed", lambda x: F.shiftright(x, PLACE_BITS)))
 
-
-def with_repeats(frame: DataFrame, words: str, out: str) -> DataFrame:
-    """Adds how many words stand in a three-word window that occurs at least twice, step by step so that no step is computed twice."""
-    packed, twins, triple, mask = _window_parts(F.col(words))
-    frame = frame.withColumn("_packed", packed)
-    frame = frame.withColumn("_close", twins(F.col("_packed"), lambda x: F.shiftright(x, PLACE_BITS)))
+    mask = F.lit((1 << PLACE_BITS) - 1).cast("bigint")
     places = F.transform("_close", lambda x: x.bitwiseAND(mask).cast("int"))
-    frame = frame.withColumn("_exact", F.array_sort(F.transform(places, lambda p: F.struct(F.concat_ws(" ", *triple(p)).alias("t"), p.alias("p")))))
-    frame = frame.withColumn("_same", twins(F.col("_exact"), lambda x: x["t"]))
+    window = lambda p: F.concat_ws(" ", F.get(words, p), F.get(words, p + 1), F.get(words, p + 2)).alias("t")
+    frame = frame.withColumn("_exact", F.array_sort(F.transform(places, lambda p: F.struct(window(p), p.alias("p")))))
+    frame = frame.withColumn("_same", twins("_exact", lambda x: x["t"]))
     covered = F.flatten(F.transform("_same", lambda x: F.array(x["p"], x["p"] + 1, x["p"] + 2)))
-    frame = frame.withColumn(out, F.size(F.array_distinct(covered)).cast("bigint"))
-    return frame.drop("_packed", "_close", "_exact", "_same")
+    frame = frame.withColumn(out, F.coalesce(F.size(F.array_distinct(covered)), F.lit(0)).cast("bigint"))
+    return frame.drop("_word", "_hash", "_packed", "_close", "_exact", "_same")
 
 
 def line_passes(line: Column) -> Column:
     """Whether a line with a word is text: it isn't a menu, a stock phrase, signs, or a scrap without an end."""
     bare = textcols.strip_blanks(line)
-    size = F.size(F.split(bare, textcols.BLANK_RUN))
-    menu = F.regexp_count(bare, F.lit(MENU_MARKS)) * 4 >= size
-    stock = bare.rlike(STOCK) & (size <= 15)
+    marks = F.regexp_count(bare, F.lit(MENU_MARKS))
+    menu = (marks >= 2) & (marks * 4 >= F.size(F.split(bare, textcols.BLANK_RUN)))
+    stock = ~bare.rlike(SIXTEEN_WORDS) & bare.rlike(STOCK)
     signs = F.regexp_count(bare, F.lit(SYMBOLS)) * 10 > F.length(bare)
-    scrap = (size < 4) & ~bare.rlike(ENDS)
-    return ~(((F.regexp_count(bare, F.lit(MENU_MARKS)) >= 2) & menu) | stock | signs | scrap)
+    scrap = ~bare.rlike(FOUR_WORDS) & ~bare.rlike(ENDS)
+    return ~(menu | stock | signs | scrap)
 
 
 def clean_lines(
@@ -79,9 +82,10 @@ def clean_lines(
     frame = frame.withColumn("word_chars", F.length(F.array_join("_words", "")).cast("bigint")).drop("_words")
     frame = frame.withColumn("_lines", textcols.lines(F.col("_text")))
     frame = frame.withColumn("_full", F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    frame = frame.withColumn("_good", F.filter("_full", line_passes)).withColumn("_cleaned", F.array_join("_good", "\n"))
+    frame = frame.withColumn("_good", F.filter("_full", line_passes))
+    frame = frame.withColumn("_cleaned", F.array_join("_good", "\n"))
     good = F.length(F.regexp_replace("_cleaned", textcols.BLANK_RUN, ""))
-    frame = frame.withColumn("lost_chars", F.col("word_chars") - good)
+    frame = frame.withColumn("lost_chars", F.when(F.size("_good") < F.size("_full"), F.col("word_chars") - good).otherwise(0).cast("bigint"))
     frame = frame.withColumn(
         "base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     )
