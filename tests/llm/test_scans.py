@@ -31,6 +31,24 @@ def test_tree_equals_the_library_at_any_leaf():
             assert tree.decode(np.array(want, np.int32)) == library.decode(want, skip_special_tokens=False)
 
 
+def test_parts_of_long_texts_join_to_the_librarys_ids(monkeypatch):
+    library, joined = Tokenizer.from_file(BPE), []
+    inner = bpe.TreeEncoder.spliced
+    monkeypatch.setattr(bpe.TreeEncoder, "spliced", lambda self, *sides: joined.append(1) or inner(self, *sides))
+    rng = random.Random(5)
+    units = ["a", "B", "é", " ", "  ", "\n", "\t", " the", "don't", "'s", "中", "文字", "123", "4", "!?", "...", "🙂", "Ġ", "\r\n", "word ", " word"]
+    for span, threads in ((12, 1), (12, 3), (40, 2)):
+        tree = bpe.TreeEncoder(BPE, leaf=8, window=1, span=span, threads=threads)
+        special = next(iter(tree.special), "")
+        for _ in range(500):
+            text = "".join(rng.choice([*units, special]) for _ in range(rng.randint(0, 80)))
+            assert tree.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(joined) > 500
+    tree = bpe.TreeEncoder(BPE)
+    for text in ("中文" * 50_000, "word " * 40_000, "x" * 70_000, " " * 70_000 + "end", "a b" * 30_000 + "y" * 40_000 + " c" * 30_000):
+        assert tree.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_rows(spark):
     library = Tokenizer.from_file(BPE)
     frame = spark.createDataFrame([(i, t, 1) for i, t in ROWS], "doc_id bigint, text string, ids int")
