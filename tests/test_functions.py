@@ -51,3 +51,10 @@ def test_an_unknown_alias_stops_the_query(spark):
     assert frame.filter("k = 1").select(named).first().x == "ground"
     with pytest.raises(Exception, match="unknown action: who knows"):
         frame.select(named).collect()
+
+
+def test_keys_and_strings_at_any_depth(spark):
+    rows = [('{"a": {"b": ["x", {"c d" : "\\"y: \\\\"}]}, "é": 1, "": ""}',), ('oops {"a"',), (None,), ("[]",), ('"only"',), ('{"a": 1, "a": 2}',)]
+    frame = spark.createDataFrame(rows, "j string")
+    got = [r.w and (list(r.w["keys"]), list(r.w["strings"])) for r in frame.select(nested.keys_and_strings(F.col("j")).alias("w")).collect()]
+    assert got == [(["a", "b", "c d", "é", ""], ["x", '"y: \\', ""]), None, None, ([], []), ([], ["only"]), None]

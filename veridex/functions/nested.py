@@ -53,3 +53,22 @@ def tool_steps(payload: Column, aliases: dict[str, list[str]]) -> Column:
     table = F.create_map(*(x for name, many in sorted(aliases.items()) for x in (F.lit(name), F.array(*map(F.lit, many)))))
     expanded = F.flatten(F.transform(names, lambda n: F.coalesce(F.try_element_at(table, n), F.array(n))))
     return F.coalesce(expanded, F.array().cast("array<string>"))
+
+
+def keys_and_strings(payload: Column) -> Column:
+    """struct(keys, strings): all field names and all text values of JSON of any shape and depth, in order.
+
+    Null if it does not parse, as when one object repeats a name.
+
+    In JSON a quote outside a literal begins one, so literals are found from left to right, and those before a colon are names.
+    """
+    plain = F.replace(F.replace(payload, F.lit("\\\\"), F.lit("\\u005c")), F.lit('\\"'), F.lit("\\u0022"))
+    literals = F.regexp_extract_all(plain, F.lit(r'"[^"]*"\s*:?'), F.lit(0))
+
+    def read(found: Column) -> Column:
+        bare = F.array_join(F.transform(found, lambda x: F.regexp_extract(x, '"[^"]*"', 0)), ",")
+        return F.from_json(F.concat(F.lit("["), bare, F.lit("]")), "array<string>")
+
+    names = F.filter(literals, lambda x: F.endswith(x, F.lit(":")))
+    texts = F.filter(literals, lambda x: ~F.endswith(x, F.lit(":")))
+    return F.when(F.try_parse_json(payload).isNotNull(), F.struct(read(names).alias("keys"), read(texts).alias("strings")))

@@ -122,6 +122,22 @@ def shapes(spark, d):
     return found.select("k", "shape", F.lower(F.trim(F.get_json_object("p", "$.action"))).alias("action"))
 
 
+#: An object around an output, deeper by the key: names and texts with quotes, backslashes, braces and colons.
+_DEEP = """'{"id": ' || k || ', "said \\\\"x\\\\": {": [' || repeat('[{"level": ', (k % 4)::INTEGER) || body || repeat('}]', (k % 4)::INTEGER) || ', "a\\\\\\\\", "b: \\\\"c\\\\"", null, true]}'"""
+
+
+@query(
+    "h10_keys_and_strings_at_any_depth",
+    f"""WITH {_RAW}, x AS (SELECT k, {_DEEP.replace(chr(92) * 2, chr(92))} AS j FROM r), t AS (SELECT x.k, t.key, t.type, t.atom FROM x, json_tree(x.j) t)
+SELECT k, array_to_string(list_sort(list_distinct(list(key) FILTER (type IS NOT NULL AND key IS NOT NULL AND NOT regexp_full_match(key, '[0-9]+')))), '|') AS keys,
+array_to_string(list_sort(list(json_extract_string(atom, '$')) FILTER (type = 'VARCHAR')), '|') AS strings FROM t GROUP BY k""",
+)
+def any_depth(spark, d):
+    rows = outputs(spark, d).select("k", F.expr(_DEEP.replace("::INTEGER", "::INT")).alias("j"))
+    found = rows.select("k", nested.keys_and_strings(F.col("j")).alias("w"))
+    return found.select("k", F.array_join(F.array_sort(F.array_distinct("w.keys")), "|").alias("keys"), F.array_join(F.array_sort("w.strings"), "|").alias("strings"))
+
+
 def same_set(a, b):
     return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
 
