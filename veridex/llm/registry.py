@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from veridex.llm import queries_native, queries_scans, queries_shared
+from veridex.llm import queries_native, queries_scans, queries_shared, queries_turns
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (queries_native, queries_scans, queries_shared):
+for _module in (queries_native, queries_scans, queries_shared, queries_turns):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
