@@ -162,7 +162,7 @@ def whiten(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
 
     fit = written(source.select("_vector").mapInArrow(whole, "x binary, dims int").distinct())
     lengths = fit.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dims")).first()
-    kind = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)]).add("component", "int").add("n", "bigint").add("deviation", "bigint")
+    kind = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)]).add("component", "integer").add("n", "long").add("deviation", "long")
     kind = kind.add("whitened", "double").add("explained", "double").add("identity_error", "double")
     if lengths is None:
         return spark.createDataFrame([], kind)
