@@ -33,16 +33,19 @@ def dedup_lines(
 
     A line's key is the line without blanks at its ends and with A-Z lower-cased.  A key of at least min_chars code
     points that stands in at least min_docs documents loses its lines everywhere but in the largest id that holds it.
-    A null or empty text is one empty line.  Each row is a document: repeated rows count as documents of their own and
-    share their fate; rows with the largest id all keep the line.  A null id is smaller than any other.  An empty table
-    gives no rows.  Other columns of docs are not read, so their names can't clash.
+    A null or empty text is one empty line.  Documents are counted by id: rows that share one are one document, though each
+    gives a row of the result; rows with the largest id all keep the line.  A null id is an id, smaller than any other.  An
+    empty table gives no rows.  Other columns of docs are not read, so their names can't clash.
     """
     source = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     source = source.withColumn("_row", F.xxhash64("_id", "_text"))
     keyed = source.select("_id", "_row", line_keys(F.col("_text"), min_chars).alias("_keys"))
 
     distinct = F.array_distinct(F.filter("_keys", lambda k: k.isNotNull()))
-    counted = keyed.select("_id", F.explode(distinct).alias("_key")).groupBy("_key.a", "_key.b")
+    held = keyed.select("_id", F.explode(distinct).alias("_key")).select("_id", "_key.a", "_key.b")
+    if not source.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty():
+        held = held.distinct()  # rows that share an id are one document to be counted
+    counted = held.groupBy("a", "b")
     shared = counted.agg(F.count(F.lit(1)).alias("_docs"), F.max("_id").alias("_keeper")).filter(F.col("_docs") >= min_docs)
     shared = written(shared.select("a", "b", "_keeper"))
 
@@ -58,6 +61,6 @@ def dedup_lines(
     return joined.select(
         F.col("_id").alias(id_col),
         F.size("_lines").cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("_lost"), F.lit(0)).cast("bigint").alias("n_dropped"),
+        F.coalesce(F.array_size("_lost"), F.lit(0)).cast("bigint").alias("n_dropped"),
         F.when(F.col("_lost").isNull(), F.col("_text")).otherwise(kept).alias("text"),
     )

@@ -4,9 +4,10 @@ Mentions are found with one pattern and reduced to a canonical value, so that tw
 Each distinct entity draws a surrogate from a keyed hash in the shape of the value: digits for digits, letters for
 letters, the same country code, network, honorific, gender and script.  A check over all entities sends back those whose
 surrogate another entity has, or that is itself an entity of the corpus, and they draw again; what draws don't settle is
-ranked and gets a surrogate that holds its rank.  Surrogates are joined to the mentions by entity and put back at their
-places.  A family name that a document gives with an honorific is replaced in the rest of that document too, where it
-stands alone.  All steps are column expressions, joins and windows.
+ranked and gets a surrogate that holds its rank.  A family name is an entity of its own, so two families never get one
+surrogate under whatever given names; of a full name only the given one is drawn besides.  Surrogates are joined to the
+mentions by entity and put back at their places.  A family name that a document gives with an honorific is replaced in the
+rest of that document too, where it stands alone.  All steps are column expressions, joins and windows.
 """
 
 from __future__ import annotations
@@ -44,6 +45,9 @@ PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a surrogate key keeps, so that it is of the same sort.
 KEY_PREFIX = r"^(?:sk-(?:proj-|svcacct-|admin-|ant-api[0-9]{2}-|or-v1-)?|github_pat_|.{4})"
 TITLE = r"^(\p{L}+\.?) "
+#: Codes of countries; one and two digits where given, else three.
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+PEOPLE = ("man", "woman")
 
 
 def _digits(text: Column) -> Column:
@@ -60,10 +64,11 @@ def kind_of(surface: Column) -> Column:
 
 
 def canonical(kind: Column, surface: Column) -> Column:
-    """What the spellings of one entity have in common; honorifics and national prefixes stay out of it."""
+    """What the spellings of one entity have in common: honorifics stay out of it, and so does the prefix +1, as ten digits
+    alone are taken for a number of that country; a number of any other country keeps its code."""
     return (
         F.when(kind.isin("email", "ipv6"), F.lower(surface))
-        .when(kind == "phone", F.right(_digits(surface), F.lit(10)))
+        .when(kind == "phone", F.when(surface.rlike(r"^\+(?!1(?:[^0-9]*[0-9]){10}$)"), F.concat(F.lit("+"), _digits(surface))).otherwise(F.right(_digits(surface), F.lit(10))))
         .when(kind.isin("card", "ssn"), _digits(surface))
         .when(kind.isin("man", "woman"), F.regexp_replace(surface, TITLE, ""))
         .otherwise(surface)
@@ -110,20 +115,24 @@ def _luhn_sum(number: Column, shift: int) -> Column:
     return F.aggregate(F.transform(digits, weigh), F.lit(0), add)
 
 
-def _name(kind: Column, value: Column, key: str, attempt: Column) -> Column:
-    """A name of the same gender, script and number of words; the family name depends on the family name alone."""
-    words = F.split(value, " ")
-    family = F.element_at(words, -1)
-    hf, hg = _draw(key, F.lit("family"), family, attempt), _draw(key, F.lit("given"), kind, F.get(words, F.lit(0)), attempt)
-    out = None
+def _given(kind: Column, value: Column, key: str, attempt: Column) -> Column:
+    """A full name with a given name of the same gender and script in place of its own; its family stays for now."""
+    first, family = F.split_part(value, F.lit(" "), F.lit(1)), F.split_part(value, F.lit(" "), F.lit(-1))
+    hashed, out = _draw(key, F.lit("given"), kind, first, attempt), None
     for (gender, script), given in GIVEN.items():
-        last = F.initcap(F.concat(*(_pick(hf, at, SYLLABLES[script]) for at in range(1, 7))))
-        full = F.when(F.size(words) > 1, F.concat(_pick(hg, 1, given), F.lit(" "), last)).otherwise(last)
         held = (kind == gender) & (value.rlike(r"\p{IsCyrillic}") == F.lit(script == "cyrillic"))
+        full = F.concat(_pick(hashed, 1, given), F.lit(" "), family)
         out = F.when(held, full) if out is None else out.when(held, full)
     return out
 
 
+def _family(value: Column, key: str, attempt: Column) -> Column:
+    """A family name of the same script."""
+    hashed = _draw(key, F.lit("family"), value, attempt)
+    latin, cyrillic = (F.initcap(F.concat(*(_pick(hashed, at, SYLLABLES[script]) for at in range(1, 7)))) for script in ("latin", "cyrillic"))
+    return F.when(value.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(latin)
+
+
 def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
     """The surrogate that an entity draws at an attempt."""
     hashed = _draw(key, kind, value, attempt)
@@ -133,7 +142,9 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
     email = F.concat(_shaped(local, hashed), F.lit("@"), _shaped(host, _draw(key, F.lit("host"), domain)), F.lit(".example.com"))
     octets = [((F.conv(F.substring(hashed, 4 * i + 1, 4), 16, 10).cast("int") % (223 if i == 0 else 256)) + (1 if i == 0 else 0)).cast("string") for i in range(4)]
     area = (F.conv(F.substring(hashed, 1, 4), 16, 10).cast("int") % 800 + 200).cast("string")
-    phone = F.concat(area, F.lit("555"), F.right(_shaped(value, hashed), F.lit(4)))
+    code = F.regexp_extract(value, COUNTRY, 0)
+    abroad = F.concat(code, F.substr(plain, F.length(code) + 1))
+    phone = F.when(code == "", F.concat(area, F.lit("555"), F.right(plain, F.lit(4)))).otherwise(abroad)
     body = F.concat(F.left(value, F.lit(1)), F.substr(plain, F.lit(2), F.length(value) - 2))
     check = ((10 - _luhn_sum(body, 1) % 10) % 10 + F.when(_luhn_sum(value, 0) % 10 == 0, 0).otherwise(1)) % 10
     ssn = F.concat(F.lit("9"), F.substr(plain, F.lit(2)))
@@ -148,25 +159,27 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
         .when(kind == "card", F.concat(body, check.cast("string")))
         .when(kind == "ssn", ssn)
         .when(kind == "secret", secret)
-        .otherwise(_name(kind, value, key, attempt))
+        .when(kind == "family", _family(value, key, attempt))
+        .otherwise(_given(kind, value, key, attempt))
     )
 
 
 def in_format(kind: Column, surface: Column, drawn: Column) -> Column:
     """A surrogate in the spelling of a mention: its separators and prefix, its capitals, its honorific."""
-    prefix = F.length(_digits(surface)) - F.length(drawn)
+    number = _digits(drawn)
+    prefix = F.length(_digits(surface)) - F.length(number)
 
     def step(state: Column, c: Column) -> Column:
         digit = c.rlike("[0-9]")
         at = state["k"] - prefix
-        filled = F.when(at >= 0, F.substr(drawn, at + 1, F.lit(1))).otherwise(c)
+        filled = F.when(at >= 0, F.substr(number, at + 1, F.lit(1))).otherwise(c)
         return F.struct(F.concat(state["s"], F.when(digit, filled).otherwise(c)).alias("s"), (state["k"] + digit.cast("int")).alias("k"))
 
     start = F.struct(F.lit("").alias("s"), F.lit(0).alias("k"))
     digits = F.aggregate(F.split(surface, ""), start, step, lambda state: state["s"])
     title = F.regexp_extract(surface, TITLE, 0)
     return (
-        F.when(kind.isin("phone", "card", "ssn"), digits)
+        F.when(kind.isin("phone", "card", "ssn"), F.when(prefix < 0, drawn).otherwise(digits))
         .when(kind.isin("man", "woman"), F.concat(title, drawn))
         .when((kind == "email") & (surface == F.upper(surface)), F.upper(drawn))
         .otherwise(drawn)
@@ -183,7 +196,11 @@ def placed(kind: Column, value: Column, key: str, rank: Column) -> Column:
     email = F.concat(local, F.lit("."), rank.cast("string"), F.lit("@"), F.split_part(drawn, F.lit("@"), F.lit(2)))
     number = at % (223 << 24) + (1 << 24)
     ip = F.concat_ws(".", *(F.shiftright(number, 8 * i).bitwiseAND(F.lit(255).cast("bigint")).cast("string") for i in (3, 2, 1, 0)))
-    phone = (F.lit(2_000_000_000).cast("bigint") + at % 8_000_000_000).cast("string")
+    code = F.regexp_extract(value, COUNTRY, 0)
+    size = F.length(value) - F.length(code)
+    room = F.pow(F.lit(10.0), size).cast("bigint")
+    abroad = F.when(rank < room, F.lpad((at % room).cast("string"), size, "0")).otherwise(rank.cast("string"))
+    phone = F.when(code == "", (F.lit(2_000_000_000).cast("bigint") + at % 8_000_000_000).cast("string")).otherwise(F.concat(code, abroad))
     groups = F.lpad(F.lower(F.hex(rank)), 16, "0")
     ipv6 = F.concat_ws(":", F.lit("2001"), F.lit("db8"), F.lit("0"), F.lit("0"), *(F.substring(groups, 4 * i + 1, 4) for i in range(4)))
     inner = F.length(value) - 2
@@ -191,14 +208,14 @@ def placed(kind: Column, value: Column, key: str, rank: Column) -> Column:
     check = ((10 - _luhn_sum(body, 1) % 10) % 10 + F.when(_luhn_sum(value, 0) % 10 == 0, 0).otherwise(1)) % 10
     ssn = F.lpad((at % 1_000_000_000).cast("string"), 9, "0")
     secret = F.concat(F.left(drawn, F.length(drawn) - 12), F.lpad(rank.cast("string"), 12, "0"))
-    hexed, words, name = F.lower(F.lpad(F.hex(rank), 16, "0")), F.split(drawn, " "), None
+    hexed, spelt = F.lower(F.lpad(F.hex(rank), 16, "0")), None
     start = F.least(F.lit(14), 17 - F.length(F.ltrim(hexed, F.lit("0"))))
     digits = F.split(F.substring(hexed, start, F.lit(16)), "")  # 3 or more: longer than any given name that is drawn
     for script, syllables in SYLLABLES.items():
         table = F.array(*map(F.lit, syllables))
-        spelt = F.array_join(F.transform(digits, lambda c: F.get(table, F.conv(c, 16, 10).cast("int"))), "")  # noqa: B023
-        full = F.when(F.size(words) > 1, F.concat(F.initcap(spelt), F.lit(" "), F.element_at(words, -1))).otherwise(F.concat(F.element_at(words, -1), spelt))
-        name = full if name is None else F.when(value.rlike(r"\p{IsCyrillic}") == F.lit(script == "cyrillic"), full).otherwise(name)
+        own = F.array_join(F.transform(digits, lambda c: F.get(table, F.conv(c, 16, 10).cast("int"))), "")  # noqa: B023
+        spelt = own if spelt is None else F.when(value.rlike(r"\p{IsCyrillic}") == F.lit(script == "cyrillic"), own).otherwise(spelt)
+    name = F.when(kind == "family", F.concat(drawn, spelt)).otherwise(F.concat(F.initcap(spelt), F.lit(" "), F.split_part(drawn, F.lit(" "), F.lit(-1))))
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ipv6", ipv6).when(kind == "phone", phone).when(kind == "card", F.concat(body, check.cast("string")))
         .when(kind == "ssn", ssn).when(kind == "secret", secret).otherwise(name)
@@ -286,8 +303,17 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     mentions = source.select("_row", "_row2", F.posexplode(surfaces).alias("_pos", "_surface")).withColumn("kind", kind_of(F.col("_surface")))
     mentions = written(mentions.withColumn("value", canonical(F.col("kind"), F.col("_surface"))).distinct())
 
-    drawn = assign(mentions.select("kind", "value").distinct(), key)
-    named = mentions.join(drawn, ["kind", "value"]).withColumn("_new", in_format(F.col("kind"), F.col("_surface"), F.col("drawn")))
+    family = F.split_part("value", F.lit(" "), F.lit(-1))
+    people = F.col("kind").isin(*PEOPLE)
+    families = mentions.filter(people).select(F.lit("family").alias("kind"), family.alias("value"))
+    entities = mentions.filter(~people | F.col("value").contains(" ")).select("kind", "value")
+    drawn = assign(entities.union(families).distinct(), key)
+    new = drawn.filter("kind = 'family'").select(F.col("value").alias("_family"), F.col("drawn").alias("_new_family"))
+    others = mentions.filter(~people).join(drawn, ["kind", "value"])
+    given = F.when(F.col("value").contains(" "), F.concat(F.split_part("drawn", F.lit(" "), F.lit(1)), F.lit(" "))).otherwise("")
+    persons = mentions.filter(people).join(drawn, ["kind", "value"], "left").join(new, family == F.col("_family"))
+    named = others.unionByName(persons.withColumn("drawn", F.concat(given, "_new_family")).select(others.columns))
+    named = named.withColumn("_new", in_format(F.col("kind"), F.col("_surface"), F.col("drawn")))
     found = named.groupBy(F.col("_row").alias("_found"), F.col("_row2").alias("_found2")).agg(
         F.array_sort(F.collect_list(F.struct("_pos", "_new"))).alias("_all"), F.array_sort(F.collect_set("kind")).alias("kinds"), _bare_names(named).alias("_bare")
     )
@@ -299,7 +325,7 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     pieced = F.array_join(F.transform("_parts", lambda part, i: F.concat(_without_bare(part, F.col("_bare")), F.coalesce(F.get(F.col("_all"), i)["_new"], F.lit("")))), "")
     return joined.select(
         F.col("_id").alias(id_col),
-        F.coalesce(F.size("_all") + F.col("_more"), F.lit(0)).cast("bigint").alias("n_entities"),
+        F.coalesce(F.array_size("_all") + F.col("_more"), F.lit(0)).cast("bigint").alias("n_entities"),
         F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"),
         F.when(F.col("_all").isNull(), F.col("_text")).otherwise(pieced).alias("text"),
     )

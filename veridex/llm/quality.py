@@ -50,7 +50,7 @@ def with_repeats(frame: DataFrame, words: str, out: str) -> DataFrame:
     frame = frame.withColumn("_exact", F.array_sort(F.transform(places, lambda p: F.struct(window(p), p.alias("p")))))
     frame = frame.withColumn("_same", twins("_exact", lambda x: x["t"]))
     covered = F.flatten(F.transform("_same", lambda x: F.array(x["p"], x["p"] + 1, x["p"] + 2)))
-    frame = frame.withColumn(out, F.coalesce(F.size(F.array_distinct(covered)), F.lit(0)).cast("bigint"))
+    frame = frame.withColumn(out, F.coalesce(F.array_size(F.array_distinct(covered)), F.lit(0)).cast("bigint"))
     return frame.drop("_word", "_hash", "_packed", "_close", "_exact", "_same")
 
 
