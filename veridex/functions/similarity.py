@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -52,29 +51,3 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """set_ratio() of two columns; null where either is."""
     return pd.Series([None if x is None or y is None else set_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
-
-
-def may_reach(a: Column, b: Column, cutoff: float) -> Column:
-    """Whether two lengths allow a ratio of the cutoff at all."""
-    short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    return 200.0 * short >= cutoff * (short + long)
-
-
-def fuzzy_join(queries: DataFrame, names: DataFrame, query: str, name: str, cutoff: float) -> DataFrame:
-    """Pairs of different columns query and name whose ratio is at least the cutoff, with their ratio.
-
-    Candidates share two characters in a row, or are single characters, and have lengths that allow the cutoff.  From 85
-    on a pair leaves no choice: it has at most 15 edits in 100 characters, which can't part all shared characters.  Grams
-    are equi-joined, and pairs are made distinct before the ratio is computed.
-    """
-    if cutoff < 85:
-        raise ValueError("a cutoff below 85 doesn't guarantee two shared characters in a row")
-    gram = 2
-
-    def grams(frame: DataFrame, column: str) -> DataFrame:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(column) - gram + 1, F.lit(1)))
-        pieces = F.array_distinct(F.transform(starts, lambda i: F.substr(F.col(column), i, F.lit(gram))))
-        return frame.select(column).distinct().select(column, F.explode(pieces).alias("_gram"))
-
-    pairs = grams(queries, query).join(grams(names, name), "_gram").filter(may_reach(F.col(query), F.col(name), cutoff)).select(query, name).distinct()
-    return pairs.withColumn("ratio", indel_ratio(query, name)).filter(F.col("ratio") >= cutoff)

@@ -10,6 +10,24 @@ from pyspark.sql import functions as F
 from veridex.operators import rank
 
 
+def matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of equally long vectors as the rows of a matrix."""
+    whole = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    return whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(whole), -1)
+
+
+def top_columns(similar: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest of each row, to twelve places, ties by the columns' ids; sorted by row, then rank."""
+    rounded = np.round(similar, 12)
+    k = min(k, rounded.shape[1])
+    least = np.partition(rounded, rounded.shape[1] - k, axis=1)[:, -k]
+    row, column = np.nonzero(rounded >= least[:, None])  # the k largest and what ties with the last of them
+    order = np.lexsort((ids[column], -rounded[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k]
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, block: int = 2048, concept: str | None = None) -> DataFrame:
     """(query, match, similarity, rn): the k most similar vectors of each query, ties by key, the query itself left out.
 
@@ -34,14 +52,12 @@ def top_k(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int,
         ids, others = one["id"].to_numpy(), two["id"].to_numpy()
         if not len(ids) or not len(others):
             return pa.table({"query": pa.array([], pa.int64()), "match": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        a, b = (t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(t), -1) for t in (one, two))
-        similar = a @ b.T
+        similar = matrix(one["v"]) @ matrix(two["v"]).T
         similar[(ids[:, None] == others[None, :]) | (one["c"].to_numpy()[:, None] == two["c"].to_numpy()[None, :])] = -np.inf
-        order = np.lexsort((np.broadcast_to(others, similar.shape), -np.round(similar, 12)), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(ids)), order.shape[1])
-        picked = similar[rows, order.ravel()]
+        rows, columns = top_columns(similar, others, k)
+        picked = similar[rows, columns]
         ok = np.isfinite(picked)
-        return pa.table({"query": ids[rows][ok], "match": others[order.ravel()][ok], "similarity": picked[ok]})
+        return pa.table({"query": ids[rows][ok], "match": others[columns][ok], "similarity": picked[ok]})
 
     found = left.cogroup(right).applyInArrow(product, "query bigint, match bigint, similarity double")
     best = rank.numbered(found, ["query"], [F.round("similarity", 12).desc(), F.col("match")])

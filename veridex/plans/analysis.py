@@ -9,26 +9,16 @@ from pyspark.sql import functions as F
 from veridex.functions import decide
 from veridex.functions import text as tx
 from veridex.operators import rank, risk, validate, vectors
+from veridex.plans.register import registrar
 from veridex.sources.tables import table
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+query, QUERIES, ORACLES = registrar()
 GRID = [i / 50 for i in range(50)]
 _OBS = "SELECT least(n_chars / 4000.0, 1.0)::DOUBLE AS score, 1 - quality AS failed FROM labels JOIN documents USING (doc_id)"
 _SWEPT = f"""o AS ({_OBS}), t AS (SELECT i / 50.0::DOUBLE AS threshold FROM range(50) r(i)), s AS (SELECT threshold, (SELECT count(*) FROM o) AS targets, count(*) FILTER (WHERE score >= threshold) AS trusted,
 coalesce(sum(failed) FILTER (WHERE score >= threshold), 0)::BIGINT AS failures FROM t, o GROUP BY threshold)"""
 
 
-def query(name: str, sql: str | None = None):
-    def register(run):
-        QUERIES[name] = run
-        if sql:
-            ORACLES[name] = sql
-        return run
-
-    return register
-
-
 def observations(spark, d):
     both = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
     return both.select(F.least(F.col("n_chars") / 4000.0, F.lit(1.0)).cast("double").alias("score"), (1 - F.col("quality")).alias("failed"))

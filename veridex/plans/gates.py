@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from veridex.functions import decide
 from veridex.operators import trajectory
+from veridex.plans.register import registrar
 from veridex.sources.tables import table
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+query, QUERIES, ORACLES = registrar()
 #: Signals of complete evidence, with the pair and the reason that each leads to.
 SIGNALS = {
     "mixed_endpoint_records_for_same_claim": ("reject/contradicted", "mixed_endpoint_contradiction"),
@@ -26,16 +26,6 @@ PAIRS = ["ground/supported", "reject/contradicted", "flag/invalid_value", "verif
 TOOLS = ["survey", "verify", "validity", "completeness"]
 
 
-def query(name: str, sql: str | None = None):
-    def register(run):
-        QUERIES[name] = run
-        if sql:
-            ORACLES[name] = sql
-        return run
-
-    return register
-
-
 def states(spark, d) -> DataFrame:
     """k, loop (array of tool calls with a query and an error), records, findings, signal and counts."""
     k = F.col("k")

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridex.functions import nested
+from veridex.plans.register import registrar
 from veridex.sources.tables import table
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+query, QUERIES, ORACLES = registrar()
 #: Names that outputs use for actions, statuses and tools; the status that goes with an action.
 ACTIONS = {
     "answer_self": "self_answer", "self_answer": "self_answer", "ground": "ground", "ground_with_attribution": "ground", "reject": "reject", "reject_or_flag_unsupported_claim": "reject",
@@ -28,16 +28,6 @@ CALLS = ['["search_failures", "own_tool"]', '[{"name": "check_value_validity"},
 CITED = ['"NCT1"', '["NCT2", " NCT1 ", "NCT2", ""]', "null"]
 
 
-def query(name: str, sql: str | None = None):
-    def register(run):
-        QUERIES[name] = run
-        if sql:
-            ORACLES[name] = sql
-        return run
-
-    return register
-
-
 def outputs(spark, d) -> DataFrame:
     """k and raw: JSON alone, fenced, in prose, broken, or absent."""
     k = F.col("k")

@@ -6,20 +6,10 @@ from pyspark.sql import functions as F
 
 from veridex.functions import text as tx
 from veridex.operators import joins, metrics
+from veridex.plans.register import registrar
 from veridex.sources.tables import table
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(run):
-        QUERIES[name] = run
-        if sql:
-            ORACLES[name] = sql
-        return run
-
-    return register
+query, QUERIES, ORACLES = registrar()
 
 
 @query("p1_p3_scan_in_list", "SELECT p_partkey, p_name, p_type FROM part WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#13') AND p_name IS NOT NULL")

@@ -7,21 +7,11 @@ from pyspark.sql import functions as F
 
 from veridex.functions import similarity
 from veridex.functions import text as tx
-from veridex.operators import rank, select
+from veridex.operators import fuzzy, rank, select
+from veridex.plans.register import registrar
 from veridex.sources.tables import table
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(run):
-        QUERIES[name] = run
-        if sql:
-            ORACLES[name] = sql
-        return run
-
-    return register
+query, QUERIES, ORACLES = registrar()
 
 
 @query(
@@ -283,7 +273,7 @@ def fuzzy_names(spark, d):
     names = table(spark, d, "part").select(F.lower("p_name").alias("name")).distinct()
     queries = table(spark, d, "part").filter("p_partkey % 50 = 0")
     typed = queries.select(F.concat(F.lower("p_name"), F.lit("s")).alias("query")).distinct()
-    return similarity.fuzzy_join(typed, names, "query", "name", 85.0).withColumn("ratio", F.round("ratio", 3))
+    return fuzzy.ratio_join(typed, names, "query", "name", 85.0).withColumn("ratio", F.round("ratio", 3))
 
 
 @query("f13_token_set_ratio")
@@ -297,4 +287,14 @@ def token_sort(spark, d):
     """Names whose sorted tokens have a ratio of 90 or more with another's; of equal token sets one stands for all."""
     forms = table(spark, d, "part").select(tx.sorted_tokens(F.lower("p_name")).alias("name")).distinct()
     typed = table(spark, d, "part").filter("p_partkey % 50 = 0").select(tx.sorted_tokens(F.lower("p_name")).alias("query")).distinct()
-    return similarity.fuzzy_join(typed, forms, "query", "name", 90.0).withColumn("ratio", F.round("ratio", 3))
+    return fuzzy.ratio_join(typed, forms, "query", "name", 90.0).withColumn("ratio", F.round("ratio", 3))
+
+
+@query("f13_best_token_set_match")
+def best_token_set(spark, d):
+    """For each name with its type before it and a letter lost, of ids divisible by 50, the best name by token sets."""
+    part = table(spark, d, "part")
+    typed = F.lower(F.concat_ws(" ", F.split_part("p_type", F.lit(" "), F.lit(1)), F.substring("p_name", 2, 1 << 30)))
+    asked = part.filter("p_partkey % 50 = 0").select(typed.alias("query"))
+    found = fuzzy.best_by_tokens(asked, part.select(F.lower("p_name").alias("name")), "query", "name", 70.0)
+    return found.withColumn("ratio", F.round("ratio", 3))

@@ -9,24 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridex.operators import trajectory
+from veridex.plans.register import registrar
 from veridex.sources.tables import table
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+query, QUERIES, ORACLES = registrar()
 GOLD = ["supported", "contradicted", "invalid_value", "insufficient", "unknown"]
 ACTIONS = [trajectory.TRUST, trajectory.SELF, trajectory.REJECT, trajectory.BASELINE, trajectory.VERIFY, trajectory.GROUND]
 
 
-def query(name: str, sql: str | None = None):
-    def register(run):
-        QUERIES[name] = run
-        if sql:
-            ORACLES[name] = sql
-        return run
-
-    return register
-
-
 def _pick(values: list[str], at: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), at.cast("int"))
 
