@@ -128,7 +128,7 @@ def test_the_registered_query_equals_brute_force(spark, tmp_path, planted):
         rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
         got = queries_native.op6_pii_surrogates(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "n_entities", "kinds", "text"} <= set(got.columns)
-    pattern = regex.compile(pii.PATTERN, regex.V1)
+    pattern = regex.compile("|".join(f"(?:{p})" for p in pii.PATTERNS.values()), regex.V1)
     each = {k: regex.compile(p, regex.V1) for k, p in pii.PATTERNS.items()}
     new = {r.doc_id: r for r in got.collect()}
     assert len(new) == len(rows)
@@ -159,3 +159,42 @@ def test_the_registered_query_equals_brute_force(spark, tmp_path, planted):
     assert seen > 20
     drawn = [(kind, back) for (kind, _), back in given.items()]
     assert len(set(drawn)) == len(drawn) and not set(drawn) & set(given)
+
+
+def test_country_codes_stay_and_part_numbers(spark):
+    forms = ["+49 30 1234567", "+44 20 7946 0958", "+7 495 123 45 67", "+352 2712 3456 7", "+1 212 555 0123", "+44 2125550123", "2125550123", "(212) 555-0123"]
+    out = replaced(spark, [(i, f"call {form} now") for i, form in enumerate(forms)])
+    new = [out[i].text.removeprefix("call ").removesuffix(" now") for i in range(len(forms))]
+    for form, own, code in zip(forms, new, ["+49", "+44", "+7", "+352", "+1", "+44", "", "("], strict=True):
+        assert own.startswith(code) and own != form and re.sub(r"\d", "0", own) == re.sub(r"\d", "0", form)
+    digits = [re.sub(r"\D", "", x) for x in new]
+    assert digits[4][1:] == digits[6] == digits[7] and digits[5] != "44" + digits[6]
+    assert len({d[-10:] for d in digits[4:]}) == 2
+
+
+def test_families_stay_apart_under_any_given_names(spark):
+    from pyspark.sql import functions as F
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [("family", f"F{a}{b}{c}{d}") for a in letters[:20] for b in letters[:20] for c in letters[:20] for d in letters[:5]]
+    got = pii.assign(spark.createDataFrame(rows, "kind string, value string"), "k")
+    assert got.agg(F.countDistinct("drawn")).first()[0] == got.count() == len(rows) == 40_000
+    out = replaced(spark, [(1, "Mr. John Smith and Mrs. Eve Smith met Mr. Tom Jones. Smith left; Jones stayed."), (2, "Frau Smith"), (3, "Herr Adam Smith and Herr John Smith"), (4, "господин Иван Иванов; Иванов")])
+    names = re.match(r"Mr\. (\w+) (\w+) and Mrs\. (\w+) (\w+) met Mr\. (\w+) (\w+)\. (\w+) left; (\w+) stayed\.", out[1].text)
+    assert names[2] == names[4] == names[7] != names[6] == names[8] and out[2].text == f"Frau {names[2]}"
+    pair = re.match(r"Herr (\w+) (\w+) and Herr (\w+) (\w+)", out[3].text)
+    assert pair[2] == pair[4] == names[2] and pair[1] != pair[3] == names[1]
+    russian = re.fullmatch(r"господин ([А-Я][а-я]+) ([А-Я][а-я]+); ([А-Я][а-я]+)", out[4].text)
+    assert russian[2] == russian[3] != "Иванов"
+
+
+def test_a_surrogate_keeps_its_script_and_code_when_ranked(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("phone", "+493012345678"), ("phone", "+3522712345"), ("family", "Иванов"), ("family", "Smith"), ("man", "Иван Иванов")]
+    frame = spark.createDataFrame(rows, "kind string, value string").crossJoin(spark.range(0, 3000).withColumnRenamed("id", "rank"))
+    got = frame.select("value", pii.placed(F.col("kind"), F.col("value"), "k", F.col("rank")).alias("drawn")).collect()
+    assert len({(r.value, r.drawn) for r in got}) == len(got)
+    for r in got:
+        want = {"+493012345678": r"\+49\d{10}", "+3522712345": r"\+352\d{7}", "Иванов": r"[А-Я][а-я]+", "Smith": r"[A-Z][a-z]+", "Иван Иванов": r"[А-Я][а-я]+ Иванов"}
+        assert re.fullmatch(want[r.value], r.drawn), r

@@ -99,3 +99,32 @@ def test_quality_edge_cases(spark):
     assert got[5].text == clean and got[5].n_dup_lines == 11
     assert got[6].base_failed and got[7].base_failed
     assert quality.clean_lines(frame.limit(0)).count() == 0
+
+
+def test_lines_are_counted_by_distinct_ids(spark):
+    line = "This Line is long enough to count"
+    rows = [(1, line), (1, f"own\n{line}"), (2, line)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.n_dropped) for r in got) == [(1, 0), (1, 0), (2, 0)]
+    got = line_dedup.dedup_lines(spark.createDataFrame([*rows, (3, line), (3, line)], "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.n_dropped) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 0), (3, 0)]
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_results_are_the_same_without_ansi_mode(spark, tmp_path, name):
+    """Whole small tables with nulls, empty texts and repeats give the same rows whether or not errors are raised."""
+    line = "A line of words that three documents hold, and more."
+    texts = [None, "", line, f"x\n{line}", f"{line}\nMr. Ann Lee wrote to a.b@c.org or +49 30 1234567.", "one two three one two three", "cc by"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(2, line)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, line), (2, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, [float(i), 1.0, float(i * i)]) for i in range(5)] + [(9, None)], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(1, t, "user", x) for t, x in enumerate(["Hi.", "", None, "Hi."])], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {}
+    for mode in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", mode)
+        try:
+            found[mode] = sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect()), key=str)
+        finally:
+            spark.conf.set("spark.sql.ansi.enabled", "true")
+    assert found["true"] and str(found["true"]) == str(found["false"])
+    assert not any(value == -1 for row in found["false"] for value in row if isinstance(value, int))

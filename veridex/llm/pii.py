@@ -12,6 +12,8 @@ rest of that document too, where it stands alone.  All steps are column expressi
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +23,11 @@ from veridex.llm.shared_store import written
 #: run is read once.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}+(?![A-Za-z0-9])",
-    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
-    "ipv6": r"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*+[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![0-9A-Za-z:])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|(?<=[0-9+][ .-])[0-9]{3}[ .-]|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+.-])[2-9][0-9]{2}[2-9][0-9]{6}(?![0-9])|(?<![0-9+])\+[1-9](?:[ .()-]{0,2}[0-9]){9,14}(?![0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
+    "ip": r"(?=[0-9])(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
+    "ipv6": r"(?=[0-9A-Fa-f:])(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*+[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![0-9A-Za-z:])",
+    "phone": r"(?=[0-9+(])(?:(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|(?<=[0-9+][ .-])[0-9]{3}[ .-]|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+.-])[2-9][0-9]{2}[2-9][0-9]{6}(?![0-9])|(?<![0-9+])\+[1-9](?:[ .()-]{0,2}[0-9]){9,14}(?![0-9]))",
+    "ssn": r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "card": r"(?=[0-9])(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
     "secret": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,}+|sk-[A-Za-z0-9_-]{20,}+)(?![A-Za-z0-9])",
     "man": r"(?<!\p{L})(?:Mr\.?|Herr|Monsieur|Señor|Sr\.|господин) \p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?(?!\p{L})",
     "woman": r"(?<!\p{L})(?:Mrs\.?|Ms\.?|Miss|Frau|Madame|Mme|Señora|Sra\.|госпожа) \p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?(?!\p{L})",
@@ -41,7 +43,13 @@ SYLLABLES = {
     "latin": ["ba", "ce", "di", "fo", "gu", "ha", "ke", "li", "mo", "nu", "pa", "re", "si", "to", "vu", "za"],
     "cyrillic": ["ба", "ве", "ги", "до", "жу", "за", "ке", "ли", "мо", "ну", "па", "ре", "си", "то", "фу", "ца"],
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What a text has to hold, one of some strings or a digit, for mentions of some types; their patterns aren't tried on others.
+HINTS = [
+    (["@"], ["email"]),
+    (None, ["ip", "ipv6", "phone", "ssn", "card"]),
+    (["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "sk-"], ["secret"]),
+    (["Mr", "Ms", "Miss ", "Herr ", "Frau ", "Monsieur ", "Madame ", "Mme ", "Señor", "Sr. ", "Sra. ", "господин ", "госпожа "], ["man", "woman"]),
+]
 #: What a surrogate key keeps, so that it is of the same sort.
 KEY_PREFIX = r"^(?:sk-(?:proj-|svcacct-|admin-|ant-api[0-9]{2}-|or-v1-)?|github_pat_|.{4})"
 TITLE = r"^(\p{L}+\.?) "
@@ -75,6 +83,24 @@ def canonical(kind: Column, surface: Column) -> Column:
     )
 
 
+def hints(text: Column) -> Column:
+    """A number whose bits say which of HINTS a text holds."""
+    out = F.lit(0)
+    for i, (strings, _) in enumerate(HINTS):
+        held = functools.reduce(Column.__or__, map(text.contains, strings)) if strings else text.rlike("[0-9]")
+        out = out + F.when(held, 1 << i).otherwise(0)
+    return out
+
+
+def _by_hints(code: Column, of, none: Column) -> Column:
+    """of(pattern) with the patterns of the types that a text can hold, in their order; none for a text without hints."""
+    out = F.when(code == 0, none)
+    for number in range(1, 1 << len(HINTS)):
+        kinds = {k for i, (_, own) in enumerate(HINTS) if number >> i & 1 for k in own}
+        out = out.when(code == number, of("|".join(f"(?:{p})" for k, p in PATTERNS.items() if k in kinds)))
+    return out
+
+
 def _draw(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(key), *parts), 256)
 
@@ -299,8 +325,8 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     """
     source = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     source = source.withColumn("_row", F.xxhash64("_id", "_text")).withColumn("_row2", F.xxhash64(F.lit(7), "_text"))
-    surfaces = F.regexp_extract_all("_text", F.lit(PATTERN), F.lit(0))
-    mentions = source.select("_row", "_row2", F.posexplode(surfaces).alias("_pos", "_surface")).withColumn("kind", kind_of(F.col("_surface")))
+    surfaces = _by_hints(F.col("_code"), lambda p: F.regexp_extract_all("_text", F.lit(p), F.lit(0)), F.array().cast("array<string>"))
+    mentions = source.withColumn("_code", hints(F.col("_text"))).select("_row", "_row2", F.posexplode(surfaces).alias("_pos", "_surface")).withColumn("kind", kind_of(F.col("_surface")))
     mentions = written(mentions.withColumn("value", canonical(F.col("kind"), F.col("_surface"))).distinct())
 
     family = F.split_part("value", F.lit(" "), F.lit(-1))
@@ -320,7 +346,8 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     joined = source.join(found, (F.col("_row") == F.col("_found")) & (F.col("_row2") == F.col("_found2")), "left")
     # of names that share a family the first stands for it
     bare = F.filter("_bare", lambda x, i: (i == 0) | (x["family"] != F.get(F.col("_bare"), i - 1)["family"]))
-    joined = joined.withColumn("_bare", bare).withColumn("_parts", F.when(F.col("_all").isNotNull(), F.split("_text", PATTERN)))
+    joined = joined.withColumn("_bare", bare).withColumn("_code", F.when(F.col("_all").isNotNull(), hints(F.col("_text"))))
+    joined = joined.withColumn("_parts", F.when(F.col("_all").isNotNull(), _by_hints(F.col("_code"), lambda p: F.split("_text", p), F.array("_text"))))
     joined = joined.withColumn("_more", F.aggregate("_parts", F.lit(0), lambda n, part: n + _count_bare(part, F.col("_bare"))))
     pieced = F.array_join(F.transform("_parts", lambda part, i: F.concat(_without_bare(part, F.col("_bare")), F.coalesce(F.get(F.col("_all"), i)["_new"], F.lit("")))), "")
     return joined.select(
