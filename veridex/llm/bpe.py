@@ -3,9 +3,9 @@
 A text of more than ``span`` characters is a tree: it is halved down to parts of that length, which threads encode in
 parallel; at each join a window of text is encoded again and widened until it begins and ends at cuts that both sides
 have as ends of tokens.  Text that the vocabulary's splitting pattern leaves unsplit over more than ``leaf`` characters
-(long words, numbers, signs, blank runs) is a tree of its own inside a part: its halves are encoded one after the other,
-and at each join a window of tokens is encoded again and grown until it agrees with the left side in its first token and
-with the right side in its last.  A sequence of tokens is the encoding of its text if each adjacent pair is, so one agreed
+(long words, numbers, signs, blank runs) is a tree of its own inside a part: its halves' halves go to the threads too, and
+at each join a window of tokens is encoded again and grown until it agrees with the left side in its first token and with
+the right side in its last.  A sequence of tokens is the encoding of its text if each adjacent pair is, so one agreed
 token on either side makes the joined sequence the encoding of the whole.  All else goes through the pattern as it stands.
 
 Windows of text end, and long runs are taken out of it, at cuts before a single space that stands between two characters
@@ -54,7 +54,8 @@ class TreeEncoder:
         ranks = {bytes(map(byte.__getitem__, token)): rank for token, rank in vocabulary.items() if token not in self.special}
         self.plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self.sizes = {rank: len(token) for token, rank in ranks.items()}
-        self.leaf, self.window, self.span, self.threads = leaf, window, span, threads
+        self.leaf, self.window, self.span = leaf, window, span
+        self.pool = ThreadPoolExecutor(threads)  # the encoder works outside the interpreter's lock
         self.long = re.compile(rf"\S{{{leaf + 1},}}|\s{{{leaf + 1},}}")
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
@@ -74,9 +75,11 @@ class TreeEncoder:
         ends = self.part_ends(text) if len(text) > self.span else [0, len(text)]
         if len(ends) == 2:
             return self.stretch(text)
-        with ThreadPoolExecutor(self.threads) as pool:  # the encoder works outside the interpreter's lock
-            found = pool.map(lambda begin, end: np.concatenate(self.stretch(text[begin:end])), ends, ends[1:])
-            sides = list(zip(ends, ends[1:], found, strict=False))
+        # a part whose unsplit text needs the threads itself would wait for them: such parts go one by one
+        parts = [text[begin:end] for begin, end in zip(ends, ends[1:], strict=False)]
+        run = map if self.long.search(text) else self.pool.map
+        found = run(lambda part: np.concatenate(self.stretch(part)), parts)
+        sides = list(zip(ends, ends[1:], found, strict=False))
         while len(sides) > 1:
             odd = [sides.pop()] if len(sides) % 2 else []
             sides = [self.spliced(text, *pair) for pair in zip(sides[::2], sides[1::2], strict=True)] + odd
@@ -135,30 +138,39 @@ class TreeEncoder:
             if held:
                 out.append(self.ordinary("".join(held)))
                 held = []
-            for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(unit):
-                out.append(np.array(self.tree(piece), np.int32))
+            for _, (begin, end) in self.tokenizer.pre_tokenizer.pre_tokenize_str(unit):
+                out.append(self.tree(unit[begin:end]))
         return [*out, self.ordinary("".join(held))] if held else out
 
-    def merged(self, piece: str) -> list[int]:
-        return [token.id for token in self.tokenizer.model.tokenize(piece)]
+    def merged(self, piece: bytes) -> np.ndarray:
+        """Ids of bytes that aren't split."""
+        return np.array(self.plain._encode_single_piece(piece), np.int32)
 
-    def tree(self, piece: str) -> list[int]:
-        """Ids of one pre-token, given in the vocabulary's characters for bytes."""
+    def tree(self, piece: str) -> np.ndarray:
+        """Ids of one pre-token: those of its halves' halves, of at most leaf characters, joined two by two."""
         if len(piece) <= self.leaf:
-            return self.merged(piece)
-        middle = len(piece) // 2
-        return self.joined(self.tree(piece[:middle]), self.tree(piece[middle:]), piece, middle)
+            return self.merged(piece.encode())
+        parts = 1 << (-(-len(piece) // self.leaf) - 1).bit_length()
+        ends = [len(piece) * i // parts for i in range(parts + 1)]
+        leaves = [piece[begin:end] for begin, end in zip(ends, ends[1:], strict=False)]  # the pattern leaves these unsplit too
+        sides = list(self.pool.map(self.ordinary, leaves) if parts >= 64 else map(self.ordinary, leaves))
+        data = [leaf.encode() for leaf in leaves]
+        while len(sides) > 1:
+            pairs = range(0, len(sides), 2)
+            sides = [self.joined(sides[i], sides[i + 1], data[i], data[i + 1]) for i in pairs]
+            data = [data[i] + data[i + 1] for i in pairs]
+        return sides[0]
 
-    def joined(self, left: list[int], right: list[int], piece: str, middle: int) -> list[int]:
+    def joined(self, left: np.ndarray, right: np.ndarray, one: bytes, two: bytes) -> np.ndarray:
         """Both sides' ids with a window around the join encoded again, grown until both sides agree."""
         width = self.window
         while True:
             a, b = left[-width:], right[:width]
-            begin, end = middle - sum(map(self.sizes.get, a)), middle + sum(map(self.sizes.get, b))
-            again = self.merged(piece[begin:end])
+            before, after = (sum(map(self.sizes.__getitem__, ids.tolist())) for ids in (a, b))
+            again = self.merged(one[len(one) - before :] + two[:after])
             all_left, all_right = len(a) == len(left), len(b) == len(right)
             if (all_left or again[0] == a[0]) and (all_right or again[-1] == b[-1]) and (len(again) > 1 or all_left or all_right):
-                return [*left[: len(left) - len(a)], *again, *right[len(b) :]]
+                return np.concatenate([left[: len(left) - len(a)], again, right[len(b) :]])
             width *= 2
 
     def decode(self, ids: np.ndarray) -> str:
@@ -186,8 +198,8 @@ def encode_decode(
 ) -> DataFrame:
     """One row for each row of docs: id_col, ids array<int>, decoded string.
 
-    No row moves between tasks; texts of over span characters are encoded in parts by threads.  A null text counts as empty: no ids, decoded to ''.  Repeated rows and null ids give a
-    row each; an empty table gives none.  Other columns of docs are not read, so their names can't clash.
+    No row moves between tasks; texts of over span characters are encoded in parts by threads.  A null text counts as
+    empty: no ids, decoded to ''.  Repeated rows and null ids give a row each; an empty table gives none.  Other columns of docs are not read, so their names can't clash.
     """
 
     def make():
