@@ -132,24 +132,3 @@ def test_issues_treat_null_as_broken(spark):
     rows = spark.createDataFrame([(1, 5), (2, None), (3, 50)], "k int, v int")
     got = validate.issues(rows, "k", [("range", F.col("v").between(0, 10))]).collect()
     assert sorted(r.k for r in got) == [2, 3]
-
-
-def test_numbers_of_large_classes_equal_a_sort(spark):
-    rows = spark.range(500).select(F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 7 == 0, F.lit(None)).otherwise("b").alias("c"), (F.col("id") * 37 % 501).alias("v"))
-    got = rank.numbered_by_bucket(rank.even_buckets(rows, "v", 16), "c", [F.col("v")]).collect()
-    by_class = {}
-    for r in rows.collect():
-        by_class.setdefault(r.c, []).append(r.v)
-    assert len(got) == 500
-    for r in got:
-        assert sorted(by_class[r.c])[r._rn - 1] == r.v and r._n == len(by_class[r.c])
-
-
-@pytest.mark.parametrize("name", ["t8_stratified_held_out", "t9_stratified_folds", "t16_balance_to_largest", "w15_round_robin", "t22_sentinel_rows", "w1_top_with_ties", "w12_middle_of_group"])
-def test_no_window_sorts_the_rows_of_a_class_in_one_task(spark, name):
-    from veridex.plans import registry
-
-    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
-    for line in plan.splitlines():
-        if "Window [row_number" in line or "Window [rank" in line:
-            assert "_b#" in line.split("], [")[1], line

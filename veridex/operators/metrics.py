@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veridex.operators import ranges
+
 
 def accuracy_by(frame: DataFrame, by: list[str], correct: Column) -> DataFrame:
     """correct, total and the text correct/total of each group."""
@@ -39,9 +41,10 @@ def mcnemar(frame: DataFrame, before: Column, after: Column) -> DataFrame:
 
 def margins(frame: DataFrame, by: list[str], margin: str) -> DataFrame:
     """Count, mean, extremes and exact median of a margin."""
-    return frame.groupBy(*by).agg(
-        F.count(margin).alias("n"), F.avg(margin).alias("mean"), F.min(margin).alias("least"), F.max(margin).alias("most"), F.percentile(margin, 0.5).alias("median")
-    )
+    stats = frame.groupBy(*by).agg(F.count(margin).alias("n"), F.avg(margin).alias("mean"), F.min(margin).alias("least"), F.max(margin).alias("most"))
+    middle = ranges.medians(frame, by, margin).withColumnsRenamed({name: f"_{name}" for name in by})
+    same = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in by]
+    return stats.join(middle, same).drop(*(f"_{name}" for name in by))
 
 
 def majority(frame: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridex.operators import ranges
+
 
 def numbered(frame: DataFrame, by: list[str], order: list[Column], name: str = "rn") -> DataFrame:
     """Row numbers from 1 in each group."""
@@ -16,27 +18,6 @@ def top_per_group(frame: DataFrame, by: list[str], order: list[Column], n: int =
     return numbered(frame, by, order, "_rn").filter(F.col("_rn") <= n).drop("_rn")
 
 
-def even_buckets(frame: DataFrame, column: str, buckets: int = 4096) -> DataFrame:
-    """Adds _b: which of so many equal ranges of a number's values a row is in; null for a null."""
-    ends = frame.agg(F.min(column).alias("_low"), F.max(column).alias("_high"))  # one row
-    return frame.crossJoin(ends).withColumn("_b", F.floor((F.col(column) - F.col("_low")) * buckets / (F.col("_high") - F.col("_low") + 1))).drop("_low", "_high")
-
-
-def numbered_by_bucket(frame: DataFrame, by: str, order: list[Column], name: str = "_rn", total: str = "_n") -> DataFrame:
-    """Row numbers from 1 in each class and the class's size, for classes that no task could sort alone.
-
-    frame has a column _b that never falls along the order.  Rows are counted by class and bucket, the few counts give each
-    bucket the number its rows start from, and only the rows of one bucket are sorted together.
-    """
-    whole = Window.partitionBy(by)
-    counts = frame.groupBy(by, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    before = F.sum("_c").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(F.col(by).alias("_by"), F.col("_b").alias("_bb"), F.coalesce(before, F.lit(0)).alias("_start"), F.sum("_c").over(whole).alias(total))
-    same = F.col(by).eqNullSafe(F.col("_by")) & F.col("_b").eqNullSafe(F.col("_bb"))
-    own = F.row_number().over(Window.partitionBy(by, "_b").orderBy(*order))
-    return frame.join(starts, same).withColumn(name, F.col("_start") + own).drop("_by", "_bb", "_start", "_b")
-
-
 def top_with_ties(frame: DataFrame, by: list[str], score: Column, tie: list[Column]) -> DataFrame:
     """The row of the highest score in each group, the first by tie, and how many rows share its score.
 
@@ -62,14 +43,13 @@ def distinct_on(frame: DataFrame, keys: list[str], order: list[Column]) -> DataF
 
 def middle_of_group(frame: DataFrame, by: str, value: str, least: int = 3) -> DataFrame:
     """The middle of the sorted distinct texts of each group with at least so many."""
-    distinct = frame.select(by, value).distinct().withColumn("_b", F.substring(value, 1, 3))
-    ranked = numbered_by_bucket(distinct, by, [F.col(value)], "_rn", "n_values")
+    ranked = ranges.numbered(frame.select(by, value).distinct(), [by], [F.col(value)], "_rn", "n_values")
     return ranked.filter((F.col("n_values") >= least) & (F.col("_rn") == F.floor(F.col("n_values") / 2) + 1)).drop("_rn")
 
 
 def interleaved(frame: DataFrame, by: str, order: str, classes: list[str]) -> DataFrame:
     """Round robin over classes in the order of a number, as long as the smallest class; position counts from 0."""
-    counted = numbered_by_bucket(even_buckets(frame, order), by, [F.col(order)])
+    counted = ranges.numbered(frame, [by], [F.col(order)])
     sizes = frame.groupBy(by).agg(F.count(F.lit(1)).alias("_m")).agg(F.min("_m").alias("_least"))  # one row
     slot = F.array_position(F.array(*map(F.lit, classes)), F.col(by)) - 1
     kept = counted.crossJoin(sizes).filter(F.col("_rn") <= F.col("_least"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
-from veridex.operators import rank
+from veridex.operators import ranges
 
 
 def hash_key(salt: str, value: Column) -> Column:
@@ -23,10 +23,9 @@ def modulo_of_md5(value: Column, modulus: int) -> Column:
 def held_out(frame: DataFrame, by: str, salt: str, key: str, n: int) -> DataFrame:
     """split: the first n rows of each class, in the order of salted digests, are heldout, the others train.
 
-    A class without n + 1 rows stops the query.  Digests share out evenly over their first three digits.
+    A class without n + 1 rows stops the query.
     """
-    hashed = frame.withColumn("_h", hash_key(salt, F.col(key))).withColumn("_b", F.left("_h", F.lit(3)))
-    ranked = rank.numbered_by_bucket(hashed, by, [F.col("_h"), F.col(key)])
+    ranked = ranges.numbered(frame.withColumn("_h", hash_key(salt, F.col(key))), [by], [F.col("_h"), F.col(key)])
     small = F.raise_error(F.concat(F.lit("class too small: "), F.col(by).cast("string")))
     split = F.when(F.col("_n") <= n, small).when(F.col("_rn") <= n, F.lit("heldout")).otherwise(F.lit("train"))
     return ranked.withColumn("split", split).drop("_rn", "_n", "_h")
@@ -37,7 +36,7 @@ def folds(frame: DataFrame, by: str, order: str, k: int, strict: bool = False) -
 
     strict: a class whose size k doesn't divide stops the query.
     """
-    ranked = rank.numbered_by_bucket(rank.even_buckets(frame, order), by, [F.col(order)])
+    ranked = ranges.numbered(frame, [by], [F.col(order)])
     uneven = F.raise_error(F.concat(F.lit("folds don't divide: "), F.col(by).cast("string")))
     fold = F.floor((F.col("_rn") - 1) * k / F.col("_n")).cast("int")
     return ranked.withColumn("fold", F.when(F.lit(strict) & (F.col("_n") % k != 0), uneven.cast("int")).otherwise(fold)).drop("_rn", "_n")
@@ -45,7 +44,7 @@ def folds(frame: DataFrame, by: str, order: str, k: int, strict: bool = False) -
 
 def sentinels(frame: DataFrame, by: str, order: str) -> DataFrame:
     """The first, the middle and the last row of each class in the order of a number."""
-    ranked = rank.numbered_by_bucket(rank.even_buckets(frame, order), by, [F.col(order)])
+    ranked = ranges.numbered(frame, [by], [F.col(order)])
     wanted = (F.col("_rn") == 1) | (F.col("_rn") == F.floor(F.col("_n") / 2) + 1) | (F.col("_rn") == F.col("_n"))
     return ranked.filter(wanted).drop("_rn", "_n")
 
@@ -57,7 +56,7 @@ def repeated(frame: DataFrame, times: Column) -> DataFrame:
 
 def balanced(frame: DataFrame, by: str, order: str) -> DataFrame:
     """Classes filled up to the largest by taking their rows in turn again; slot counts from 0."""
-    ranked = rank.numbered_by_bucket(rank.even_buckets(frame, order), by, [F.col(order)])
+    ranked = ranges.numbered(frame, [by], [F.col(order)])
     most = frame.groupBy(by).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c").alias("_most"))  # one row
     turns = F.sequence(F.col("_rn") - 1, F.col("_most") - 1, F.col("_n"))
     return ranked.crossJoin(most).withColumn("slot", F.explode(turns)).drop("_rn", "_n", "_most")

@@ -284,11 +284,11 @@ def a16(spark, d):
 
 @query(
     "a17_win_rate_overall_and_by_pair",
-    "SELECT coalesce(o_orderpriority, 'all') AS pair, count(*) AS n, avg(CASE WHEN o_totalprice > 100000 THEN 1.0 ELSE 0.0 END)::DOUBLE AS win_rate FROM orders GROUP BY GROUPING SETS ((), (o_orderpriority))",
+    "SELECT grouping(o_orderpriority) = 1 AS every_pair, o_orderpriority AS pair, count(*) AS n, avg(CASE WHEN o_totalprice > 100000 THEN 1.0 ELSE 0.0 END)::DOUBLE AS win_rate FROM orders GROUP BY GROUPING SETS ((), (o_orderpriority))",
 )
 def a17(spark, d):
-    sets = table(spark, d, "orders").rollup("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("o_totalprice") > 100000).cast("double")).alias("win_rate"))
-    return sets.select(F.coalesce("o_orderpriority", F.lit("all")).alias("pair"), "n", "win_rate")
+    sets = table(spark, d, "orders").rollup("o_orderpriority").agg((F.grouping("o_orderpriority") == 1).alias("every_pair"), F.count(F.lit(1)).alias("n"), F.avg((F.col("o_totalprice") > 100000).cast("double")).alias("win_rate"))
+    return sets.select("every_pair", F.col("o_orderpriority").alias("pair"), "n", "win_rate")
 
 
 @query(

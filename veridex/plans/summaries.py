@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veridex.functions import similarity
 from veridex.functions import text as tx
-from veridex.operators import joins, rank, select, trajectory, vectors
+from veridex.operators import joins, ranges, rank, select, trajectory, vectors
 from veridex.plans.register import registrar
 from veridex.sources.tables import table
 
@@ -68,11 +68,12 @@ def rank_summary(spark, d):
 
     stats = rows.groupBy("expected").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("pred") == F.col("expected")).cast("int")), 3).alias("accuracy"),
-        F.round(F.avg("margin"), 6).alias("mean_margin"), F.round(F.percentile("margin", F.lit(0.5)), 6).alias("median_margin"),
+        F.round(F.avg("margin"), 6).alias("mean_margin"),
     )
+    middle = ranges.medians(rows, ["expected"], "margin", "median_margin").withColumn("median_margin", F.round("median_margin", 6))
     ranks = counted(F.coalesce(F.col("rk").cast("string"), F.lit("missing")), "rank")
     predicted = counted(F.col("pred"), "predicted").withColumnRenamed("predicteds", "predicted")
-    return stats.join(ranks, "expected").join(predicted, "expected")
+    return stats.join(middle, "expected").join(ranks, "expected").join(predicted, "expected")
 
 
 @query(
@@ -112,8 +113,7 @@ def stump(spark, d):
     """Each side of a threshold predicts its own majority; the rows are counted once, then only counts by value are summed."""
     rows = table(spark, d, "customer").select((F.length("c_mktsegment") + F.col("c_nationkey")).cast("bigint").alias("v"), (F.col("c_acctbal") > 4000).alias("gold"))
     by_value = rows.groupBy("v").agg(count(F.col("gold")).alias("p"), F.count(F.lit(1)).alias("n"))
-    below, every = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    cut = by_value.select("v", F.sum("p").over(below).alias("lp"), F.sum("n").over(below).alias("ln"), F.sum("p").over(every).alias("tp"), F.sum("n").over(every).alias("tn"))
+    cut = ranges.running(by_value, [], [F.col("v")], ["p", "n"]).toDF("v", "p", "n", "lp", "ln", "tp", "tn")
     left, right = F.greatest("lp", F.expr("ln - lp")), F.greatest(F.expr("tp - lp"), F.expr("tn - ln - tp + lp"))
     scored = cut.filter("ln < tn").select(F.col("v").alias("threshold"), F.round((left + right) / F.col("tn"), 6).alias("accuracy"))
     return scored.orderBy(F.col("accuracy").desc(), "threshold").limit(1)
@@ -171,10 +171,13 @@ FROM (SELECT CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderpriority END AS
 def margins(spark, d):
     m = F.col("m")
     rows = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderpriority")).alias("pair"), (F.col("o_totalprice") - 150000).alias("m"))
-    return rows.rollup("pair").agg(
-        F.when(F.grouping("pair") == 1, "total").otherwise("pair").alias("level"), F.count(F.lit(1)).alias("n"), F.round(F.avg((m > 0).cast("int")), 6).alias("win_rate"),
-        F.round(F.avg(m), 4).alias("mean_margin"), F.round(F.percentile(m, F.lit(0.5)), 4).alias("median_margin"), F.min(m).alias("least"), F.max(m).alias("most"),
+    levels = rows.withColumn("level", F.explode(F.array(F.lit("pair"), F.lit("total"))))  # each row counts in its pair and in all
+    levels = levels.withColumn("pair", F.when(F.col("level") == "pair", F.col("pair")))
+    stats = levels.groupBy("level", "pair").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg((m > 0).cast("int")), 6).alias("win_rate"), F.round(F.avg(m), 4).alias("mean_margin"), F.min(m).alias("least"), F.max(m).alias("most"),
     )
+    middle = ranges.medians(levels, ["level", "pair"], "m").select(F.col("level").alias("l"), F.col("pair").alias("p"), F.round("median", 4).alias("median_margin"))
+    return stats.join(middle, (F.col("level") == F.col("l")) & F.col("pair").eqNullSafe(F.col("p"))).drop("l", "p")
 
 
 @query(
