@@ -75,26 +75,3 @@ def without_keys(kind: DataType, value: Column, keys: set[str]) -> Column:
     if isinstance(kind, ArrayType):
         return F.transform(value, lambda x: without_keys(kind.elementType, x, keys))
     return value
-
-
-def greedy_unique(frame: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Rows in order, each kept unless one of its keys was kept before.
-
-    Each pass keeps rows that come first for all their keys and drops what they exclude, so a pass is joins and windows
-    and the result is that of the loop.
-    """
-    from functools import reduce
-
-    left, kept = frame, None
-    while True:
-        best = [F.row_number().over(Window.partitionBy(k).orderBy(*order)) for k in keys]
-        ranked = left
-        for i, column in enumerate(best):
-            ranked = ranked.withColumn(f"_r{i}", column)
-        first = ranked.filter(reduce(lambda a, b: a & b, [F.col(f"_r{i}") == 1 for i in range(len(keys))])).select(*frame.columns).checkpoint()
-        kept = first if kept is None else kept.unionByName(first)
-        for k in keys:
-            left = left.join(first.select(k), k, "left_anti").select(*frame.columns)
-        left = left.checkpoint()
-        if left.isEmpty():
-            return kept

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veridex.functions import similarity
 from veridex.functions import text as tx
-from veridex.operators import fuzzy, rank, select
+from veridex.operators import fuzzy, greedy, phrases, rank, select
 from veridex.plans.register import registrar
 from veridex.sources.tables import table
 
@@ -177,10 +177,17 @@ def t16(spark, d):
     return select.balanced(docs, "lang", "doc_id").select("lang", "doc_id", F.col("slot").cast("bigint").alias("slot"))
 
 
-@query("t13_greedy_unique")
+@query(
+    "t13_greedy_unique",
+    """WITH RECURSIVE o AS (SELECT p_partkey, p_name, p_brand, row_number() OVER (ORDER BY p_partkey) AS i FROM part),
+w AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS names, CAST([] AS VARCHAR[]) AS brands, CAST(NULL AS BIGINT) AS kept
+UNION ALL SELECT next, CASE WHEN free THEN list_append(names, p_name) ELSE names END, CASE WHEN free THEN list_append(brands, p_brand) ELSE brands END, CASE WHEN free THEN p_partkey END
+FROM (SELECT names, brands, o.i AS next, p_partkey, p_name, p_brand, NOT list_contains(names, p_name) AND NOT list_contains(brands, p_brand) AS free FROM w JOIN o ON o.i = w.i + 1))
+SELECT p_partkey, p_name, p_brand FROM o WHERE p_partkey IN (SELECT kept FROM w)""",
+)
 def t13(spark, d):
     part = table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
-    return select.greedy_unique(part, ["p_name", "p_brand"], ["p_partkey"])
+    return greedy.greedy_unique(part, ["p_name", "p_brand"], ["p_partkey"])
 
 
 @query("t21_best_record", "SELECT l_suppkey, arg_max(l_partkey, [q, -l_partkey]) AS best_part FROM (SELECT l_suppkey, l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2) GROUP BY 1")
@@ -228,15 +235,7 @@ SELECT conv_id, turn, phrase FROM (SELECT g.*, row_number() OVER (PARTITION BY c
 def f6(spark, d):
     words = table(spark, d, "conversations").select("conv_id", "turn", F.filter(F.split(tx.normal_condition(F.regexp_replace("text", r"[()]", " ")), " "), lambda x: x != "").alias("ws"))
 
-    def grams(n):
-        starts = F.when(F.size("ws") >= n, F.sequence(F.lit(0), F.size("ws") - n))
-        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), i.alias("i"), F.array_join(F.slice("ws", i + 1, n), " ").alias("phrase")))
-
-    empty = F.array().cast("array<struct<n:int,i:int,phrase:string>>")
-    every = words.select("conv_id", "turn", F.inline(F.concat(*(F.coalesce(grams(n), empty) for n in range(1, 7)))))
-    known = every.groupBy("phrase").agg(F.countDistinct("conv_id").alias("c")).filter("c >= 3").select("phrase")
-    order = [F.col("n").desc(), F.length("phrase").desc(), F.col("i")]
-    return rank.top_per_group(every.join(known, "phrase"), ["conv_id", "turn"], order).select("conv_id", "turn", "phrase")
+    return phrases.longest_shared(words, ["conv_id", "turn"], "ws", "conv_id", 3, 6).select("conv_id", "turn", "phrase")
 
 
 @query("f7_f8_f9_claims", "SELECT o_orderkey, lower(trim('  Order ' || o_orderstatus || ' for customer ' || o_custkey || ' ')) AS claim, contains(lower(o_orderpriority), lower('URG')) AS leaks FROM orders")
