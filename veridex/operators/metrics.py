@@ -39,6 +39,13 @@ def mcnemar(frame: DataFrame, before: Column, after: Column) -> DataFrame:
     return counted.withColumn("chi2", F.coalesce(F.try_divide(top * top, F.col("b") + F.col("c")), F.lit(0.0)).cast("double"))
 
 
+def wald(frame: DataFrame, correct: Column, z: float = 1.96) -> DataFrame:
+    """(n, p, low, high): the share of correct rows and its Wald interval within [0, 1]; null without rows."""
+    counted = frame.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(correct, F.lit(False)).cast("double")).alias("p"))
+    half = z * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n"))
+    return counted.withColumns({"low": F.greatest(F.lit(0.0), F.col("p") - half), "high": F.least(F.lit(1.0), F.col("p") + half)})
+
+
 def margins(frame: DataFrame, by: list[str], margin: str) -> DataFrame:
     """Count, mean, extremes and exact median of a margin."""
     stats = frame.groupBy(*by).agg(F.count(margin).alias("n"), F.avg(margin).alias("mean"), F.min(margin).alias("least"), F.max(margin).alias("most"))

@@ -38,6 +38,11 @@ def certified(bounded: DataFrame, alpha: float) -> DataFrame:
     return bounded.filter(F.col("bound") <= alpha).orderBy(F.col("trusted").desc(), "threshold").limit(1)
 
 
+def closest(bounded: DataFrame) -> DataFrame:
+    """The threshold with the least bound, then the most trusted rows, then the lowest, whether or not it is certified."""
+    return bounded.filter("bound IS NOT NULL").orderBy("bound", F.col("trusted").desc(), "threshold").limit(1)
+
+
 def least_zero_failure_n(alpha: float, delta: float, grid: int) -> int:
     """The number of trusted rows without a failure that a certificate takes."""
     return math.ceil(math.log(grid / delta) / (2 * alpha * alpha))

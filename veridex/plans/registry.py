@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from veridex.plans import analysis, gates, reading, relational, routing, search, selection, summaries, trajectories
+from veridex.plans import analysis, contracts, gates, reading, relational, routing, search, selection, summaries, trajectories
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (routing, relational, selection, search, analysis, trajectories, gates, reading, summaries):
+for _module in (routing, relational, selection, search, analysis, contracts, trajectories, gates, reading, summaries):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

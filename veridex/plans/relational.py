@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veridex.functions import nested
 from veridex.functions import text as tx
 from veridex.operators import joins, metrics
 from veridex.plans.register import registrar
@@ -68,10 +69,12 @@ def p13(spark, d):
     return table(spark, d, "events").select("event_id", k.alias("k"), F.coalesce(k.between(10, 90), F.lit(False)).alias("in_range"), F.col("event_type").rlike("^[a-z_]+$").alias("well_formed"))
 
 
-@query("p14_enum_mapping", "SELECT lang, CASE lang WHEN 'en' THEN 'english' WHEN 'fr' THEN 'french' WHEN 'de' THEN 'german' WHEN 'es' THEN 'spanish' END AS family, count(*) AS n FROM documents GROUP BY lang")
+@query("p14_enum_mapping", "SELECT lang, CASE lang WHEN 'en' THEN 'english' WHEN 'fr' THEN 'french' WHEN 'de' THEN 'german' WHEN 'es' THEN 'spanish' ELSE error('unknown language') END AS family, count(*) AS n FROM documents GROUP BY lang")
 def p14(spark, d):
-    names = F.create_map(*(F.lit(x) for pair in {"en": "english", "fr": "french", "de": "german", "es": "spanish"}.items() for x in pair))
-    return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", F.try_element_at(names, F.col("lang")).alias("family"), "n")
+    """An unknown language stops the query."""
+    names = {"en": "english", "fr": "french", "de": "german", "es": "spanish"}
+    counted = table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("lang", nested.required_name(F.col("lang"), names, "language").alias("family"), "n")
 
 
 @query(

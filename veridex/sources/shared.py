@@ -22,14 +22,16 @@ def folder(spark: SparkSession) -> str:
     return _OWN[0]
 
 
-def written(frame: DataFrame) -> DataFrame:
-    """The frame as a Parquet table in the shared folder, so that what follows reads files and not the lineage.
-
-    The table goes when the driver ends.
-    """
-    spark = frame.sparkSession
+def new_path(spark: SparkSession) -> str:
+    """A place in the shared folder that nobody else uses; what is written there goes when the driver ends."""
     path = f"{folder(spark)}/veridex-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(frame.schema).parquet(path)
+    return path
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """The frame as a Parquet table in the shared folder, so that what follows reads files and not the lineage."""
+    path = new_path(frame.sparkSession)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
