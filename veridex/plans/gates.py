@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from veridex.functions import decide
 from veridex.operators import trajectory
 from veridex.plans.register import registrar
+from veridex.plans.spans import number_of, span_sql, spans
 from veridex.sources.tables import table
 
 query, QUERIES, ORACLES = registrar()
@@ -26,31 +27,42 @@ PAIRS = ["ground/supported", "reject/contradicted", "flag/invalid_value", "verif
 TOOLS = ["survey", "verify", "validity", "completeness"]
 
 
-def states(spark, d) -> DataFrame:
-    """k, loop (array of tool calls with a query and an error), records, findings, signal and counts."""
-    k = F.col("k")
-    frame = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
-    names = F.when(k % 13 == 0, F.array(*map(F.lit, TOOLS[:3]))).when(k % 17 == 0, F.array(*map(F.lit, [*TOOLS, "other"]))).otherwise(F.array(*map(F.lit, TOOLS)))
-
-    def call(name: Column) -> Column:
-        asked = F.when((k % 11 == 0) & (name == "verify"), k + 1).otherwise(k)
-        return F.struct(name.alias("name"), asked.alias("query"), F.when((k % 19 == 0) & (name == "survey"), "down").alias("error"))
+#: The tool that a type of event stands for; a signup is a call of another tool if its k is high, else none.
+TOOL_OF = {"view": "survey", "click": "verify", "purchase": "validity", "error": "completeness"}
 
-    def record(i: int) -> Column:
-        source = F.when((k % 7 == 0) & F.lit(i == 1), F.lit(None).cast("string")).otherwise(F.concat(F.lit(f"r{i}-"), k.cast("string")))
-        fresh = F.when((k % 9 == 0) & F.lit(i == 0), "stale").when(k % 2 == 0, "current")
-        return F.struct(source.alias("source_id"), fresh.alias("freshness"))
 
-    signals = F.array(*map(F.lit, [*SIGNALS, "other"]))
+def states(spark, d) -> DataFrame:
+    """Weeks of users: k, user_id, loop (array of tool calls with a query and an error), records, findings, signal, counts.
+
+    Calls are the week's events; records are its purchases, and findings its errors of a high k.
+    """
+    def tool(x: Column) -> Column:
+        out = F.when((x["event_type"] == "signup") & (x["k"] >= 97), "other")
+        for kind, own in TOOL_OF.items():
+            out = out.when(x["event_type"] == kind, own)
+        return out
+
+    def call(x: Column) -> Column:
+        query = F.col("user_id") + F.when(x["k"] >= 99, 1).otherwise(0)
+        return F.struct(tool(x).alias("name"), query.alias("query"), F.when(x["value"] > 300, "down").alias("error"))
+
+    def record(x: Column) -> Column:
+        source = F.when(x["k"] >= 3, F.concat(F.lit("p"), x["event_id"].cast("string")))
+        return F.struct(source.alias("source_id"), F.when(x["value"] < 1, "stale").when(x["value"] > 50, "current").alias("freshness"))
+
+    finding = lambda x: F.when(x["value"] >= 10, F.concat(F.lit("f"), x["event_id"].cast("string")))
+    of = lambda kind: number_of(lambda x: x["event_type"] == kind)
+    frame = spans(spark, d, "week").withColumns({"n": F.size("e"), "views": of("view"), "clicks": of("click"), "purchases": of("purchase"), "errors": of("error")})
+    purchases = F.filter("e", lambda x: x["event_type"] == "purchase")
     return frame.withColumns(
         {
-            "present": k % 29 != 0,
-            "loop": F.when(k % 23 != 0, F.transform(names, call)).otherwise(F.array().cast("array<struct<name:string,query:bigint,error:string>>")),
-            "records": F.when(k % 3 < 2, F.array(record(0), record(1))).otherwise(F.array().cast("array<struct<source_id:string,freshness:string>>")),
-            "findings": F.when(k % 6 == 1, F.array(F.lit(None).cast("string"), F.concat(F.lit("f"), k.cast("string")))).otherwise(F.array().cast("array<string>")),
-            "signal": F.when(k % 8 < 5, F.get(signals, (k % 5).cast("int"))),
-            "considered": F.when(k % 4 < 3, F.lit(0)).otherwise(2),
-            "related": F.when(k % 5 == 0, F.lit(None).cast("int")).otherwise((k % 3).cast("int")),
+            "present": F.col("n") >= 3,
+            "loop": F.transform(F.filter("e", lambda x: tool(x).isNotNull()), call),
+            "records": F.transform(F.filter(purchases, lambda x: x["value"] < 90), record),
+            "findings": F.transform(F.filter("e", lambda x: (x["event_type"] == "error") & (x["k"] >= 96)), finding),
+            "signal": F.get(F.array(*map(F.lit, [*SIGNALS, "other"]), F.lit(None).cast("string")), F.col("views") % 6),
+            "considered": number_of(lambda x: (x["event_type"] == "purchase") & (x["value"] > 150)),
+            "related": F.when(F.col("errors") > 0, F.col("errors") - 1),
         }
     )
 
@@ -64,7 +76,7 @@ def with_features(frame: DataFrame) -> DataFrame:
         {
             "missing_tools": F.array_sort(F.array_except(tools, names)),
             "wrong_tools": F.array_sort(F.array_except(names, tools)),
-            "mismatched": F.transform(F.filter("loop", lambda x: x["query"] != F.col("k")), lambda x: x["name"]),
+            "mismatched": F.transform(F.filter("loop", lambda x: x["query"] != F.col("user_id")), lambda x: x["name"]),
             "failed": F.transform(F.filter("loop", lambda x: F.coalesce(x["error"], F.lit("")) != ""), lambda x: x["name"]),
             "unattributed": F.transform(F.filter(numbered, lambda r: F.coalesce(r["source_id"], F.lit("")) == ""), lambda r: r["i"]),
             "stale": F.transform(F.filter(numbered, lambda r: F.coalesce(r["freshness"], F.lit("current")) != "current"), lambda r: F.coalesce(r["source_id"], F.concat(F.lit("record::"), r["i"].cast("string")))),
@@ -101,23 +113,29 @@ def gated(frame: DataFrame) -> DataFrame:
     return with_features(frame).withColumns({"pair": pair, "reason": reason}).withColumn("cited", F.when(F.col("pair") == "flag/invalid_value", F.col("finding")))
 
 
-_SIGNAL_CASES = " ".join(f"WHEN signal = '{s}' THEN '{{{i}}}'" for i, s in enumerate(SIGNALS))
-_STATES = f"""s AS (SELECT o_orderkey AS k, CASE WHEN k % 8 < 5 THEN {[*SIGNALS, "other"]}[k % 5 + 1] END AS signal, k % 3 < 2 AS has_records, CASE WHEN k % 4 < 3 THEN 0 ELSE 2 END AS considered, CASE WHEN k % 5 <> 0 THEN k % 3 END AS related FROM orders),
-x AS (SELECT *, CASE WHEN k % 29 = 0 THEN 1 WHEN k % 23 = 0 THEN 2 WHEN k % 19 = 0 THEN 3 WHEN k % 13 = 0 OR k % 17 = 0 THEN 4 WHEN k % 11 = 0 THEN 5 WHEN has_records AND k % 7 = 0 THEN 6 WHEN has_records AND k % 9 = 0 THEN 7
-WHEN k % 6 = 1 THEN 8 ELSE 8 + coalesce(nullif(list_position({list(SIGNALS)}, coalesce(signal, '')), 0), 5) END AS exit FROM s),
+_CALLED = f"CASE WHEN t = 'signup' AND ks[i] >= 97 THEN 'other' ELSE MAP {TOOL_OF}[t] END"
+_STATES = f"""e AS ({span_sql("week")}), f AS (SELECT *, len(types) AS n, len(list_filter(types, lambda t: t = 'view')) AS views, len(list_filter(types, lambda t: t = 'click')) AS clicks,
+len(list_filter(types, lambda t: t = 'purchase')) AS purchases, len(list_filter(types, lambda t: t = 'error')) AS errors, list_transform(types, lambda t, i: {_CALLED}) AS called FROM e),
+r AS (SELECT *, list_filter(range(1, n + 1), lambda i: called[i] IS NOT NULL) AS c, list_filter(range(1, n + 1), lambda i: types[i] = 'purchase' AND vals[i] < 90) AS p, list_filter(range(1, n + 1), lambda i: types[i] = 'error' AND ks[i] >= 96) AS o FROM f),
+s AS (SELECT *, list_sort(list_filter({TOOLS}, lambda t: NOT list_contains(called, t))) AS missing_tools, CASE WHEN list_contains(called, 'other') THEN ['other'] ELSE [] END AS wrong_tools,
+list_transform(list_filter(c, lambda i: ks[i] >= 99), lambda i: called[i]) AS mismatched, list_filter(c, lambda i: vals[i] > 300) AS failed, list_transform(list_filter(p, lambda i: ks[i] < 3), lambda i: list_position(p, i) - 1) AS unattributed,
+list_transform(list_filter(p, lambda i: vals[i] < 1), lambda i: CASE WHEN ks[i] < 3 THEN 'record::' || (list_position(p, i) - 1) ELSE 'p' || ids[i] END) AS stale, 'f' || ids[list_filter(o, lambda i: vals[i] >= 10)[1]] AS finding,
+{[*SIGNALS, "other"]}[views % 6 + 1] AS signal, len(p) > 0 AS has_records, len(list_filter(range(1, n + 1), lambda i: types[i] = 'purchase' AND vals[i] > 150)) AS considered, CASE WHEN errors > 0 THEN errors - 1 END AS related FROM r),
+x AS (SELECT *, CASE WHEN n < 3 THEN 1 WHEN len(c) = 0 THEN 2 WHEN len(failed) > 0 THEN 3 WHEN len(missing_tools) + len(wrong_tools) > 0 THEN 4 WHEN len(mismatched) > 0 THEN 5 WHEN len(unattributed) > 0 THEN 6 WHEN len(stale) > 0 THEN 7
+WHEN len(o) > 0 THEN 8 ELSE 8 + coalesce(nullif(list_position({list(SIGNALS)}, coalesce(signal, '')), 0), 5) END AS exit FROM s),
 g AS (SELECT *, (['defer/insufficient', 'defer/insufficient', 'defer/insufficient', 'defer/insufficient', 'defer/insufficient', 'verify/insufficient', 'verify/insufficient', 'flag/invalid_value', {", ".join(f"'{p}'" for p, _ in SIGNALS.values())}, 'defer/insufficient'])[exit] AS pair,
 (['missing_model_visible_task', 'missing_tool_loop', 'tool_unavailable', 'tool_contract_failure', 'query_contract_failure', 'missing_source_attribution', 'stale_source_requires_verification', 'invalid_numeric_value', {", ".join(f"'{r}'" for _, r in SIGNALS.values())}, 'unknown_evidence_state_fail_closed'])[exit] AS reason FROM x)"""
 
 
-@query("g3_h8_runtime_gate", f"WITH {_STATES} SELECT k, pair, reason, CASE WHEN exit = 8 THEN 'f' || k END AS cited FROM g")
+@query("g3_h8_runtime_gate", f"WITH {_STATES} SELECT k, pair, reason, CASE WHEN exit = 8 THEN finding END AS cited FROM g")
 def runtime_gate(spark, d):
     return gated(states(spark, d)).select("k", "pair", "reason", "cited")
 
 
 @query(
     "h8_tool_features",
-    """SELECT o_orderkey AS k, CASE WHEN k % 23 = 0 THEN 'completeness,survey,validity,verify' WHEN k % 13 = 0 THEN 'completeness' ELSE '' END AS missing_tools, CASE WHEN k % 23 <> 0 AND k % 13 <> 0 AND k % 17 = 0 THEN 'other' ELSE '' END AS wrong_tools,
-CASE WHEN k % 23 <> 0 AND k % 11 = 0 THEN 'verify' ELSE '' END AS mismatched, CASE WHEN k % 3 < 2 AND k % 7 = 0 THEN '1' ELSE '' END AS unattributed, CASE WHEN k % 3 < 2 AND k % 9 = 0 THEN 'r0-' || k ELSE '' END AS stale FROM orders""",
+    f"""WITH {_STATES} SELECT k, array_to_string(missing_tools, ',') AS missing_tools, array_to_string(wrong_tools, ',') AS wrong_tools, array_to_string(mismatched, ',') AS mismatched,
+array_to_string(unattributed, ',') AS unattributed, array_to_string(stale, ',') AS stale FROM g""",
 )
 def features(spark, d):
     found = with_features(states(spark, d))
@@ -126,8 +144,8 @@ def features(spark, d):
 
 @query(
     "g4_gate_with_count_fallback",
-    f"""WITH {_STATES} SELECT k, CASE WHEN k % 6 = 1 THEN 'flag' WHEN signal = '{list(SIGNALS)[0]}' THEN 'reject' WHEN signal = '{list(SIGNALS)[1]}' THEN 'ground' WHEN signal = '{list(SIGNALS)[2]}' THEN 'verify' WHEN signal = '{list(SIGNALS)[3]}' THEN 'defer'
-WHEN NOT has_records AND considered = 0 AND related > 0 THEN 'verify' ELSE 'defer' END AS action, CASE WHEN k % 6 = 1 OR (signal IS NOT NULL AND signal <> 'other') THEN 'signal' WHEN NOT has_records AND considered = 0 AND related = 0 THEN 'count_fallback_no_evidence'
+    f"""WITH {_STATES} SELECT k, CASE WHEN len(o) > 0 THEN 'flag' WHEN signal = '{list(SIGNALS)[0]}' THEN 'reject' WHEN signal = '{list(SIGNALS)[1]}' THEN 'ground' WHEN signal = '{list(SIGNALS)[2]}' THEN 'verify' WHEN signal = '{list(SIGNALS)[3]}' THEN 'defer'
+WHEN NOT has_records AND considered = 0 AND related > 0 THEN 'verify' ELSE 'defer' END AS action, CASE WHEN len(o) > 0 OR (signal IS NOT NULL AND signal <> 'other') THEN 'signal' WHEN NOT has_records AND considered = 0 AND related = 0 THEN 'count_fallback_no_evidence'
 WHEN NOT has_records AND considered = 0 AND related > 0 THEN 'count_fallback_related_evidence' ELSE 'unknown_evidence_state_fail_closed' END AS reason FROM g""",
 )
 def count_fallback(spark, d):
@@ -147,18 +165,18 @@ def hybrid(model: Column, gate: Column) -> Column:
 
 @query(
     "g5_hybrid_arbitration",
-    f"""WITH {_STATES}, h AS (SELECT *, {PAIRS}[k % 5 + 1] AS model FROM g) SELECT CASE WHEN model = pair OR pair IN ('defer/insufficient', 'verify/insufficient') THEN pair ELSE 'verify/insufficient' END AS final,
+    f"""WITH {_STATES}, h AS (SELECT *, {PAIRS}[n % 5 + 1] AS model FROM g) SELECT CASE WHEN model = pair OR pair IN ('defer/insufficient', 'verify/insufficient') THEN pair ELSE 'verify/insufficient' END AS final,
 CASE WHEN model = pair THEN 'model_gate_agreement' WHEN pair IN ('defer/insufficient', 'verify/insufficient') THEN 'runtime_fail_closed_override' ELSE 'decisive_disagreement_requires_verification' END AS reason, count(*) AS n FROM h GROUP BY 1, 2""",
 )
 def arbitration(spark, d):
-    model = F.get(F.array(*map(F.lit, PAIRS)), (F.col("k") % 5).cast("int"))
+    model = F.get(F.array(*map(F.lit, PAIRS)), F.col("n") % 5)
     made = gated(states(spark, d)).select(hybrid(model, F.col("pair")).alias("h"))
     return made.groupBy(F.col("h.pair").alias("final"), F.col("h.reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     "g5_a21_four_policies",
-    f"""WITH {_STATES}, c AS (SELECT k, pair AS gate, k % 2 = 0 AS has_gate, {PAIRS}[k % 5 + 1] AS top, CASE WHEN k % 7 <> 0 THEN (k % 10) / 10.0::DOUBLE END AS gap, {PAIRS}[k % 4 + 1] AS target FROM g),
+    f"""WITH {_STATES}, c AS (SELECT k, pair AS gate, n % 2 = 0 AS has_gate, {PAIRS}[n % 5 + 1] AS top, CASE WHEN views > 0 THEN 1.0::DOUBLE * clicks / views END AS gap, {PAIRS}[purchases % 4 + 1] AS target FROM g),
 p AS (SELECT *, 'raw_candidate_top1' AS policy, top AS final, true AS trusted FROM c UNION ALL SELECT *, 'score_gap_fail_closed', CASE WHEN gap >= 0.5 THEN top ELSE 'defer/insufficient' END, coalesce(gap >= 0.5, false) FROM c
 UNION ALL SELECT *, 'evidence_boundary_override', CASE WHEN has_gate THEN gate ELSE 'defer/insufficient' END, false FROM c UNION ALL SELECT *, 'hybrid_evidence_then_score_gap', CASE WHEN has_gate THEN gate WHEN gap >= 0.5 THEN top ELSE 'defer/insufficient' END, NOT has_gate AND coalesce(gap >= 0.5, false) FROM c),
 m AS (SELECT policy, target, avg((final = target)::INT) AS acc FROM p GROUP BY 1, 2)
@@ -167,10 +185,10 @@ round(count(*) FILTER (WHERE final NOT IN ('defer/insufficient', 'verify/insuffi
 round(count(*) FILTER (WHERE final IN ('defer/insufficient', 'verify/insufficient')) / count(*), 6)::DOUBLE AS fail_closed_rate, (SELECT round(avg(acc), 6) FROM m WHERE m.policy = p.policy)::DOUBLE AS macro_accuracy FROM p GROUP BY p.policy""",
 )
 def four_policies(spark, d):
-    pairs, k = F.array(*map(F.lit, PAIRS)), F.col("k")
+    pairs, n = F.array(*map(F.lit, PAIRS)), F.col("n")
     rows = gated(states(spark, d)).select(
-        F.col("pair").alias("gate"), (k % 2 == 0).alias("has_gate"), F.get(pairs, (k % 5).cast("int")).alias("top"),
-        F.coalesce(F.when(k % 7 != 0, (k % 10) / 10.0) >= 0.5, F.lit(False)).alias("sure"), F.get(pairs, (k % 4).cast("int")).alias("target"),
+        F.col("pair").alias("gate"), (n % 2 == 0).alias("has_gate"), F.get(pairs, n % 5).alias("top"),
+        F.coalesce(F.when(F.col("views") > 0, F.col("clicks") / F.col("views")) >= 0.5, F.lit(False)).alias("sure"), F.get(pairs, F.col("purchases") % 4).alias("target"),
     )
     closed = F.lit("defer/insufficient")
     gap = F.when(F.col("sure"), F.col("top")).otherwise(closed)
