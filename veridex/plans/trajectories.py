@@ -1,6 +1,7 @@
 """Trajectories: rewards, policy rules, query completeness, failure variants, preference pairs and trust policies.
 
-The cases are made from orders: each order stands for a task with a trajectory, its fields chosen by arithmetic on the key.
+A case is a user's day: its events are the steps in the order of time, views and signups as searches, clicks and purchases as
+checks, with the arguments that their values give; the other fields come from the same events.
 """
 
 from __future__ import annotations
@@ -9,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridex.operators import trajectory
+from veridex.plans import gates
 from veridex.plans.register import registrar
+from veridex.plans.spans import first, last, some, span_sql, spans
 from veridex.sources.tables import table
 
 query, QUERIES, ORACLES = registrar()
@@ -25,29 +28,38 @@ def _texts(*values: str) -> Column:
     return F.array(*map(F.lit, values)).cast("array<string>")
 
 
-def _tasks(frame: DataFrame) -> DataFrame:
-    """Task and packet columns."""
-    k = F.col("k")
-    frame = frame.withColumn("gold_status", _pick(GOLD, k % 5))
+#: What a type of event is as a step.
+STEP_OF = {"view": "search", "signup": "search", "click": "check", "purchase": "check"}
+
+
+def _sources(one: Column, two: Column) -> Column:
+    return F.array_compact(F.array(F.when(one, "s1"), F.when(two, "s2"))).cast("array<string>")
+
+
+def _tasks(spark, d) -> DataFrame:
+    """Task and packet columns of users' days."""
+    frame = spans(spark, d, "day").withColumns({"n": F.size("e"), "high": F.array_max(F.transform("e", lambda x: x["k"])), "most": F.array_max(F.transform("e", lambda x: x["value"]))})
+    frame = frame.withColumn("gold_status", _pick(GOLD, first()["k"] % 5))
     wanted = F.when(F.col("gold_status").isin("contradicted", "invalid_value"), trajectory.REJECT).when(F.col("gold_status") == "supported", trajectory.GROUND).otherwise(trajectory.VERIFY)
+    begins = first()["event_type"]
     return frame.withColumns(
         {
-            "expected_action": F.when(k % 7 != 0, wanted),
-            "gold_sources": F.when(k % 6 < 2, _texts("s1", "s2")).when(k % 6 < 4, _texts("s1")).otherwise(_texts()),
+            "expected_action": F.when(last()["event_type"] != "error", wanted),
+            "gold_sources": _sources(some(lambda x: x["value"] > 60), some(lambda x: x["k"] > 85)),
             "required_tools": _texts("search", "check"),
             "required_fields": _texts("drug", "condition"),
-            "requires_attribution": k % 2 == 0,
-            "requires_tool": k % 3 < 2,
-            "web_zero": k % 11 == 0,
-            "allowed": F.when(k % 4 == 0, _texts(*(a for a in ACTIONS if a != trajectory.SELF))).otherwise(_texts(*ACTIONS)),
-            "calibration": F.when(k % 13 < 6, "calibrated").when(k % 13 < 9, "uncalibrated"),
-            "baseline_dominates": k % 17 == 0,
-            "regime": F.when(k % 3 == 0, "Antibody_Antigen").when(k % 3 == 1, "other"),
-            "metric_type": F.when(k % 8 == 0, "").otherwise("iptm"),
-            "metric_scope": F.when(k % 9 != 0, "interface"),
+            "requires_attribution": F.col("n") >= 3,
+            "requires_tool": some(lambda x: x["event_type"] == "purchase"),
+            "web_zero": some(lambda x: x["k"] < 8),
+            "allowed": F.when(some(lambda x: x["event_type"] == "signup"), _texts(*(a for a in ACTIONS if a != trajectory.SELF))).otherwise(_texts(*ACTIONS)),
+            "calibration": F.when(F.col("high") >= 50, "calibrated").when(F.col("high") >= 25, "uncalibrated"),
+            "baseline_dominates": F.col("most") > 120,
+            "regime": F.when(begins.isin("view", "click"), "Antibody_Antigen").when(begins == "signup", "other"),
+            "metric_type": F.when(last()["k"] < 10, "").otherwise("iptm"),
+            "metric_scope": F.when(last()["value"] >= 5, "interface"),
             "dataset_id": F.lit("d1"),
             "threshold_id": F.lit("t1"),
-            "regime_match": F.when(k % 10 == 0, F.lit(None).cast("boolean")).otherwise(k % 10 < 7),
+            "regime_match": F.when(F.col("n") > 1, F.get("e", F.lit(0))["value"] > F.get("e", F.lit(1))["value"]),
         }
     )
 
@@ -56,27 +68,36 @@ def _step(name: str, *keys: str) -> Column:
     return F.struct(F.lit(name).alias("name"), F.map_from_arrays(_texts(*keys), _texts(*("v" for _ in keys))).alias("arguments"))
 
 
+def _steps() -> Column:
+    """The day's events as steps; an event of some value names a drug, one of some k a condition."""
+
+    def one(x: Column) -> Column:
+        name = F.lit("look")
+        for kind, own in STEP_OF.items():
+            name = F.when(x["event_type"] == kind, own).otherwise(name)
+        held = F.array_compact(F.array(F.when(x["value"] >= 15, F.struct(F.lit("drug").alias("key"), x["value"].cast("string").alias("v"))), F.when(x["k"] >= 15, F.struct(F.lit("condition").alias("key"), x["k"].cast("string").alias("v")))))
+        return F.struct(name.alias("name"), F.map_from_entries(held).alias("arguments"))
+
+    return F.transform("e", one)
+
+
 def cases(spark, d) -> DataFrame:
-    """Tasks with the trajectories of some model."""
-    k = F.col("k")
-    frame = _tasks(table(spark, d, "orders").select(F.col("o_orderkey").alias("k")))
-    whole, part = ("drug", "condition"), ("drug",)
-    steps = F.when(k % 4 == 0, F.array(_step("search", *whole), _step("check", *part))).when(k % 4 == 1, F.array(_step("check", *whole), _step("search", *whole)))
-    steps = steps.when(k % 4 == 2, F.array(_step("search", *whole))).otherwise(F.array(_step("search", *part), _step("look"), _step("search", *whole), _step("check", *whole)))
-    return frame.withColumns(
+    """Tasks with the trajectories of the day."""
+    start, end = first(), last()
+    return _tasks(spark, d).withColumns(
         {
-            "steps": steps,
-            "action": _pick(ACTIONS, k % 6),
-            "status": F.when(k % 9 != 0, F.when(k % 7 < 5, F.col("gold_status")).otherwise("supported")),
-            "packet_status": F.when(k % 2 == 0, F.col("gold_status")).otherwise("unknown"),
-            "cited": F.when(k % 5 < 2, _texts("s1")).otherwise(_texts("s2", "s1")),
+            "steps": _steps(),
+            "action": _pick(ACTIONS, end["k"] % 6),
+            "status": F.when(start["value"] > 20, F.col("gold_status")).when(start["value"] > 10, "supported"),
+            "packet_status": F.when(end["value"] > 30, F.col("gold_status")).otherwise("unknown"),
+            "cited": _sources(some(lambda x: x["value"] > 30), some(lambda x: x["k"] > 70)),
         }
     )
 
 
 def ideals(spark, d) -> DataFrame:
     """The tasks that name an action, with the trajectory that meets them."""
-    frame = _tasks(table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))).filter("expected_action IS NOT NULL")
+    frame = _tasks(spark, d).filter("expected_action IS NOT NULL")
     whole = F.array(_step("search", "drug", "condition"), _step("check", "drug", "condition"))
     sources = F.when(F.col("requires_attribution") & (F.size("gold_sources") == 0), _texts("s1")).otherwise(F.col("gold_sources"))
     frame = frame.withColumns({"gold_sources": sources, "steps": whole, "action": F.col("expected_action"), "status": F.col("gold_status"), "packet_status": F.col("gold_status")})
@@ -87,14 +108,17 @@ def _sql_pick(values: list[str], at: str) -> str:
     return f"[{', '.join(repr(v) for v in values)}][{at} + 1]"
 
 
-_SQL_TASKS = f"""SELECT *, CASE WHEN k % 7 <> 0 THEN CASE WHEN gold_status IN ('contradicted', 'invalid_value') THEN '{trajectory.REJECT}' WHEN gold_status = 'supported' THEN '{trajectory.GROUND}' ELSE '{trajectory.VERIFY}' END END AS expected_action,
-CASE WHEN k % 6 < 2 THEN ['s1', 's2'] WHEN k % 6 < 4 THEN ['s1'] ELSE []::VARCHAR[] END AS gold_sources, k % 2 = 0 AS requires_attribution, k % 3 < 2 AS requires_tool, k % 11 = 0 AS web_zero,
-CASE WHEN k % 4 = 0 THEN {[a for a in ACTIONS if a != trajectory.SELF]} ELSE {ACTIONS} END AS allowed, CASE WHEN k % 13 < 6 THEN 'calibrated' WHEN k % 13 < 9 THEN 'uncalibrated' END AS calibration, k % 17 = 0 AS baseline_dominates,
-CASE k % 3 WHEN 0 THEN 'Antibody_Antigen' WHEN 1 THEN 'other' END AS regime, k % 8 = 0 OR k % 9 = 0 AS unlabelled, CASE WHEN k % 10 = 0 THEN false ELSE k % 10 < 7 END AS regime_match
-FROM (SELECT o_orderkey AS k, {_sql_pick(GOLD, "o_orderkey % 5")} AS gold_status FROM orders)"""
-_SQL_CASES = f"""SELECT *, CASE k % 4 WHEN 0 THEN ['search', 'check'] WHEN 1 THEN ['check', 'search'] WHEN 2 THEN ['search'] ELSE ['search', 'look', 'search', 'check'] END AS tools,
-CASE k % 4 WHEN 0 THEN [2, 1] WHEN 1 THEN [2, 2] WHEN 2 THEN [2] ELSE [1, 0, 2, 2] END AS filled, {_sql_pick(ACTIONS, "k % 6")} AS action,
-coalesce(CASE WHEN k % 9 <> 0 THEN CASE WHEN k % 7 < 5 THEN gold_status ELSE 'supported' END END, CASE WHEN k % 2 = 0 THEN gold_status ELSE 'unknown' END) AS said, CASE WHEN k % 5 < 2 THEN ['s1'] ELSE ['s2', 's1'] END AS cited FROM ({_SQL_TASKS})"""
+def _sql_sources(one: str, two: str) -> str:
+    return f"list_filter([CASE WHEN {one} THEN 's1' END, CASE WHEN {two} THEN 's2' END], lambda x: x IS NOT NULL)"
+
+
+_SQL_TASKS = f"""SELECT *, CASE WHEN types[-1] <> 'error' THEN CASE WHEN gold_status IN ('contradicted', 'invalid_value') THEN '{trajectory.REJECT}' WHEN gold_status = 'supported' THEN '{trajectory.GROUND}' ELSE '{trajectory.VERIFY}' END END AS expected_action,
+{_sql_sources("list_max(vals) > 60", "list_max(ks) > 85")} AS gold_sources, len(types) >= 3 AS requires_attribution, list_contains(types, 'purchase') AS requires_tool, list_min(ks) < 8 AS web_zero,
+CASE WHEN list_contains(types, 'signup') THEN {[a for a in ACTIONS if a != trajectory.SELF]} ELSE {ACTIONS} END AS allowed, CASE WHEN list_max(ks) >= 50 THEN 'calibrated' WHEN list_max(ks) >= 25 THEN 'uncalibrated' END AS calibration,
+list_max(vals) > 120 AS baseline_dominates, CASE WHEN types[1] IN ('view', 'click') THEN 'Antibody_Antigen' WHEN types[1] = 'signup' THEN 'other' END AS regime, ks[-1] < 10 OR NOT vals[-1] >= 5 AS unlabelled, coalesce(vals[1] > vals[2], false) AS regime_match
+FROM (SELECT *, {_sql_pick(GOLD, "ks[1] % 5")} AS gold_status FROM ({span_sql("day")}))"""
+_SQL_CASES = f"""SELECT *, list_transform(types, lambda t: coalesce(MAP {STEP_OF}[t], 'look')) AS tools, list_transform(types, lambda t, i: (vals[i] >= 15)::INT + (ks[i] >= 15)::INT) AS filled, {_sql_pick(ACTIONS, "ks[-1] % 6")} AS action,
+coalesce(CASE WHEN vals[1] > 20 THEN gold_status WHEN vals[1] > 10 THEN 'supported' END, CASE WHEN vals[-1] > 30 THEN gold_status ELSE 'unknown' END) AS said, {_sql_sources("list_max(vals) > 30", "list_max(ks) > 70")} AS cited FROM ({_SQL_TASKS})"""
 
 
 def _sql_scored(source: str) -> str:
@@ -186,7 +210,7 @@ def preferences(spark, d):
 def packets(spark, d) -> DataFrame:
     """Specialists' outputs with their calibration, made from customers."""
     k = F.col("k")
-    frame = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("x"))
+    frame = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("x"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
     return frame.withColumns(
         {
             "regime": F.when(k % 9 == 0, "other").otherwise(trajectory.REGIME),
@@ -211,7 +235,7 @@ def packets(spark, d) -> DataFrame:
 
 _SQL_PACKETS = """SELECT c_custkey AS k, CASE WHEN k % 19 <> 0 THEN c_acctbal / 10000 END AS m, list_filter([CASE WHEN k % 9 = 0 THEN 'interaction_regime_not_antibody_antigen' END, CASE WHEN k % 23 = 0 THEN 'missing_metric_type' END, CASE WHEN k % 19 = 0 THEN 'missing_metric_value' END,
 CASE WHEN k % 7 = 0 THEN 'calibration_status_not_calibrated' END, CASE WHEN k % 29 = 0 THEN 'missing_calibration_dataset_id' END, CASE WHEN k % 11 = 0 THEN 'calibration_regime_not_antibody_antigen' END, CASE WHEN k % 13 = 0 THEN 'calibration_regime_mismatch' END,
-CASE WHEN k % 17 = 0 THEN 'rcps_threshold_not_certified' END, CASE WHEN m < 0.3 THEN 'specialist_metric_below_threshold' END, CASE WHEN k % 5 = 0 THEN 'cheap_baseline_dominates' END], lambda x: x IS NOT NULL) AS issues, c_acctbal > 5000 AS success FROM customer"""
+CASE WHEN k % 17 = 0 THEN 'rcps_threshold_not_certified' END, CASE WHEN m < 0.3 THEN 'specialist_metric_below_threshold' END, CASE WHEN k % 5 = 0 THEN 'cheap_baseline_dominates' END], lambda x: x IS NOT NULL) AS issues, c_acctbal > 5000 AS success, c_nationkey AS nation, c_mktsegment AS segment FROM customer"""
 _SQL_POLICIES = f"""p AS ({_SQL_PACKETS}), q AS (SELECT *, 'trust_all' AS policy, '{trajectory.TRUST}' AS action FROM p UNION ALL SELECT *, 'general_gate', CASE WHEN m >= 0.2 THEN '{trajectory.TRUST}' ELSE '{trajectory.DEFER}' END FROM p
 UNION ALL SELECT *, 'regime_specific_gate', CASE WHEN len(issues) = 0 THEN '{trajectory.TRUST}' ELSE '{trajectory.DEFER}' END FROM p
 UNION ALL SELECT *, 'fail_closed', CASE WHEN len(issues) = 0 THEN '{trajectory.TRUST}' WHEN k % 10 < 7 AND k % 5 = 0 THEN '{trajectory.BASELINE}' WHEN k % 4 < 2 THEN '{trajectory.VERIFY}' ELSE '{trajectory.DEFER}' END FROM p)"""
@@ -230,32 +254,45 @@ def policies(spark, d):
 
 @query(
     "e4_twelve_rewards_by_policy",
-    f"""WITH {_SQL_POLICIES}, s AS (SELECT policy, action = '{trajectory.TRUST}' AS trusted, success, len(issues) AS i, k % 7 = 0 AS uncal, k % 5 = 0 AS dom, k % 9 <> 0 AS own, k % 23 = 0 OR k % 29 = 0 AS unlabelled, k % 13 = 0 AS off,
+    f"""WITH {_SQL_POLICIES}, s AS (SELECT *, action = '{trajectory.TRUST}' AS trusted, len(issues) AS i, k % 7 = 0 AS uncal, k % 5 = 0 AS dom, k % 9 <> 0 AS own, k % 23 = 0 OR k % 29 = 0 AS unlabelled, k % 13 = 0 AS off,
 action = CASE WHEN i = 0 AND success THEN '{trajectory.TRUST}' WHEN k % 10 < 7 AND k % 5 = 0 THEN '{trajectory.BASELINE}' WHEN k % 4 < 2 THEN '{trajectory.VERIFY}' ELSE '{trajectory.DEFER}' END AS exact FROM q),
-r AS (SELECT policy, (NOT (trusted AND (dom OR uncal OR (own AND (unlabelled OR off)))))::INT AS compliant, (NOT trusted OR success)::INT AS safe, (NOT trusted OR i = 0)::INT AS gated, exact::INT AS exact FROM s)
-SELECT policy, count(*) AS n, count(*) FILTER (WHERE compliant + safe + gated + exact = 4) AS exact_pass, round(sum(8 + compliant + safe + gated + exact) / 12.0 / count(*), 6)::DOUBLE AS mean_score FROM r GROUP BY 1""",
+r AS (SELECT policy, [NOT (nation = 3 AND action = '{trajectory.BASELINE}'), nation <> 5, nation <> 7, segment <> 'FURNITURE' OR nation <> 9, exact, NOT (trusted AND (dom OR uncal OR (own AND (unlabelled OR off)))),
+nation <> 11 OR m IS NULL, nation <> 13, nation <> 15, NOT trusted OR success, NOT trusted OR i = 0, trusted OR nation <> 17] AS earned FROM s), t AS (SELECT policy, list_transform(earned, lambda x: x::INT) AS e FROM r)
+SELECT policy, count(*) AS n, count(*) FILTER (WHERE list_sum(e) = 12) AS exact_pass, round(sum(list_sum(e)) / 12.0 / count(*), 6)::DOUBLE AS mean_score, array_to_string([{", ".join(f"sum(e[{i}])::BIGINT" for i in range(1, 13))}], ',') AS earned FROM t GROUP BY 1""",
 )
 def twelve(spark, d):
-    made = trajectory.by_policy(packets(spark, d))
+    """Twelve rewards of each policy's trajectories; customers of some nations copy, cite or say something wrong."""
+    made, nation = trajectory.by_policy(packets(spark, d)), F.col("nation")
     right = F.when((F.size("issues") == 0) & (F.col("hidden_label") == "interface_success"), trajectory.TRUST).when(F.col("baseline_available") & F.col("baseline_dominates"), trajectory.BASELINE)
     right = right.when(F.col("verification_available"), trajectory.VERIFY).otherwise(trajectory.DEFER)
-    made = made.withColumns({f"copied_{c}": F.col(c) for c in ("metric_type", "metric_value", "metric_scope", "calibration", "threshold_id", "dataset_id", "regime_match")})
+    made = made.withColumns({f"copied_{c}": F.col(c) for c in ("metric_type", "metric_scope", "calibration", "dataset_id", "regime_match")})
+    made = made.withColumn("copied_metric_value", F.col("metric_value") + F.when(nation == 11, 1).otherwise(0)).withColumn("copied_threshold_id", F.when(nation == 13, "t2").otherwise(F.col("threshold_id")))
     none = _texts()
     made = made.withColumns(
         {
-            "expected_action": right, "gold_status": F.lit("unknown"), "gold_sources": none, "required_tools": none, "required_fields": none, "requires_attribution": F.lit(False), "requires_tool": F.lit(True), "web_zero": F.lit(False),
-            "allowed": _texts(*ACTIONS, trajectory.DEFER), "steps": F.array(_step("predict")), "status": F.lit("unknown"), "packet_status": F.lit("unknown"), "cited": none, "rationale": F.col("fail_closed_reason"),
+            "expected_action": right, "gold_status": F.lit("unknown"), "gold_sources": F.when(F.col("segment") == "FURNITURE", _texts("s1")).otherwise(none), "required_tools": _texts("predict"), "required_fields": none,
+            "requires_attribution": F.lit(False), "requires_tool": F.lit(True), "web_zero": F.lit(False),
+            "allowed": F.when(nation == 3, _texts(*(a for a in ACTIONS if a != trajectory.BASELINE), trajectory.DEFER)).otherwise(_texts(*ACTIONS, trajectory.DEFER)),
+            "steps": F.when(nation == 5, F.array(_step("look"))).otherwise(F.array(_step("predict"))), "status": F.when(nation == 7, "supported").otherwise("unknown"), "packet_status": F.lit("unknown"),
+            "cited": F.when(nation == 9, none).otherwise(_texts("s1")), "rationale": F.when(nation == 15, F.concat(F.lit("It is an "), F.upper("hidden_label"))).otherwise(F.col("fail_closed_reason")),
+            "fail_closed_reason": F.when(nation == 17, "").otherwise(F.col("fail_closed_reason")),
         }
     )
     scored = trajectory.evaluate(made, trajectory.regime_rewards())
     total = F.sum(F.round(F.col("score") * 12).cast("bigint"))
-    return scored.groupBy("policy").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("passed"), 1)).alias("exact_pass"), F.round(total / 12.0 / F.count(F.lit(1)), 6).alias("mean_score"))
+    earned = F.concat_ws(",", *(F.sum(c).cast("string") for c in scored.columns if c.startswith("reward_")))
+    return scored.groupBy("policy").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("passed"), 1)).alias("exact_pass"), F.round(total / 12.0 / F.count(F.lit(1)), 6).alias("mean_score"), earned.alias("earned")
+    )
 
 
-_SQL_GATE = f"CASE WHEN k % 10 = 0 THEN '{trajectory.VERIFY}' ELSE expected_action END", "CASE WHEN k % 10 = 0 THEN 'insufficient' ELSE gold_status END"
-_SQL_FULL = f"{_SQL_GATE[0]} AS action, {_SQL_GATE[1]} AS said, CASE WHEN k % 3 = 0 THEN []::VARCHAR[] ELSE gold_sources END AS cited"
+#: The gate's pair of a day's week as a terminal action and a status.
+_GATED = {"ground": trajectory.GROUND, "reject": trajectory.REJECT, "flag": trajectory.REJECT, "verify": trajectory.VERIFY, "defer": trajectory.DEFER}
+_SQL_GATE = f"MAP {_GATED}[split_part(pair, '/', 1)]", "split_part(pair, '/', 2)"
+_SQL_FULL = f"{_SQL_GATE[0]} AS action, {_SQL_GATE[1]} AS said, CASE WHEN split_part(pair, '/', 1) IN ('ground', 'flag') THEN gold_sources ELSE []::VARCHAR[] END AS cited"
+_SQL_GATED_IDEALS = f"SELECT i.*, w.pair FROM ({_SQL_IDEALS}) i JOIN (SELECT user_id AS u, start AS s, pair FROM g) w ON i.user_id = w.u AND CAST(date_trunc('week', i.start) AS DATE) = w.s"
 _SQL_ARBITRATED = " UNION ALL BY NAME ".join(
-    f"SELECT * REPLACE ({changed}), '{name}' AS policy FROM ({_SQL_IDEALS})"
+    f"SELECT * REPLACE ({changed}), '{name}' AS policy FROM i"
     for name, changed in [
         ("oracle_full", "action AS action"),
         ("self_answer", f"[]::VARCHAR[] AS tools, []::INT[] AS filled, '{trajectory.SELF}' AS action, []::VARCHAR[] AS cited, 'unknown' AS said"),
@@ -269,15 +306,17 @@ _SQL_ARBITRATED = " UNION ALL BY NAME ".join(
 
 @query(
     "e12_full_trajectory_arbitration",
-    f"""WITH s AS ({_sql_scored(_SQL_ARBITRATED)}) SELECT policy, CASE WHEN k % 5 = 0 THEN 'heldout' ELSE 'train' END AS split, count(*) AS n, count(*) FILTER (WHERE len(violations) = 0) AS passed, count(*) FILTER (WHERE action = '{trajectory.GROUND}' AND expected_action <> '{trajectory.GROUND}') AS unsafe_ground,
-round(sum({_EARNED} + (NOT list_contains(violations, {_SEVENTH}))::INT) / 7.0 / count(*), 6)::DOUBLE AS mean_score FROM s GROUP BY 1, 2""",
+    f"""WITH {gates._STATES}, i AS ({_SQL_GATED_IDEALS}), scored AS ({_sql_scored(_SQL_ARBITRATED)}) SELECT policy, CASE WHEN user_id % 5 = 0 THEN 'heldout' ELSE 'train' END AS split, count(*) AS n, count(*) FILTER (WHERE len(violations) = 0) AS passed, count(*) FILTER (WHERE action = '{trajectory.GROUND}' AND expected_action <> '{trajectory.GROUND}') AS unsafe_ground,
+round(sum({_EARNED} + (NOT list_contains(violations, {_SEVENTH}))::INT) / 7.0 / count(*), 6)::DOUBLE AS mean_score FROM scored GROUP BY 1, 2""",
 )
 def arbitration(spark, d):
-    """Six policies over each case: the ideal, three shortcuts, the runtime gate, and the gate over a collapsed model."""
-    ideal, k = ideals(spark, d), F.col("k")
+    """Six policies over each case: the ideal, three shortcuts, the runtime gate of its week, and that gate over a collapsed model."""
+    week = gates.gated(gates.states(spark, d)).select("user_id", F.col("start").alias("week"), "pair")
+    ideal = ideals(spark, d).withColumn("week", F.date_trunc("week", "start").cast("date")).join(week, ["user_id", "week"])
     none, steps_type = _texts(), ideal.schema["steps"].dataType
-    gate = {"action": F.when(k % 10 == 0, trajectory.VERIFY).otherwise(F.col("expected_action")), "status": F.when(k % 10 == 0, "insufficient").otherwise(F.col("gold_status"))}
-    full = gate | {"cited": F.when(k % 3 == 0, none).otherwise(F.col("gold_sources"))}
+    said, table_ = F.split_part("pair", F.lit("/"), F.lit(1)), F.create_map(*(F.lit(x) for pair in _GATED.items() for x in pair))
+    gate = {"action": F.try_element_at(table_, said), "status": F.split_part("pair", F.lit("/"), F.lit(2))}
+    full = gate | {"cited": F.when(said.isin("ground", "flag"), F.col("gold_sources")).otherwise(none)}
     policies = {
         "oracle_full": {},
         "self_answer": {"steps": F.array().cast(steps_type), "action": F.lit(trajectory.SELF), "status": F.lit("unknown"), "cited": none},
@@ -291,7 +330,7 @@ def arbitration(spark, d):
     rows = ideal.withColumn("_p", F.explode(made)).select(*(c for c in ideal.columns if c not in changed), "_p.*")
     scored = trajectory.evaluate_with_query(rows)
     unsafe = (F.col("action") == trajectory.GROUND) & (F.col("expected_action") != trajectory.GROUND)
-    return scored.groupBy("policy", F.when(k % 5 == 0, "heldout").otherwise("train").alias("split")).agg(
+    return scored.groupBy("policy", F.when(F.col("user_id") % 5 == 0, "heldout").otherwise("train").alias("split")).agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("passed"), 1)).alias("passed"), F.count(F.when(unsafe, 1)).alias("unsafe_ground"),
         F.round(F.sum(F.round(F.col("score") * 7)) / 7.0 / F.count(F.lit(1)), 6).alias("mean_score"),
     )
