@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,10 +46,27 @@ def required_name(value: Column, aliases: dict[str, str], what: str) -> Column:
     return F.coalesce(canonical_name(value, aliases), unknown.cast("string"))
 
 
+def with_payload(frame: DataFrame, raw: str, name: str = "p") -> DataFrame:
+    """Rows whose text holds JSON, with it; steps apart, and a verdict that stays above them, so that no text is searched twice."""
+    found = frame.withColumn("_braced", F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit("")))
+    held = F.try_parse_json("_braced").isNotNull() & (F.monotonically_increasing_id() >= 0)
+    return found.withColumn("_held", held).filter("_held").withColumnRenamed("_braced", name).drop("_held")
+
+
+def fields(payload: Column, *names: str) -> Column:
+    """A struct of an object's fields as texts, objects and lists as their JSON, in one pass over it."""
+    return F.from_json(payload, ", ".join(f"`{name}` string" for name in names))
+
+
 def tool_steps(payload: Column, aliases: dict[str, list[str]]) -> Column:
     """Names of all calls in order, of tool_calls or else called: texts or objects with a name or tool, aliases expanded."""
-    raw = F.coalesce(F.get_json_object(payload, "$.tool_calls"), F.get_json_object(payload, "$.called"))
-    names = F.transform(F.from_json(raw, "array<string>"), lambda c: F.trim(F.coalesce(F.get_json_object(c, "$.name"), F.get_json_object(c, "$.tool"), c)))
+    held = fields(payload, "tool_calls", "called")
+
+    def name(call: Column) -> Column:
+        own = F.when(F.startswith(call, F.lit("{")), fields(call, "name", "tool"))
+        return F.trim(F.coalesce(own["name"], own["tool"], call))
+
+    names = F.transform(F.from_json(F.coalesce(held["tool_calls"], held["called"]), "array<string>"), name)
     table = F.create_map(*(x for name, many in sorted(aliases.items()) for x in (F.lit(name), F.array(*map(F.lit, many)))))
     expanded = F.flatten(F.transform(names, lambda n: F.coalesce(F.try_element_at(table, n), F.array(n))))
     return F.coalesce(expanded, F.array().cast("array<string>"))
