@@ -5,7 +5,7 @@ The states are made from orders: each stands for the tool results of one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridex.functions import decide
@@ -217,43 +217,26 @@ def four_policies(spark, d):
     )
 
 
-@query(
-    "g11_failure_buckets",
-    """WITH r AS (SELECT o_orderkey AS k, ['flag', 'ground', 'reject', 'defer'][k % 4 + 1] AS class, ['flag', 'ground', 'defer', 'verify', 'reject'][k % 5 + 1] AS pred, CASE k % 3 WHEN 0 THEN ['missing_required_attribution'] WHEN 1 THEN ['missing_required_attribution', 'terminal_action_mismatch'] ELSE ['evidence_status_mismatch'][: k % 2] END AS v FROM orders)
-SELECT CASE WHEN class = 'flag' AND pred = 'flag' AND v = ['missing_required_attribution'] THEN 'prompt_schema_flag_needs_nct' WHEN class = 'ground' AND pred IN ('defer', 'verify') THEN 'ground_efficacy_record_not_recognized' WHEN class = 'reject' AND pred = 'ground' THEN 'mixed_endpoint_reject_overridden_by_ground'
-WHEN list_contains(v, 'missing_required_attribution') THEN 'attribution_error' WHEN list_contains(v, 'evidence_status_mismatch') OR list_contains(v, 'terminal_action_mismatch') THEN 'action_or_evidence_status_error' ELSE 'other_native_failure' END AS bucket, count(*) AS n FROM r GROUP BY 1""",
-)
-def buckets(spark, d):
-    k = F.col("o_orderkey")
-    lone, both, status = (F.array(*map(F.lit, x)) for x in (["missing_required_attribution"], ["missing_required_attribution", "terminal_action_mismatch"], ["evidence_status_mismatch"]))
-    held = F.when(k % 3 == 0, lone).when(k % 3 == 1, both).otherwise(F.slice(status, F.lit(1), (k % 2).cast("int")))
-    rows = table(spark, d, "orders").select(
-        F.get(F.array(*map(F.lit, ["flag", "ground", "reject", "defer"])), (k % 4).cast("int")).alias("class"), F.get(F.array(*map(F.lit, ["flag", "ground", "defer", "verify", "reject"])), (k % 5).cast("int")).alias("pred"), held.alias("v")
-    )
-    has = lambda name: F.array_contains("v", name)
-    cases = [
-        ((F.col("class") == "flag") & (F.col("pred") == "flag") & has("missing_required_attribution") & (F.size(F.array_distinct("v")) == 1), "prompt_schema_flag_needs_nct"),
-        ((F.col("class") == "ground") & F.col("pred").isin("defer", "verify"), "ground_efficacy_record_not_recognized"),
-        ((F.col("class") == "reject") & (F.col("pred") == "ground"), "mixed_endpoint_reject_overridden_by_ground"),
-        (has("missing_required_attribution"), "attribution_error"),
-        (has("evidence_status_mismatch") | has("terminal_action_mismatch"), "action_or_evidence_status_error"),
-    ]
-    return rows.groupBy(decide.first_match(cases, "other_native_failure").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(
     "g12_field_rank_patterns",
-    """SELECT CASE WHEN k % 6 = 0 THEN 'pair_top1' WHEN a IS NULL OR s IS NULL THEN 'field_not_retained' WHEN a = 1 AND s = 1 THEN 'joint_pair_representation_failure' WHEN a = 1 THEN 'evidence_status_field_failure' WHEN s = 1 THEN 'action_field_failure' ELSE 'both_field_failure' END AS pattern, count(*) AS n
-FROM (SELECT o_orderkey AS k, nullif(o_orderkey % 4, 0) AS a, nullif(o_orderkey % 5, 0) AS s FROM orders) GROUP BY 1""",
+    f"""WITH e AS ({span_sql("week")}), t AS (SELECT k, unnest(types) AS type, unnest(vals) AS value FROM e), c AS (SELECT k, type, count(*) AS n, round(sum(value), 6) AS total FROM t GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, type) AS a, row_number() OVER (PARTITION BY k ORDER BY total DESC, type) AS s, row_number() OVER (PARTITION BY k ORDER BY round(total * n, 4) DESC, type) AS pair FROM c),
+x AS (SELECT k, max(a) FILTER (WHERE type = 'click' AND a <= 3) AS a, max(s) FILTER (WHERE type = 'click' AND s <= 3) AS s, max(pair) FILTER (WHERE type = 'click') AS pair FROM r GROUP BY 1)
+SELECT CASE WHEN pair = 1 THEN 'pair_top1' WHEN a IS NULL OR s IS NULL THEN 'field_not_retained' WHEN a = 1 AND s = 1 THEN 'joint_pair_representation_failure' WHEN a = 1 THEN 'evidence_status_field_failure' WHEN s = 1 THEN 'action_field_failure' ELSE 'both_field_failure' END AS pattern, count(*) AS n FROM x GROUP BY 1""",
 )
 def patterns(spark, d):
-    k = F.col("o_orderkey")
-    action, status = F.nullif(k % 4, F.lit(0)), F.nullif(k % 5, F.lit(0))
+    """Where the wanted type stands by number, by total value and by both in each user's week; three of each are retained."""
+    counted = spans(spark, d, "week").select(F.col("k").alias("span"), F.explode("e").alias("x"))
+    totals = counted.groupBy("span", F.col("x.event_type").alias("type")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x.value"), 6).alias("total"))
+    place = lambda value: F.row_number().over(Window.partitionBy("span").orderBy(value.desc(), "type"))
+    ranked = totals.select("span", "type", place(F.col("n")).alias("a"), place(F.col("total")).alias("s"), place(F.round(F.col("total") * F.col("n"), 4)).alias("pair"))
+    mine = F.col("type") == "click"
+    rows = ranked.groupBy("span").agg(F.max(F.when(mine & (F.col("a") <= 3), F.col("a"))).alias("a"), F.max(F.when(mine & (F.col("s") <= 3), F.col("s"))).alias("s"), F.max(F.when(mine, F.col("pair"))).alias("pair"))
     cases = [
-        (k % 6 == 0, "pair_top1"), (action.isNull() | status.isNull(), "field_not_retained"), ((action == 1) & (status == 1), "joint_pair_representation_failure"),
-        (action == 1, "evidence_status_field_failure"), (status == 1, "action_field_failure"),
+        (F.col("pair") == 1, "pair_top1"), (F.col("a").isNull() | F.col("s").isNull(), "field_not_retained"), ((F.col("a") == 1) & (F.col("s") == 1), "joint_pair_representation_failure"),
+        (F.col("a") == 1, "evidence_status_field_failure"), (F.col("s") == 1, "action_field_failure"),
     ]
-    return table(spark, d, "orders").groupBy(decide.first_match(cases, "both_field_failure").alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(decide.first_match(cases, "both_field_failure").alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -9,6 +9,7 @@ from veridex.functions import similarity
 from veridex.functions import text as tx
 from veridex.operators import joins, ranges, rank, select, trajectory, vectors
 from veridex.plans.register import registrar
+from veridex.plans.spans import first, last, span_sql, spans
 from veridex.sources.tables import table
 
 query, QUERIES, ORACLES = registrar()
@@ -196,14 +197,15 @@ def two_level(spark, d):
 
 @query(
     "w17_rank_on_projected_key",
-    """WITH c AS (SELECT o_orderkey AS k, unnest(range(6)) AS pos FROM orders) SELECT k, min(pos + 1) FILTER (WHERE (k + pos) % 4 = k % 3 AND (k * pos) % 2 = 0) AS first_match FROM c GROUP BY 1""",
+    f"""WITH e AS ({span_sql("week")}), c AS (SELECT k, types, vals, ks, unnest(range(1, len(types) + 1)) AS pos FROM e)
+SELECT k, min(pos) FILTER (WHERE types[pos] = types[-1] AND (ks[pos] >= 50) = (vals[1] > 20)) AS first_match FROM c GROUP BY 1""",
 )
 def projected_rank(spark, d):
-    """The place of the first candidate whose action and status match, whatever it cites; null if none does."""
-    k = F.col("k")
-    made = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.struct(((k + i) % 4).alias("action"), ((k * i) % 2).alias("status"), F.array(i).alias("cited")))
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("k")).withColumn("candidates", made)
-    matches = F.transform("candidates", lambda c: (c["action"] == k % 3) & (c["status"] == 0))
+    """The place of the first event of a user's week whose type is the last one's and whose status is the first one's,
+    whatever else it holds; null if none is."""
+    rows = spans(spark, d, "week").withColumn("wanted", F.struct(last()["event_type"].alias("action"), (first()["value"] > 20).alias("status")))
+    candidates = F.transform("e", lambda x: F.struct(x["event_type"].alias("action"), (x["k"] >= 50).alias("status"), F.array(x["event_id"]).alias("cited")))
+    matches = F.transform(candidates, lambda c: F.struct(c["action"].alias("action"), c["status"].alias("status")) == F.col("wanted"))
     return rows.select("k", F.nullif(F.array_position(matches, True), F.lit(0)).cast("bigint").alias("first_match"))
 
 
@@ -298,13 +300,15 @@ def removed_keys(spark, d):
     return rows.select("s_suppkey", F.to_json(select.without_keys(rows.schema["record"].dataType, F.col("record"), {"host"})).alias("record"))
 
 
-@query("p15_strict_types", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'boolean' WHEN 1 THEN 'integer' WHEN 2 THEN 'float' ELSE 'other' END AS kind FROM events")
+@query("p15_strict_types", "SELECT event_id, CASE event_type WHEN 'click' THEN 'boolean' WHEN 'view' THEN 'integer' WHEN 'purchase' THEN 'float' ELSE 'other' END AS kind FROM events")
 def strict_types(spark, d):
-    """Whether a value read from JSON is a boolean or an integer; 1 isn't true, and true isn't 1."""
-    m = F.col("event_id") % 4
-    raw = F.when(m == 0, "true").when(m == 1, "1").when(m == 2, "1.5").otherwise('"1"')
-    kind = F.schema_of_variant(F.parse_json(raw))
-    named = F.when(kind == "BOOLEAN", "boolean").when(kind == "BIGINT", "integer").when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), "float").otherwise("other")
+    """Whether a value read from JSON is a boolean or an integer; 1 isn't true, and true isn't 1.  The JSON holds a test of
+    the event's k, the k, its value with two places, the k as a text, or the whole of its own JSON."""
+    k, kind = F.get_json_object("props", "$.k"), F.col("event_type")
+    raw = F.when(kind == "click", (k.cast("int") > 50).cast("string")).when(kind == "view", k).when(kind == "purchase", F.format_string("%.2f", F.col("value") + 0.001))
+    raw = raw.when(kind == "signup", F.concat(F.lit('"'), k, F.lit('"'))).otherwise(F.col("props"))
+    found = F.schema_of_variant(F.parse_json(raw))
+    named = F.when(found == "BOOLEAN", "boolean").when(found == "BIGINT", "integer").when(found.startswith("DECIMAL") | (found == "DOUBLE"), "float").otherwise("other")
     return table(spark, d, "events").select("event_id", named.alias("kind"))
 
 
@@ -345,14 +349,19 @@ def equal_sets(spark, d):
     return missing.agg((F.count(F.lit(1)) == 0).alias("equal_sets"))
 
 
-@query("u6_map_keys", "SELECT o_orderkey, o_orderkey % 3 <> 0 AS has_all, o_orderkey % 3 = 1 AS exact FROM orders")
+@query(
+    "u6_map_keys",
+    f"""WITH e AS ({span_sql("day")}), m AS (SELECT k, list_distinct(types) AS held FROM e)
+SELECT k, list_contains(held, 'view') AND list_contains(held, 'click') AS has_all, list_contains(held, 'view') AND list_contains(held, 'click') AND len(held) = 2 AS exact FROM m""",
+)
 def map_keys(spark, d):
-    k = F.col("o_orderkey")
-    full = F.create_map(F.lit("drug"), k, F.lit("condition"), k)
-    held = F.when(k % 3 == 0, F.create_map(F.lit("drug"), k)).when(k % 3 == 1, full).otherwise(F.map_concat(full, F.create_map(F.lit("other"), k)))
-    wanted, keys = F.array(F.lit("drug"), F.lit("condition")), F.map_keys(held)
+    """Whether the map of a day's counts by type has the two wanted keys, and no other."""
+    rows = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy("user_id", "day").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("held"))
+    wanted, keys = F.array(F.lit("view"), F.lit("click")), F.map_keys("held")
     has_all = F.size(F.array_except(wanted, keys)) == 0
-    return table(spark, d, "orders").select("o_orderkey", has_all.alias("has_all"), (has_all & (F.size(F.array_except(keys, wanted)) == 0)).alias("exact"))
+    name = F.concat_ws("/", F.col("user_id").cast("string"), F.col("day").cast("string"))
+    return counts.select(name.alias("k"), has_all.alias("has_all"), (has_all & (F.size(F.array_except(keys, wanted)) == 0)).alias("exact"))
 
 
 @query("f4_vague_names", f"SELECT p_partkey, regexp_matches(x, '{tx.VAGUE}') AS vague FROM (SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN ' and vehicle' WHEN 1 THEN ' Placebo' WHEN 2 THEN ' 5mg' ELSE '+x' END AS x FROM part)")
@@ -386,12 +395,18 @@ def dissimilar(spark, d):
     return scored.groupBy("p_brand").agg(F.min(F.struct("ratio", "form")).alias("m")).select("p_brand", F.col("m.form").alias("form"), F.col("m.ratio").alias("ratio"))
 
 
-@query("f16_f17_prefixes_and_paths", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE lower(right('0000' || s_suppkey, 4)) END AS short_id, s_suppkey % 4 < 3 AS absolute FROM supplier")
+@query(
+    "f16_f17_prefixes_and_paths",
+    """WITH x AS (SELECT page_id, url, 'PDB_0000' || CASE WHEN page_id % 3 = 0 THEN 'x' ELSE '' END || right(md5(url), 4) AS name, regexp_extract(url, '^[a-z]+://[^/]+(/[^?]*)', 1) AS path FROM pages)
+SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN right(md5(url), 4) END AS short_id, path LIKE '/%' AS absolute, false AS url_absolute FROM x""",
+)
 def prefixes(spark, d):
-    k = F.col("s_suppkey")
-    name = F.concat(F.when(k % 3 == 0, "pdb_9999").otherwise("PDB_0000"), F.lpad(k.cast("string"), 4, "0"))
-    path = F.when(k % 4 == 0, " /data/x").when(k % 4 == 1, "~/x").when(k % 4 == 2, "C:\\x").otherwise("data/x")
-    return table(spark, d, "supplier").select("s_suppkey", tx.short_id(name).alias("short_id"), tx.absolute_path(path).alias("absolute"))
+    """Short ids from names made of digests of pages' addresses, some with a letter too many; paths of the addresses, and
+    the addresses themselves, which are no paths."""
+    more = F.when(F.col("page_id") % 3 == 0, "x").otherwise("")
+    name = F.concat(F.lit("PDB_0000"), more, F.right(F.md5("url"), F.lit(4)))
+    path = F.regexp_extract("url", "^[a-z]+://[^/]+(/[^?]*)", 1)
+    return table(spark, d, "pages").select("page_id", tx.short_id(name).alias("short_id"), tx.absolute_path(path).alias("absolute"), tx.absolute_path(F.col("url")).alias("url_absolute"))
 
 
 @query("m2_m6_unit_vectors", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 5) AS norm, true AS finite, 1.0::DOUBLE AS unit_norm FROM embeddings")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veridex.functions import decide
 from veridex.operators import trajectory
 from veridex.plans import gates
 from veridex.plans.register import registrar
@@ -334,3 +335,36 @@ def arbitration(spark, d):
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("passed"), 1)).alias("passed"), F.count(F.when(unsafe, 1)).alias("unsafe_ground"),
         F.round(F.sum(F.round(F.col("score") * 7)) / 7.0 / F.count(F.lit(1)), 6).alias("mean_score"),
     )
+
+
+#: What kind of decision an action is; a rejected claim of an invalid value is a flag.
+KINDS = {trajectory.GROUND: "ground", trajectory.VERIFY: "verify", trajectory.BASELINE: "defer", trajectory.SELF: "defer", trajectory.TRUST: "ground"}
+
+
+@query(
+    "g11_failure_buckets",
+    f"""WITH s AS ({_sql_scored(_SQL_CASES)}), r AS (SELECT CASE WHEN expected_action = '{trajectory.REJECT}' THEN CASE WHEN gold_status = 'invalid_value' THEN 'flag' ELSE 'reject' END ELSE coalesce(MAP {KINDS}[expected_action], 'defer') END AS class,
+CASE WHEN action = '{trajectory.REJECT}' THEN CASE WHEN said = 'invalid_value' THEN 'flag' ELSE 'reject' END ELSE MAP {KINDS}[action] END AS pred, violations AS v FROM s WHERE len(violations) > 0)
+SELECT CASE WHEN class = 'flag' AND pred = 'flag' AND v = ['missing_required_attribution'] THEN 'prompt_schema_flag_needs_nct' WHEN class = 'ground' AND pred IN ('defer', 'verify') THEN 'ground_efficacy_record_not_recognized' WHEN class = 'reject' AND pred = 'ground' THEN 'mixed_endpoint_reject_overridden_by_ground'
+WHEN list_contains(v, 'missing_required_attribution') THEN 'attribution_error' WHEN list_contains(v, 'evidence_status_mismatch') OR list_contains(v, 'terminal_action_mismatch') THEN 'action_or_evidence_status_error' ELSE 'other_native_failure' END AS bucket, count(*) AS n FROM r GROUP BY 1""",
+)
+def failure_buckets(spark, d):
+    """The first kind of failure that each failed trajectory shows."""
+    table_ = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))
+    said = F.coalesce("status", "packet_status")
+
+    def kind(action: Column, status: Column) -> Column:
+        rejected = F.when(status == "invalid_value", "flag").otherwise("reject")
+        return F.when(action == trajectory.REJECT, rejected).otherwise(F.coalesce(F.try_element_at(table_, action), F.lit("defer")))
+
+    rows = trajectory.evaluate_with_query(cases(spark, d)).filter(F.size("violations") > 0)
+    rows = rows.select(kind(F.col("expected_action"), F.col("gold_status")).alias("class"), kind(F.col("action"), said).alias("pred"), F.col("violations").alias("v"))
+    has = lambda name: F.array_contains("v", name)
+    order = [
+        ((F.col("class") == "flag") & (F.col("pred") == "flag") & has("missing_required_attribution") & (F.size(F.array_distinct("v")) == 1), "prompt_schema_flag_needs_nct"),
+        ((F.col("class") == "ground") & F.col("pred").isin("defer", "verify"), "ground_efficacy_record_not_recognized"),
+        ((F.col("class") == "reject") & (F.col("pred") == "ground"), "mixed_endpoint_reject_overridden_by_ground"),
+        (has("missing_required_attribution"), "attribution_error"),
+        (has("evidence_status_mismatch") | has("terminal_action_mismatch"), "action_or_evidence_status_error"),
+    ]
+    return rows.groupBy(decide.first_match(order, "other_native_failure").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
