@@ -58,3 +58,25 @@ def test_keys_and_strings_at_any_depth(spark):
     frame = spark.createDataFrame(rows, "j string")
     got = [r.w and (list(r.w["keys"]), list(r.w["strings"])) for r in frame.select(nested.keys_and_strings(F.col("j")).alias("w")).collect()]
     assert got == [(["a", "b", "c d", "é", ""], ["x", '"y: \\', ""]), None, None, ([], []), ([], ["only"]), None]
+
+
+def test_lists_in_texts(spark):
+    rows = [("a | b||c ",), (" NaN",), (None,), ("",), ("x",)]
+    got = [r.l for r in spark.createDataFrame(rows, "t string").select(tx.listed(F.col("t")).alias("l")).collect()]
+    assert got == [["a", "b", "c"], [], [], [], ["x"]]
+    twice = spark.createDataFrame([("a|b| a",)], "t string")
+    assert twice.select(tx.listed(F.col("t"), unique=False).alias("l")).first().l == ["a", "b", "a"]
+    with pytest.raises(Exception, match="repeated part"):
+        twice.select(tx.listed(F.col("t"))).collect()
+
+
+def test_an_unknown_name_stops_the_query(spark):
+    frame = spark.createDataFrame([("en",), ("xx",)], "lang string")
+    with pytest.raises(Exception, match="unknown language: xx"):
+        frame.select(nested.required_name(F.col("lang"), {"en": "english"}, "language")).collect()
+
+
+@pytest.mark.parametrize(("a", "b", "want"), [("non hodgkin lymphoma", "hodgkin lymphoma", True), ("hodgkin", "hodgkin", False), ("non hodgkin", "non hodgkin", False), ("acute pain", "chronic pain", True), ("type 2 x", "type 1 x", True), ("hyper", "hyper", False)])
+def test_opposites_in_both_directions(spark, a, b, want):
+    row = spark.range(1).select(tx.opposed(F.lit(a), F.lit(b)).alias("one"), tx.opposed(F.lit(b), F.lit(a)).alias("two")).first()
+    assert (row.one, row.two) == (want, want)
