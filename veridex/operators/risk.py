@@ -15,8 +15,9 @@ def sweep(observations: DataFrame, score: str, failed: str, thresholds: list[flo
     """
     spark = observations.sparkSession
     grid = spark.createDataFrame([(float(t),) for t in sorted(set(thresholds))], "threshold double")
-    marks = F.array(*(F.lit(float(t)) for t in sorted(set(thresholds))))
-    passed = F.array_max(F.filter(marks, lambda t: F.col(score) >= t))
+    passed = F.lit(None).cast("double")
+    for mark in sorted({float(t) for t in thresholds}):  # the highest is tried first, and compiled, not interpreted
+        passed = F.when(F.col(score) >= mark, mark).otherwise(passed)
     binned = observations.groupBy(passed.alias("threshold")).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(failed).cast("bigint")).alias("_f"))
     above = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
     total = observations.agg(F.count(F.lit(1)).alias("targets"))

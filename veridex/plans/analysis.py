@@ -81,7 +81,7 @@ SELECT user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_
 def centred(spark, d):
     scores = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("s"))
     means = scores.filter("user_id % 4 <> 0").groupBy("event_type").agg(F.avg("s").alias("mean"))
-    held = scores.filter("user_id % 4 = 0").join(F.broadcast(means), "event_type").withColumn("centred", F.round(F.col("s") - F.col("mean"), 9))
+    held = scores.filter("user_id % 4 = 0").join(means, "event_type").withColumn("centred", F.round(F.col("s") - F.col("mean"), 9))
     return rank.top_per_group(held, ["user_id"], [F.col("centred").desc(), F.col("event_type")]).select("user_id", "event_type")
 
 

@@ -234,3 +234,58 @@ def lists(spark, d):
     piped = F.when(m == 0, F.concat(F.lit("A | "), "s_name", F.lit(" || "), F.col("s_nationkey").cast("string"))).when(m == 1, " NaN ").when(m == 3, F.col("s_name"))
     slashed = F.concat(F.col("s_nationkey").cast("string"), F.lit(" / x/"), F.col("s_nationkey").cast("string"))
     return table(spark, d, "supplier").select("s_suppkey", tx.listed(piped).alias("piped"), tx.listed(slashed, "/", unique=False).alias("slashed"))
+
+
+_ROW_RULES = [
+    ("id_missing", "doc_id IS NOT NULL", None),
+    ("id_negative", "doc_id >= 0", None),
+    ("language_unknown", "lang IN ('de', 'en', 'es')", None),
+    ("source_malformed", "source RLIKE '^[a-z]+[0-9]+$'", "regexp_matches(source, '^[a-z]+[0-9]+$')"),
+    ("text_blank", "trim(text) <> ''", None),
+    ("size_differs", "n_chars = length(text)", None),
+    ("size_outside_limit", "n_chars BETWEEN 1 AND 5000", None),
+    ("control_character", "NOT text RLIKE '[\\\\x00-\\\\x08]'", "NOT regexp_matches(text, '[\\x00-\\x08]')"),
+    ("address_inside", "NOT contains(text, '@')", None),
+    ("end_missing", "text RLIKE '[.!?]\\\\s*$'", "regexp_matches(text, '[.!?]\\s*$')"),
+    ("markup_inside", "NOT text RLIKE '<[a-z]+>'", "NOT regexp_matches(text, '<[a-z]+>')"),
+]
+
+
+@query(
+    "v1_issues_of_eleven_rules",
+    "SELECT doc_id, issue FROM (" + " UNION ALL ".join(f"SELECT doc_id, 'document_{name}' AS issue FROM documents WHERE NOT coalesce({other or test}, false)" for name, test, other in _ROW_RULES) + ")",
+)
+def row_issues(spark, d):
+    """Every rule that a document breaks, with a prefix; a rule that is null is broken."""
+    return validate.issues(table(spark, d, "documents"), "doc_id", [(f"document_{name}", F.expr(test)) for name, test, _ in _ROW_RULES])
+
+
+@query(
+    "p13_agreement_checks",
+    """SELECT page_id, regexp_extract(url, '[^/]*$', 0) <> '' AS has_name, contains(url, regexp_extract(url, '^[a-z]+://([^/]+)', 1)) AND regexp_extract(url, '^[a-z]+://([^/]+)', 1) <> '' AS host_agrees,
+contains(html, url) AS names_itself, coalesce(isfinite(TRY_CAST(regexp_extract(html, '[0-9]+', 0) AS DOUBLE)), false) AS finite, coalesce(TRY_CAST(regexp_extract(html, '[0-9]+', 0) AS DOUBLE) / 100 BETWEEN 0 AND 1, false) AS in_unit FROM pages""",
+)
+def agreement(spark, d):
+    """Checks of a page's own values: its name, its host, whether it names itself, and its first number."""
+    host, number = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1), F.regexp_extract("html", "[0-9]+", 0).try_cast("double")
+    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
+    return table(spark, d, "pages").select(
+        "page_id", (F.regexp_extract("url", "[^/]*$", 0) != "").alias("has_name"), (F.contains("url", host) & (host != "")).alias("host_agrees"), F.contains("html", "url").alias("names_itself"),
+        F.coalesce(finite, F.lit(False)).alias("finite"), F.coalesce((number / 100).between(0, 1), F.lit(False)).alias("in_unit"),
+    )
+
+
+@query(
+    "h14_observed_pairs",
+    """WITH p AS (SELECT DISTINCT o_orderpriority AS action, o_orderstatus AS status FROM orders WHERE o_orderkey % 5 <> 0 AND o_totalprice > 300000),
+a AS (SELECT DISTINCT o_orderpriority AS action FROM orders), s AS (SELECT DISTINCT o_orderstatus AS status FROM orders)
+SELECT a.action, s.status, row_number() OVER (ORDER BY a.action, s.status) - 1 AS place, p.action IS NOT NULL AS observed FROM a CROSS JOIN s LEFT JOIN p ON p.action = a.action AND p.status = s.status""",
+)
+def observed_pairs(spark, d):
+    """All actions with all statuses in order, and which pairs the training rows hold; the domains are few values each."""
+    orders = table(spark, d, "orders")
+    domains = orders.agg(F.array_sort(F.collect_set("o_orderpriority")).alias("actions"), F.array_sort(F.collect_set("o_orderstatus")).alias("statuses"))
+    pairs = F.flatten(F.transform("actions", lambda a: F.transform("statuses", lambda s: F.struct(a.alias("action"), s.alias("status")))))
+    every = domains.select(F.posexplode(pairs).alias("place", "pair")).select("pair.*", F.col("place").cast("bigint").alias("place"))
+    train = orders.filter("o_orderkey % 5 <> 0 AND o_totalprice > 300000").select(F.col("o_orderpriority").alias("action"), F.col("o_orderstatus").alias("status")).distinct()
+    return every.join(train.withColumn("observed", F.lit(True)), ["action", "status"], "left").select("action", "status", "place", F.coalesce("observed", F.lit(False)).alias("observed"))
