@@ -205,32 +205,33 @@ def component_scores(spark, d):
 
 @query(
     "e6_tool_query_transfer",
-    """WITH m AS (SELECT o_orderkey % 7 AS m FROM orders) SELECT m AS kind, count(*) AS n, bool_and(m <> 6) AS parseable_json, bool_and(m NOT IN (1, 6)) AS target_keys, bool_and(m NOT IN (2, 6)) AS tool_query_shape, bool_and(m NOT IN (2, 3, 6)) AS tool_sequence,
-bool_and(m NOT IN (2, 4, 6)) AS query_fields, bool_and(m NOT IN (2, 4, 5, 6)) AS query_values, bool_and(m = 0) AS exact FROM m GROUP BY 1""",
+    f"""WITH e AS ({span_sql("day")}), c AS (SELECT user_id % 3 AS fold, NOT vals[-1] < 3 AS parsed, parsed AND NOT vals[1] > 100 AS keys, parsed AND len(types) > 1 AS shape, shape AND types[1] <> 'error' AS sequence,
+shape AND types[-1] <> 'click' AS fields, fields AND types[-1] <> 'signup' AS matched FROM e)
+SELECT fold, count(*) AS n, count(*) FILTER (WHERE parsed) AS parseable_json, count(*) FILTER (WHERE keys) AS target_keys, count(*) FILTER (WHERE shape) AS tool_query_shape, count(*) FILTER (WHERE sequence) AS tool_sequence,
+count(*) FILTER (WHERE fields) AS query_fields, count(*) FILTER (WHERE matched) AS query_values, count(*) FILTER (WHERE keys AND sequence AND matched) AS exact FROM c GROUP BY 1""",
 )
 def transfer(spark, d):
-    """Seven checks of predicted tool calls against the wanted ones, for seven kinds of answers."""
-    k, m = F.col("o_orderkey"), F.col("o_orderkey") % 7
-    value = k.cast("string")
-
-    def call(name, drug=value, condition=value):
-        fields = [F.concat(F.lit('"drug": '), drug)] + ([F.concat(F.lit('"condition": '), condition)] if condition is not None else [])
-        return F.concat(F.lit(f'{{"name": "{name}", "arguments": {{'), F.concat_ws(", ", *fields), F.lit("}}"))
+    """Seven checks of predicted tool calls against the wanted ones, over users' days: a day asks for two calls about its
+    first and its last k, and each kind of slip is some type or value of its events."""
+    start, end = first(), last()
+    drug, condition = start["k"].cast("string"), end["k"].cast("string")
+    kind = end["event_type"]
 
-    def answer(*calls, more=""):
-        return F.concat(F.lit('{"tool_calls": ['), F.concat_ws(", ", *calls), F.lit(f"]{more}}}"))
+    def call(name: str, drug: Column, more: Column) -> Column:
+        return F.concat(F.lit(f'{{"name": "{name}", "arguments": {{"drug": '), drug, more, F.lit("}}"))
 
-    whole = (call("survey"), call("verify"))
-    raw = F.when(m == 0, answer(*whole)).when(m == 1, answer(*whole, more=', "x": 1')).when(m == 2, answer(call("survey"))).when(m == 3, answer(*reversed(whole)))
-    raw = raw.when(m == 4, answer(call("survey"), call("verify", condition=None))).when(m == 5, answer(call("survey"), call("verify", drug=F.lit("-1")))).otherwise("none")
-    rows = table(spark, d, "orders").select(m.alias("kind"), k.alias("k"), nested.embedded_json(raw).alias("p"))
+    named = F.concat(F.lit(', "condition": '), condition)
+    survey, verify = call("survey", drug, named), call("verify", F.when(kind == "signup", "-1").otherwise(drug), F.when(kind == "click", "").otherwise(named))
+    calls = F.when(F.size("e") == 1, survey).when(start["event_type"] == "error", F.concat_ws(", ", verify, survey)).otherwise(F.concat_ws(", ", survey, verify))
+    raw = F.when(end["value"] < 3, "none").otherwise(F.concat(F.lit('so {"tool_calls": ['), calls, F.lit("]"), F.when(start["value"] > 100, ', "x": 1').otherwise(""), F.lit("}")))
+    rows = spans(spark, d, "day").select((F.col("user_id") % 3).alias("fold"), start["k"].alias("drug"), end["k"].alias("condition"), nested.embedded_json(raw).alias("p"))
     rows = rows.withColumn("calls", F.from_json(F.get_json_object("p", "$.tool_calls"), "array<struct<name:string,arguments:map<string,bigint>>>"))
-    wanted = F.array(F.lit("drug"), F.lit("condition"))
+    wanted = F.create_map(F.lit("drug"), F.col("drug"), F.lit("condition"), F.col("condition"))
     parsed = F.col("p").isNotNull()
     keys = parsed & same_set(F.json_object_keys("p"), F.array(F.lit("tool_calls")))
     shape = (F.size("calls") == 2) & F.forall("calls", lambda c: c["name"].isNotNull() & c["arguments"].isNotNull())
     sequence = shape & (F.transform("calls", lambda c: c["name"]) == F.array(F.lit("survey"), F.lit("verify")))
-    fields = shape & F.forall("calls", lambda c: same_set(F.map_keys(c["arguments"]), wanted))
-    values = fields & F.forall("calls", lambda c: F.forall(F.map_values(c["arguments"]), lambda v: v == F.col("k")))
+    fields = shape & F.forall("calls", lambda c: same_set(F.map_keys(c["arguments"]), F.map_keys(wanted)))
+    values = fields & F.forall("calls", lambda c: F.forall(F.map_keys(c["arguments"]), lambda name: F.try_element_at(c["arguments"], name) == F.try_element_at(wanted, name)))
     checks = {"parseable_json": parsed, "target_keys": keys, "tool_query_shape": shape, "tool_sequence": sequence, "query_fields": fields, "query_values": values, "exact": keys & sequence & values}
-    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), *(F.bool_and(F.coalesce(check, F.lit(False))).alias(name) for name, check in checks.items()))
+    return rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *(F.count(F.when(F.coalesce(check, F.lit(False)), 1)).alias(name) for name, check in checks.items()))
