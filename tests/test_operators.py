@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from veridex.operators import joins, metrics, rank, risk, select, trajectory, validate
+from veridex.operators import greedy, joins, metrics, rank, risk, select, trajectory, validate
 
 
 def test_aligned_join_reports_both_sides(spark):
@@ -68,7 +68,7 @@ def test_greedy_unique_equals_the_loop(spark):
             seen_a.add(a)
             seen_b.add(b)
     frame = spark.createDataFrame(rows, "i int, a string, b string")
-    assert sorted(r.i for r in select.greedy_unique(frame, ["a", "b"], ["i"]).collect()) == want
+    assert sorted(r.i for r in greedy.greedy_unique(frame, ["a", "b"], ["i"]).collect()) == want
 
 
 def test_sweep_counts_ties_and_nothing_trusted(spark):
