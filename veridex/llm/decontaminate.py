@@ -141,7 +141,7 @@ def decontaminate(
     prints = items.mapInArrow(item_prints, f"item string, hits array<{HIT}>").select("item", F.inline("hits"))
     prints = prints.select("item", "h", "n", F.col("around").alias("item_around")).distinct()
 
-    # at most 2 ** FILTER_BITS / 64 rows, whatever the benchmark holds
+    # at most 2 ** FILTER_BITS / 32 rows, whatever the benchmark holds
     low = F.array(F.col("h"), F.shiftrightunsigned("h", FILTER_BITS))
     place = prints.select("n", F.explode(F.transform(low, lambda x: x.bitwiseAND(F.lit((1 << FILTER_BITS) - 1).cast("bigint")))).alias("p"))
     packed = place.groupBy(F.shiftright("p", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 31 AS INT))")).alias("word"), F.collect_set("n").alias("ns"))
