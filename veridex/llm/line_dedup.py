@@ -41,8 +41,10 @@ def dedup_lines(
     source = source.withColumn("_row", F.xxhash64("_id", "_text"))
     keyed = source.select("_id", "_row", line_keys(F.col("_text"), min_chars).alias("_keys"))
 
-    distinct = F.array_distinct(F.filter("_keys", lambda k: k.isNotNull()))
-    held = keyed.select("_id", F.explode(distinct).alias("_key")).select("_id", "_key.a", "_key.b")
+    # sorted, so that equal keys of a document are neighbours: distinct structs would be compared all with all
+    ordered = keyed.select("_id", F.sort_array(F.filter("_keys", lambda k: k.isNotNull())).alias("_keys"))
+    distinct = F.filter("_keys", lambda k, i: (i == 0) | (k != F.get("_keys", i - 1)))
+    held = ordered.select("_id", F.explode(distinct).alias("_key")).select("_id", "_key.a", "_key.b")
     if not source.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty():
         held = held.distinct()  # rows that share an id are one document to be counted
     counted = held.groupBy("a", "b")
