@@ -27,6 +27,8 @@ def pieces(batches: Iterator[pa.RecordBatch], text: int = 1, max_bytes: int = 2
             stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch
+        pa.default_memory_pool().release_unused()  # workers are used again, and what they keep adds up
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
