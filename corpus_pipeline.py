@@ -1,6 +1,7 @@
 """The corpus pipeline: each stage works on all documents that its predecessor kept, read again from Parquet.
 
-In every stage a null text counts as empty, each row is a document of its own whatever rows share its doc_id or its text,
+In every stage a null text counts as empty, each row is a document of its own whatever rows share its doc_id or its text
+(but rows that agree in all columns besides the text are counted once where line dedup counts a line's documents),
 a null doc_id is an id (smaller than all in line dedup, after all in near-dedup), an empty table gives an empty table, and
 columns besides doc_id and text go through under their names, whatever these are; only n_chars, where there is one, follows
 a text that changed.
