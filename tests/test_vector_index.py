@@ -72,3 +72,25 @@ def test_registered_searches(spark):
     for threshold, (n, reached) in swept.items():
         true = sum(float(np.dot(want[q].embedding, want[m[0]].embedding)) >= threshold for q, m in best.items())
         assert n == len(want) and 0.9 * true - 1 <= reached <= true
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """Small shuffles stay apart, as those of large tables do."""
+    names = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7"}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_the_exact_way_over_several_blocks(spark, many_partitions):
+    """Blocks of both sides meet: each query sees all vectors, however they are dealt out."""
+    rows = rows_of(spark, 4, copies=9)
+    got = vectors.top_k(rows.filter("vec_id % 3 = 0"), rows, "vec_id", "embedding", 4, block=150).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: (r["query"], r.rn)):
+        found.setdefault(r["query"], []).append(r["match"])
+    assert found == {q: m for q, m in exact(rows.collect(), 4).items() if q % 3 == 0}
