@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,6 +22,29 @@ def test_strict_join_stops_on_missing_and_repeated_keys(spark):
             joins.strict_one_to_one(a, spark.createDataFrame(other, "k int"), "k").collect()
 
 
+def test_siblings_are_distinct_and_only_rows_are_shuffled(spark):
+    rows = [(i % 70, "hot" if i % 3 else f"n{i % 5}", "b" if i % 11 else None) for i in range(200)] + [(None, "hot", "b"), (1, None, "b")]
+    want = {(a, b) for a, n, x in rows for b, m, y in rows if None not in (a, b, n, x) and n == m and x == y and a != b}
+    frame = spark.createDataFrame(rows, "k bigint, n string, b string")
+    for block in (1024, 7):
+        got = [tuple(r) for r in joins.siblings(frame, ["n", "b"], "k", block).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+    def shuffled(n):
+        before = _shuffled(spark)
+        assert joins.siblings(spark.range(n).select("id", F.lit("a").alias("n")), ["n"], "id").count() == n * (n - 1)
+        return _shuffled(spark) - before
+
+    assert shuffled(2000) < 4000 * 100  # four million pairs of 16 bytes stay where they are made
+
+
+def _shuffled(spark):
+    """Bytes that tasks have written to shuffles so far."""
+    time.sleep(1)  # for the listener
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
 def test_ladder_takes_the_first_tier_and_abstains(spark):
     queries = spark.createDataFrame([(1, "asa"), (2, "ASA "), (3, "?")], "id int, name string")
     exact = spark.createDataFrame([("asa", "C1")], "match string, concept string")

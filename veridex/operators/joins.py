@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veridex.sources.shared import written
+
+#: Rows of one key that a task pairs with all rows of that key at most, and tasks that pairs are dealt to at least.
+SIBLING_BLOCK = 1024
+SIBLING_TASKS = 192
+
 
 def aligned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Full outer join with a join_status of matched, missing (no right row) or unexpected (no left row)."""
@@ -69,3 +75,26 @@ def neighbourhood(edges: DataFrame) -> DataFrame:
     siblings = edges.toDF("node", "over").join(edges.toDF("neighbour", "over"), "over").select("node", "neighbour")
     own = up.select("node").union(down.select("node")).select("node", F.col("node").alias("neighbour"))
     return up.union(down).union(siblings).union(own).distinct()
+
+
+def siblings(rows: DataFrame, keys: list[str], id_col: str, block: int = SIBLING_BLOCK) -> DataFrame:
+    """(one, other), distinct: ids of different rows that share all keys; null keys and ids pair with none.
+
+    The result grows with the square of a key's rows, so nothing but the rows themselves goes through a shuffle: those of a
+    key are cut into blocks, each block meets all of them, and pairs are passed on as they come.  A pair can come twice
+    only where both ids have several keys; those pairs alone are made distinct.
+    """
+    held = rows.select(*keys, F.col(id_col).alias("_id")).dropna().distinct()
+    sizes = held.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).alias("_parts"))
+    several = held.groupBy("_id").agg((F.count(F.lit(1)) > 1).alias("_several"))
+    held = written(held.join(sizes, keys).join(several, "_id"))
+    tasks = max(SIBLING_TASKS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def paired(frame: DataFrame) -> DataFrame:
+        on = [*keys, "_part"]
+        one = frame.withColumn("_part", F.pmod(F.xxhash64("_id"), "_parts")).drop("_parts").withColumnsRenamed({"_id": "one", "_several": "_one"})
+        other = frame.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))).drop("_parts").withColumnsRenamed({"_id": "other", "_several": "_other"})
+        return one.repartition(tasks, *on).hint("merge").join(other.repartition(tasks, *on), on).filter(F.col("one") != F.col("other"))
+
+    once = paired(held).filter(~(F.col("_one") & F.col("_other"))).select("one", "other")
+    return once.unionAll(paired(held.filter("_several")).select("one", "other").distinct())

@@ -143,9 +143,7 @@ def j11(spark, d):
 
 @query("j12_siblings_through_shared_key", "SELECT DISTINCT a.p_partkey AS part, b.p_partkey AS sibling FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey")
 def j12(spark, d):
-    part = table(spark, d, "part").select("p_name", "p_brand", "p_partkey")
-    other = part.withColumnRenamed("p_partkey", "sibling")
-    return part.join(other, ["p_name", "p_brand"]).filter("p_partkey <> sibling").select(F.col("p_partkey").alias("part"), "sibling").distinct()
+    return joins.siblings(table(spark, d, "part"), ["p_name", "p_brand"], "p_partkey").toDF("part", "sibling")
 
 
 _EDGES = """e AS (SELECT 'n' || n_nationkey AS src, 'n' || n_nationkey AS dst, 0 AS pri, 'EXACT' AS relation FROM nation
