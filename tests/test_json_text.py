@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,3 +71,31 @@ def test_columns_and_digests_in_any_order(spark):
         frame = spark.createDataFrame(order, "n string, d string").repartition(3)
         want = hashlib.sha256(json.dumps(dict(files), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
         assert frame.agg(json_text.map_digest(F.col("n"), F.col("d")).alias("x")).first().x == want
+
+
+ODD = ["-0", "-0.0", "[1E5,1e-7,123456789012345678901234567890]", "9" * 3999, "9" * 4000, "-" + "9" * 3999, '"\\ud800"', '"\\ud83d\\ude00"', "\ufeff1", "\u00a01", "1\u00a0", "\u0661", '{"a":1,"a":1e999}', '{"host":1e999}', '{"host":NaN}', '{"host":{"host":1},"a":[{"host":2}]}', "[Infinity]", "-Infinity", "true ", "tru", "[" * 3000 + "]" * 3000, '{"a":' * 3000 + "1" + "}" * 3000, "[" * 3000, '"\x7f\u2028"', '"\t"']
+
+
+@pytest.mark.parametrize("names", [frozenset(), frozenset({"host"})])
+def test_both_ways_agree(names):
+    rng = random.Random(3)
+    broken = []
+    for _ in range(2000):
+        text = json.dumps(made(rng, 4))
+        at = rng.randrange(len(text))
+        broken += [text, text[:at] + rng.choice(['"', "}", "]", ",", ":", " ", "\\", "0", ""]) + text[at + 1 :]]
+    for text in ODD + broken:
+        assert json_text.canonical(text, names) == json_text.scanned(text, names)
+
+
+def test_common_texts_take_little_more_than_the_standard_library():
+    texts = [json.dumps({"b": [{"k": i}, {"z": 1.5, "host": [], "a": {"k": i}}], "a": "é"}) for i in range(20_000)]
+
+    def seconds(run):
+        began = time.process_time()
+        for text in texts:
+            run(text)
+        return time.process_time() - began
+
+    library = seconds(lambda text: json.dumps(json.loads(text), sort_keys=True, separators=(",", ":")))
+    assert seconds(lambda text: json_text.canonical(text, frozenset({"host"}))) < 2.5 * library
