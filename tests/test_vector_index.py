@@ -1,6 +1,9 @@
 """The inverted file against the exact answer."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +97,28 @@ def test_the_exact_way_over_several_blocks(spark, many_partitions):
     for r in sorted(got, key=lambda r: (r["query"], r.rn)):
         found.setdefault(r["query"], []).append(r["match"])
     assert found == {q: m for q, m in exact(rows.collect(), 4).items() if q % 3 == 0}
+
+
+def test_what_a_task_holds_depends_neither_on_lists_nor_on_blocks():
+    """Filing rows under most of many lists, and the products of two whole blocks."""
+    rng = np.random.default_rng(5)
+    rows, centroids = rng.normal(size=(3000, 8)), rng.normal(size=(700, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), 8)], names=["id", "v"])
+    found = [set() for _ in rows]
+    tracemalloc.start()
+    for out in vector_index.filed(centroids, 400)([batch]):
+        assert out.num_rows <= vector_index.FILED_ROWS
+        for i, own in zip(out["id"].to_pylist(), out["list"].to_pylist(), strict=True):
+            found[i].add(own)
+    want = np.argsort(-(rows @ centroids.T), axis=1)[:, :400]
+    assert all(own == set(w.tolist()) for own, w in zip(found, want, strict=True))
+    one, two = rng.normal(size=(8192, 8)), rng.normal(size=(8192, 8))
+    del found, want
+    tracemalloc.reset_peak()
+    parts = list(vectors.top_products(one, two, np.arange(8192), 3))
+    assert tracemalloc.get_traced_memory()[1] < 200_000_000  # all products are 537 MB, and were held several times
+    tracemalloc.stop()
+    at, column, _ = (np.concatenate(x) for x in zip(*parts, strict=True))
+    some = np.arange(0, 8192, 500)
+    want = np.argsort(-(one[some] @ two.T), axis=1)[:, :3]
+    assert at.tolist() == np.repeat(np.arange(8192), 3).tolist() and column.reshape(-1, 3)[some].tolist() == want.tolist()

@@ -3,11 +3,13 @@
 Centroids are fitted on a bounded sample, and so is the number of lists to read: the true neighbours of a few sampled rows,
 found among all rows, tell how many lists reach the wanted share of them.  All rows are filed, whatever the sample was.
 Equal vectors are one entry with the first ids that hold it, so copies are never paired with each other.  A list of many
-rows is cut into blocks, so no task holds a whole one; ``vectors.top_k`` is the exact way.
+rows is cut into blocks, so no task holds a whole one, and products are made piece by piece, so that what a task holds
+depends neither on the rows nor on the lists; ``vectors.top_k`` is the exact way.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridex.operators import rank
-from veridex.operators.vectors import matrix, top_columns
+from veridex.operators.vectors import CELLS, matrix, top_products
 from veridex.sources.shared import written
 
 #: Bounds of what the driver and each task hold: centroids, sampled rows for each of them, and sampled queries.
 MOST_LISTS = 4096
 SAMPLE_PER_LIST = 64
 PROBED_QUERIES = 256
+#: Rows that a task passes on at once when it files rows under their lists.
+FILED_ROWS = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -33,19 +37,46 @@ class Index:
     probes: int
 
 
+def own_lists(rows: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The list of each row and its similarity, by pieces of CELLS products."""
+    own, similar, step = np.empty(len(rows), np.int64), np.empty(len(rows)), max(1, CELLS // len(centroids))
+    for begin in range(0, len(rows), step):
+        piece = rows[begin : begin + step] @ centroids.T
+        own[begin : begin + step] = piece.argmax(1)
+        similar[begin : begin + step] = piece.max(1)
+    return own, similar
+
+
+def filed(centroids: np.ndarray, most: int) -> Callable:
+    """Batches with a vector in their second column as rows of the most lists nearest to each, at most FILED_ROWS at once or
+    one row's."""
+
+    def run(batches):
+        for batch in batches:
+            own = matrix(batch.column(1))
+            if not len(own):
+                continue
+            if own.shape[1] != centroids.shape[1]:  # of fit's single list of tiny tables
+                own = np.zeros((len(own), centroids.shape[1]))
+            for at, lists, _ in top_products(own, centroids, np.arange(len(centroids)), most, most=FILED_ROWS):
+                picked = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int64)), *picked.columns], names=["list", *picked.schema.names])
+
+    return run
+
+
 def k_means(rows: np.ndarray, lists: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """Unit centroids of rows by inner product; a list that loses all its rows takes the row farthest from its own."""
     rng = np.random.default_rng(seed)
     unit = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
     centroids = unit[rng.choice(len(unit), lists, replace=False)]
     for _ in range(rounds):
-        similar = unit @ centroids.T
-        own = similar.argmax(1)
+        own, similar = own_lists(unit, centroids)
         sums = np.zeros_like(centroids)
         np.add.at(sums, own, unit)
         empty = np.flatnonzero(np.bincount(own, minlength=lists) == 0)
         if len(empty):
-            sums[empty] = unit[np.argsort(similar[np.arange(len(unit)), own])[: len(empty)]]
+            sums[empty] = unit[np.argsort(similar)[: len(empty)]]
         centroids = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     return centroids
 
@@ -79,15 +110,10 @@ def fit(vectors: DataFrame, key: str, vector: str, k: int, recall: float = 0.95,
             own = matrix(batch.column(0))
             if not len(own):
                 continue
-            similar = queries @ own.T
-            if concept:
-                similar[concepts[:, None] == batch.column(1).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
-            at, column = top_columns(similar, np.arange(len(own)), k + 1)
-            at, column = at[np.isfinite(similar[at, column])], column[np.isfinite(similar[at, column])]
-            held = (own @ centroids.T).argmax(1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at), pa.array(similar[at, column]), pa.array(held[column])], names=["query", "similarity", "list"]
-            )
+            apart = (concepts, batch.column(1).to_numpy(zero_copy_only=False)) if concept else None
+            for at, column, similar in top_products(queries, own, np.arange(len(own)), k + 1, apart):
+                held = own_lists(own[column], centroids)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(similar), pa.array(held)], names=["query", "similarity", "list"])
 
     found = vectors.select(vector, concept or key).mapInArrow(nearest, "query bigint, similarity double, list bigint")
     best = rank.top_per_group(found, ["query"], [F.col("similarity").desc(), F.col("list")], k + 1).toArrow()
@@ -118,22 +144,9 @@ def top_k(index: Index, queries: DataFrame, vectors: DataFrame, key: str, vector
     asked = firsts.join(wanted.select(*same).distinct(), same, "left_semi").select("entry")
     asking = rows.select("id", "v", "c").join(asked.withColumnRenamed("entry", "id"), "id")
 
-    def filed(most: int):
-        def run(batches):
-            for batch in batches:
-                own = matrix(batch.column(1))
-                if not len(own):
-                    continue
-                near = own @ centroids.T if own.shape[1] == centroids.shape[1] else np.zeros((len(own), 1))
-                at, lists = top_columns(near, np.arange(near.shape[1]), most)
-                picked = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int64)), *picked.columns], names=["list", *picked.schema.names])
-
-        return run
-
     kind, shape = vectors.schema[key].dataType.simpleString(), vectors.schema[vector].dataType.simpleString()
-    listed = written(entries.select("id", "v", "ids", "c").mapInArrow(filed(1), f"list bigint, id {kind}, v {shape}, ids array<{kind}>, c bigint"))
-    probing = asking.select("id", "v", "c").mapInArrow(filed(probes), f"list bigint, id {kind}, v {shape}, c bigint")
+    listed = written(entries.select("id", "v", "ids", "c").mapInArrow(filed(centroids, 1), f"list bigint, id {kind}, v {shape}, ids array<{kind}>, c bigint"))
+    probing = asking.select("id", "v", "c").mapInArrow(filed(centroids, probes), f"list bigint, id {kind}, v {shape}, c bigint")
 
     # a row a list, at most MOST_LISTS: into how many blocks the rows of a list and its queries are cut
     sizes = listed.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
@@ -147,13 +160,10 @@ def top_k(index: Index, queries: DataFrame, vectors: DataFrame, key: str, vector
     def product(one: pa.Table, two: pa.Table) -> pa.Table:
         if not one.num_rows or not two.num_rows:
             return pa.table({"query": pa.array([], one.schema.field("id").type), "best": pa.array([], pa.float64()), "ids": pa.array([], two.schema.field("ids").type)})
-        similar = matrix(one["v"]) @ matrix(two["v"]).T
-        if concept:
-            similar[one["c"].to_numpy()[:, None] == two["c"].to_numpy()[None, :]] = -np.inf
-        at, column = top_columns(similar, two["id"].to_numpy(), k + 1)
-        picked = similar[at, column]
-        held = np.isfinite(picked)
-        return pa.table({"query": one["id"].take(pa.array(at[held])), "best": picked[held], "ids": two["ids"].take(pa.array(column[held]))})
+        apart = (one["c"].to_numpy(), two["c"].to_numpy()) if concept else None
+        parts = list(top_products(matrix(one["v"]), matrix(two["v"]), two["id"].to_numpy(), k + 1, apart))
+        at, column, best = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pa.table({"query": one["id"].take(pa.array(at)), "best": best, "ids": two["ids"].take(pa.array(column))})
 
     grouped = left.groupBy("list", "qb", "vb").cogroup(right.groupBy("list", "qb", "vb"))
     found = grouped.applyInArrow(product, f"query {kind}, best double, ids array<{kind}>")
