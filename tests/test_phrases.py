@@ -62,3 +62,11 @@ def _written(spark):
 
 def test_the_registered_query_keeps_its_rows(spark):
     assert selection.f6(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_places_are_written_as_one_list_a_text(spark, monkeypatch):
+    seen, write = [], phrases.written
+    monkeypatch.setattr(phrases, "written", lambda frame: seen.append(set(frame.columns)) or write(frame))
+    frame = spark.createDataFrame([(i, i, ["a", "b", f"c{i}"]) for i in range(5)], "k int, g int, w array<string>")
+    assert {tuple(r) for r in phrases.longest_shared(frame, ["k"], "w", "g", 3, 6).collect()} == {(i, 2, 0, "a b") for i in range(5)}
+    assert {"_row", "spots"} in seen and not any({"i", "h0"} <= columns for columns in seen)
