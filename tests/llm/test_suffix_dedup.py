@@ -107,3 +107,57 @@ def test_heavy_keys_over_many_tasks_equal_brute_force(spark, monkeypatch):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert sorted(map(tuple, got)) == sorted(brute(rows, 200))
+
+
+def random_shard(seed, width=12):
+    """Surroundings of a few cores, of two letters, cut short at either side."""
+    rng = np.random.default_rng(seed)
+    count, half = 80, width - 1
+    before, after = rng.integers(0, half + 1, count), rng.integers(0, half + 1, count)
+    before[::3], after[::3] = half, half
+    data = [rng.choice([97, 98], a + b, p=[0.9, 0.1]).astype(np.uint8).tobytes() for a, b in zip(before, after)]
+    place = rng.integers(0, 50, count) << 40
+    return suffix_dedup.Shard(data, before, rng.integers(0, 5, count).astype(np.int32), place, rng.random(count) < 0.1, width)
+
+
+def test_classes_equal_those_of_the_whole_array_and_its_prefixes():
+    for seed in range(6):
+        shard = random_shard(seed)
+        order, rank = suffix_dedup.suffix_array(shard.symbols)
+        shared = suffix_dedup.common_prefixes(shard.symbols, order, rank, shard.first, shard.size, shard.width)[order]
+        left = np.repeat(shard.first + shard.size, shard.size + 1) - np.arange(len(shard.symbols))
+        ok = left[order] >= shard.width
+        want, number = order[ok], np.cumsum(shared < shard.width)[ok]
+        at, group = shard.classes()
+        assert sorted(at) == sorted(want)
+        # the same classes in the same order
+        assert np.diff(group).astype(bool).tolist() == np.diff(number).astype(bool).tolist()
+        assert [set(x) for x in np.split(at, np.flatnonzero(np.diff(group)) + 1)] == [set(x) for x in np.split(want, np.flatnonzero(np.diff(number)) + 1)]
+
+
+def test_suffixes_are_sorted_to_the_wanted_depth_alone(monkeypatch):
+    # copies of one surrounding stay tied at any depth: sorting them whole takes more rounds, the more copies there are
+    sizes = []
+    ordered = suffix_dedup._ordered
+    monkeypatch.setattr(suffix_dedup, "_ordered", lambda key, *rest: sizes.append(len(key)) or ordered(key, *rest))
+    copies, width = 500, 77
+    data = [bytes(range(152))] * copies
+    shard = suffix_dedup.Shard(data, np.full(copies, 76), np.zeros(copies, np.int32), np.arange(copies) << 40, np.zeros(copies, bool), width)
+    assert shard.repeated().sum() == copies * width
+    assert len(sizes) <= 8 and sizes[-1] == copies * width
+    assert sizes == sorted(sizes[:-2], reverse=True) + sizes[-2:]
+
+
+def test_long_keys_are_sorted_beside_their_positions():
+    rng = np.random.default_rng(2)
+    key, where = rng.integers(0, 1 << 40, 300), rng.permutation(300)
+    for wide in (9, 40):
+        got, at = suffix_dedup._ordered(key, where, 40, wide)
+        assert got.tolist() == sorted(key) and dict(zip(at.tolist(), got.tolist())) == dict(zip(where.tolist(), key.tolist()))
+
+
+def test_cores_over_many_strings_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CACHED", 1000)
+    rows = corpus(41)
+    got = suffix_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string"), shard_bytes=40_000).drop("kept").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows, 200))

@@ -7,11 +7,12 @@ with those after it.  Occurrences of a string meet under its core.  Cores that o
 those whose places all have the same surroundings (all strings that can hold the core): these repeat as a whole.  For
 the others each distinct surrounding goes to the core's shard once, with the core as one symbol of its own.
 
-A shard is one string of surroundings and separators.  Its suffix array is built by Larsson-Sadakane refinement: suffixes
-sorted by a few symbols, then only groups still tied are sorted again by the rank of what follows, at twice the depth
-each time.  Kasai's common prefixes, carried along all surroundings at once, cut the array into classes of suffixes that
-share ``length`` bytes; a class at two different places of the corpus marks its bytes.  A key with more surroundings than
-a shard holds is cut into blocks, and pairs of blocks are merged by binary search of one's classes in the other's.
+A shard is a string of surroundings and separators, or a few such strings with the cores dealt over them.  Its suffix
+array is built by Larsson-Sadakane refinement: suffixes sorted by a few symbols, then only groups still tied are sorted
+again by the rank of what follows, at twice the depth each time.  The last round sorts to exactly ``length`` bytes, so that
+suffixes of one rank are those that share them; suffixes with less left than a round looks at leave before it.  A class at
+two different places of the corpus marks its bytes.  A key with more surroundings than a shard holds is cut into blocks,
+and pairs of blocks are merged by binary search of one's classes in the other's.
 """
 
 from __future__ import annotations
@@ -38,28 +39,31 @@ SEPARATOR = 256
 #: share is dealt over several tasks.  Neither changes a result.
 LOOK = 64
 SPREAD = 4
+#: The cores of a shard are dealt over strings of about so many bytes, whose arrays stay in a processor's cache.
+CACHED = 1 << 17
 
 
-def anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
-    """Starts of the chosen GRAM-byte grams of all texts in the buffer; ties choose all.
+def anchors(raw: np.ndarray, ends: np.ndarray, length: int, total: np.ndarray) -> np.ndarray:
+    """Starts of the chosen GRAM-byte grams of all texts in the buffer, whose hash sums are total; ties choose all.
 
     The choice in a window depends on the window's bytes alone."""
     window = length - GRAM + 1
     n = len(raw) - length + 1
     if n <= 0:
         return np.empty(0, np.int64)
-    up, down = wordhash.powers(len(raw))
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
+    _, down = wordhash.powers(len(raw))
 
     def rolled(size: int) -> np.ndarray:
-        return wordhash.mix((total[size:] - total[:-size]) * down[: len(raw) - size + 1])
+        hashes = total[size:] - total[:-size]
+        hashes *= down[: len(hashes)]
+        return hashes
 
-    gram, part = rolled(GRAM), rolled(PART).astype(np.uint32)
+    gram = wordhash.mix(rolled(GRAM))
+    part = (rolled(PART) >> np.uint64(48)).astype(np.uint16)  # a chance hit is one gram chosen less
     periodic = np.zeros(len(gram), bool)
     for lag in range(1, GRAM - PART + 1):
         periodic |= part[: len(gram)] == part[lag : lag + len(gram)]
-    gram = gram >> np.uint64(1) | periodic.astype(np.uint64) << np.uint64(63)
+    gram = (gram >> np.uint64(33)).astype(np.uint32) | periodic.astype(np.uint32) << np.uint32(31) | np.uint32(1)  # 0 is none
 
     def slide(x: np.ndarray, least: bool) -> np.ndarray:
         """Minima or maxima of all windows, by doubling."""
@@ -75,42 +79,69 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
     for cut in ends[1:-1][(ends[1:-1] > 0) & (ends[1:-1] < len(raw))].tolist():
         whole[max(0, cut - length + 1) : min(n, cut)] = False  # strings over two texts choose nothing
     low[~whole] = 0
-    padded = np.zeros(n + 2 * (window - 1), np.uint64)
+    padded = np.zeros(n + 2 * (window - 1), np.uint32)
     padded[window - 1 : window - 1 + n] = low
-    return np.flatnonzero((gram == slide(padded, False)) & (gram > 0))
+    return np.flatnonzero(gram == slide(padded, False))
 
 
-def digest(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
+def digest(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, salt: int, total: np.ndarray) -> np.ndarray:
     """64 bits of each span."""
-    return (wordhash.hashes(raw, begin, end) * np.uint64(2 * salt + 1)).view(np.int64)
-
-
-def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, rank) of a sequence of symbols."""
-    n, bits = len(symbols), (int(symbols.max(initial=0)) + 1).bit_length()
-    step = 63 // bits
-    padded = np.concatenate([symbols.astype(np.int64) + 1, np.zeros(step, np.int64)])
-    first = np.zeros(n, np.int64)
-    for j in range(step):
-        first = first << bits | padded[j : j + n]
-    order = np.argsort(first)
-    starts = np.concatenate([[True], first[order][1:] != first[order][:-1]]) if n else np.empty(0, bool)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
-    depth = step
-    tied = _tied(starts)
-    while len(tied):
-        where = order[tied]
-        after = where + depth
-        key = rank[where] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        moved = np.argsort(key)
-        order[tied], key = where[moved], key[moved]
+    return (wordhash.hashes(raw, begin, end, total) * np.uint64(2 * salt + 1)).view(np.int64)
+
+
+def suffix_array(symbols: np.ndarray, most: int | None = None, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array, rank) of a sequence of symbols.
+
+    With most, suffixes are sorted by that many symbols, and those that share them all have one rank.  With left, which
+    says how many symbols count from each position on, only positions with most of them are in the array, and the others'
+    ranks mean nothing.
+    """
+    n = len(symbols)
+    most = max(n, 1) if most is None else most
+    wide, bits = n.bit_length(), (int(symbols.max(initial=0)) + 1).bit_length()
+    gain = min(max(1, (63 - wide) // bits), most)
+    padded = np.concatenate([symbols.astype(np.int64) + 1, np.zeros(gain, np.int64)])
+    key = padded[:n].copy()
+    for j in range(1, gain):
+        key <<= bits
+        key |= padded[j : j + n]
+    where = np.arange(n)
+    rank = np.zeros(n + 1, np.int32 if wide < 32 else np.int64)  # the last: of nothing
+    rank[n] = -1
+    depth, low, high = gain, gain * bits, 0
+    while len(where):
+        key, where = _ordered(key, where, low + high, wide)
         new = np.concatenate([[True], key[1:] != key[:-1]])
-        rank[order[tied]] = np.maximum.accumulate(np.where(new, tied, 0))
-        starts[tied[new]] = True
-        tied = tied[_in_group(new)]
-        depth *= 2
-    return order, rank
+        cuts = np.flatnonzero(new)
+        group = key[cuts] >> low
+        opens = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        # a group's rank is the number of suffixes before it
+        before = group + cuts - np.repeat(cuts[opens], np.diff(np.append(opens, len(cuts))))
+        rank[where] = np.repeat(before.astype(rank.dtype), np.diff(np.append(cuts, len(where))))
+        if depth >= most:
+            break
+        gain = min(depth, most - depth)
+        depth += gain
+        where = where[_in_group(new)]
+        if left is not None:
+            where = where[left[where] >= depth]
+        key, low, high = rank[where].astype(np.int64), wide, wide
+        key <<= wide
+        key |= rank[np.minimum(where + gain, n)] + 1
+    rank = rank[:n]
+    at = np.arange(n) if left is None else np.flatnonzero(left >= most)
+    return _ordered(rank[at].astype(np.int64), at, wide, wide)[1], rank
+
+
+def _ordered(key: np.ndarray, where: np.ndarray, bits: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of so many bits in order, with their positions of at most wide bits: as one number of both where that fits."""
+    if bits + wide <= 63:
+        both = key << wide
+        both |= where
+        both.sort()
+        return both >> wide, both & ((1 << wide) - 1)
+    by = np.argsort(key)
+    return key[by], where[by]
 
 
 def _in_group(starts: np.ndarray) -> np.ndarray:
@@ -118,14 +149,11 @@ def _in_group(starts: np.ndarray) -> np.ndarray:
     return ~(starts & np.concatenate([starts[1:], [True]]))
 
 
-def _tied(starts: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(_in_group(starts)) if len(starts) else np.empty(0, np.int64)
-
-
 def common_prefixes(symbols: np.ndarray, order: np.ndarray, rank: np.ndarray, first: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
     """Kasai: for each position of the string what it shares with the suffix before it in the array, up to most.
 
     The value at a position is at least that of the position before, less one.  All pieces (first, size) go along at once.
+    The classes come from the ranks alone; tests hold them against these prefixes.
     """
     n = len(symbols)
     before = np.concatenate([[-1], order[:-1]])[rank]
@@ -170,12 +198,9 @@ class Shard:
 
     def classes(self) -> tuple[np.ndarray, np.ndarray]:
         """(positions in the order of the suffix array, number of the class of each) where width symbols are left."""
-        order, rank = suffix_array(self.symbols)
-        shared = common_prefixes(self.symbols, order, rank, self.first, self.size, self.width)[order]
-        group = np.cumsum(shared < self.width)
         left = np.repeat(self.first + self.size, self.size + 1) - np.arange(len(self.symbols))
-        ok = left[order] >= self.width
-        return order[ok], group[ok]
+        order, rank = suffix_array(self.symbols, self.width, left)
+        return order, rank[order]
 
     def repeated(self) -> np.ndarray:
         """Whether the string of width symbols that starts at each position stands at two places of the corpus."""
@@ -281,9 +306,10 @@ def dedup_substrings(
     spark = docs.sparkSession
 
     def anchored(batches):
-        for piece in pieces(batches, 0):
+        for piece in pieces(batches, 0, 1 << 19):
             raw, ends = utf8(piece.column(0))
-            at = anchors(raw, ends, length)
+            total = wordhash.sums(raw)
+            at = anchors(raw, ends, length, total)
             text = np.searchsorted(ends, at, side="right") - 1
             mid, text = np.concatenate([at - half, at]), np.concatenate([text, text])
             ok = (mid >= ends[text]) & (mid + core <= ends[text + 1])
@@ -291,8 +317,8 @@ def dedup_substrings(
             text = text[ok][chosen]
             begin, end = ends[text], ends[text + 1]
             left, right = np.maximum(mid - half, begin), np.minimum(mid + length, end)
-            key = digest(raw, mid, mid + core, 2)
-            ctx = digest(raw, left, right, 1) ^ digest(raw, left, mid, 7)
+            key = digest(raw, mid, mid + core, 2, total)
+            ctx = digest(raw, left, right, 1, total) ^ digest(raw, left, mid, 7, total)
             span = (mid - left) << 16 | right - mid
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key), pa.array(ctx), pa.array(piece.column(1).to_numpy()[text]), pa.array((mid - begin).astype(np.int32)), pa.array(span.astype(np.int32))],
@@ -381,8 +407,14 @@ def dedup_substrings(
 
     def in_group(key, table):
         if key[1].as_py() == key[2].as_py():
-            shard, ctx = _shards([table], width)[0]
-            return _found(shard, shard.repeated(), ctx, length)
+            cores = table["key"].to_numpy().view(np.uint64)
+            parts = max(1, pc.sum(pc.binary_length(table["bytes"])).as_py() // CACHED)
+            part = cores % np.uint64(parts)
+            out = []
+            for nth in range(parts):
+                shard, ctx = _shards([table.filter(pa.array(part == nth))], width)[0]
+                out.append(_found(shard, shard.repeated(), ctx, length))
+            return pa.concat_tables(out)
         mine = pc.equal(table["own"], key[1])
         (one, ctx_one), (two, ctx_two) = _shards([table.filter(mine), table.filter(pc.invert(mine))], width)
         mask_one, mask_two = merged(one, two)
@@ -401,13 +433,14 @@ def dedup_substrings(
                 out = []
                 for data, spans in zip(piece.column(1).to_pylist(), piece.column(2), strict=True):
                     data = zlib.decompress(data)
-                    step = np.zeros(len(data) + 1, np.int64)
+                    kept, n_spans = data, 0
                     if spans.is_valid:
+                        step = np.zeros(len(data) + 1, np.int32)
                         np.add.at(step, spans.values.field(0).to_numpy(), 1)
                         np.add.at(step, spans.values.field(1).to_numpy(), -1)
-                    mask = np.cumsum(step)[:-1] > 0
-                    kept = np.frombuffer(data, np.uint8)[~mask].tobytes() if mask.any() else data
-                    out.append((len(data), int(mask.sum()), len(runs(mask)[0]), kept, hashlib.sha256(kept).hexdigest()))
+                        mask = np.cumsum(step)[:-1] > 0
+                        kept, n_spans = np.frombuffer(data, np.uint8)[~mask].tobytes(), len(runs(mask)[0])
+                    out.append((len(data), len(data) - len(kept), n_spans, kept, hashlib.sha256(kept).hexdigest()))
                 cols = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True))], names=names)
 

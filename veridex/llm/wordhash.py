@@ -59,11 +59,21 @@ def spans(raw: np.ndarray, ends: np.ndarray, member: np.ndarray) -> tuple[np.nda
     return starts, stops, np.searchsorted(starts, ends)
 
 
-def hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of the buffer that depends on its bytes alone."""
-    up, down = powers(len(raw))
+def sums(raw: np.ndarray) -> np.ndarray:
+    """Prefix sums of the buffer's polynomial, from which the hash of any span is read."""
+    up, _ = powers(len(raw))
+    values = raw.astype(np.uint64)
+    values += np.uint64(1)
+    values *= up[: len(raw)]
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
+    np.cumsum(values, out=total[1:])
+    return total
+
+
+def hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each span of the buffer that depends on its bytes alone; total: the buffer's sums, if at hand."""
+    _, down = powers(len(raw))
+    total = sums(raw) if total is None else total
     return mix((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
