@@ -68,6 +68,19 @@ def test_nil_rejection_asks_all_rows(spark, tmp_path):
     assert [n for _, n, _ in got] == [120] * 4  # ids divisible by 50 are 3
 
 
+@pytest.mark.parametrize("table", TABLES)
+def test_recall_equals_its_sql(spark, tmp_path, table):
+    got, want = both(spark, tmp_path, "a33_recall_at_k", TABLES[table])
+    assert got == want
+
+
+def test_recall_asks_all_rows(spark, tmp_path):
+    """Ids divisible by 50 alone find their label, and the others never do."""
+    rows = [[i, [float(i % 50 == 0), float(i % 50 != 0)], i % 50 and i] for i in range(200)]
+    got, _ = both(spark, tmp_path, "a33_recall_at_k", rows)
+    assert got == [(4 / 200, 4 / 200)]
+
+
 @pytest.mark.parametrize("kind", [np.float32, np.float64])
 @pytest.mark.parametrize("scale", ["one", "many", "few values", "some without end"])
 def test_products_by_tiles_equal_all_products(monkeypatch, kind, scale):
