@@ -81,6 +81,17 @@ def test_recall_asks_all_rows(spark, tmp_path):
     assert got == [(4 / 200, 4 / 200)]
 
 
+@pytest.mark.parametrize("table", TABLES)
+def test_nearest_equals_its_sql(spark, tmp_path, table):
+    got, want = both(spark, tmp_path, "j16_m1_vector_top_k", TABLES[table])
+    assert got == want
+
+
+def test_nearest_asks_all_rows(spark, tmp_path):
+    got, _ = both(spark, tmp_path, "j16_m1_vector_top_k", TABLES["plain"])
+    assert sorted(q for q, _ in got) == [i for i in range(120) for _ in range(5)]
+
+
 @pytest.mark.parametrize("kind", [np.float32, np.float64])
 @pytest.mark.parametrize("scale", ["one", "many", "few values", "some without end"])
 def test_products_by_tiles_equal_all_products(monkeypatch, kind, scale):
