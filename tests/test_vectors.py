@@ -115,3 +115,13 @@ def test_products_by_tiles_equal_all_products(monkeypatch, kind, scale):
             value = vectors.picked_products(one, two, np.full(230, i), np.arange(230))
             order = sorted((j for j in range(230) if others[j] != own[i]), key=lambda j: (not np.isnan(value[j]), -value[j] if not np.isnan(value[j]) else 0, j))
             assert found[i] == [(j, str(value[j])) for j in order[:4]]
+
+
+def test_vectors_of_zeros_make_few_products_again(monkeypatch):
+    """All their products are equal; only those of the least ids are made again."""
+    made, real = [], vectors.picked_products
+    monkeypatch.setattr(vectors, "picked_products", lambda one, two, row, column: made.append(len(row)) or real(one, two, row, column))
+    two = np.random.default_rng(4).normal(size=(9000, 8)).astype(np.float32)
+    found = [np.concatenate(x) for x in zip(*vectors.closest(np.zeros((300, 8), np.float32), two, np.arange(300), np.arange(9000), 3, False), strict=True)]
+    assert sum(made) < 20_000  # of 2.7 million
+    assert found[1].reshape(300, 3)[:4].tolist() == [[1, 2, 3], [0, 2, 3], [0, 1, 3], [0, 1, 2]]
